@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agora_spark.llm import url_filter
+from agora_spark.llm import bpe, chat_format, url_filter
 from agora_spark.llm.common import table
 
 
@@ -12,8 +14,24 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode_texts(table(spark, sf_dir, "documents"), ranks)
+    ids = ids.withColumn("ids_sha256", F.sha2("ids", 256))
+    back = bpe.decode_ids(ids, ranks, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
+
 QUERIES = {
     "op4_url_filters": op4_url_filters,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_chat_formatting": op7_chat_formatting,
 }
 ORACLES = {
     "op4_url_filters": url_filter.oracle(),
