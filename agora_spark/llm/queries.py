@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora_spark.llm import bpe, chat_format, url_filter
+from agora_spark.llm import ann, bpe, chat_format, url_filter
 from agora_spark.llm.common import table
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -29,6 +33,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_nearest_vectors": op2_nearest_vectors,
     "op4_url_filters": op4_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_formatting": op7_chat_formatting,
