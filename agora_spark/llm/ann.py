@@ -29,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A window of half-width R around the query holds a vector at distance R with this probability.
-AT_RADIUS = math.erf(1 / math.sqrt(2))
+#: Half-width of a query's windows, in radii. At 2, near and far vectors differ most in how often they fall short.
+WIDTH = 2.0
+#: A window holds a vector at distance R with this probability.
+AT_RADIUS = math.erf(WIDTH / math.sqrt(2))
 
 
 def threshold(lines: int, miss: float) -> int:
@@ -53,41 +55,49 @@ class Index:
         self.lines = np.random.default_rng(seed).standard_normal((lines, vectors.shape[1] + 1))
         projected = vectors @ self.lines[:, :-1].T + rest[:, None] * self.lines[:, -1]
         order = np.argsort(projected, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+        self.order = np.ascontiguousarray(order.T)
         self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, axis=0).T)
 
-    def search(self, query: np.ndarray, k: int, least: int, radius: float, widen: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """Rows and inner products of what is verified, and the radius at which the search ended."""
-        n, m = len(self.vectors), len(self.lines)
-        centre = self.lines[:, :-1] @ query
-        base = self.bound + float(query @ query)
-        low = high = np.array([np.searchsorted(self.sorted[j], centre[j]) for j in range(m)])
-        count, verified = np.zeros(n, np.int64), np.zeros(n, bool)
-        rows, scores = [], []
-        while True:
-            new_low = [np.searchsorted(self.sorted[j], centre[j] - radius) for j in range(m)]
-            new_high = [np.searchsorted(self.sorted[j], centre[j] + radius, "right") for j in range(m)]
-            opened = [self.order[j, new_low[j] : low[j]] for j in range(m)] + [self.order[j, high[j] : new_high[j]] for j in range(m)]
-            count += np.bincount(np.concatenate(opened), minlength=n)
-            low, high = new_low, new_high
-            fresh = np.flatnonzero((count >= least) & ~verified)
-            if len(fresh):
-                verified[fresh] = True
-                rows.append(fresh)
-                scores.append(self.vectors[fresh] @ query)
-            found = sum(map(len, rows))
-            if found == n or min(b - a for a, b in zip(low, high)) == n:
-                break
-            if found >= k:
-                kth = np.partition(np.concatenate(scores), found - k)[found - k]
-                if base - 2 * kth <= radius * radius:
-                    break
+    def search(self, queries: np.ndarray, k: int, least: int, radius: float, widen: float) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For each query the rows that were verified, their inner products, and the radius at which it ended."""
+        n, m, most = len(self.vectors), len(self.lines), len(queries)
+        centres = queries @ self.lines[:, :-1].T
+        base = self.bound + np.einsum("ij,ij->i", queries, queries)
+        low = np.stack([np.searchsorted(self.sorted[j], centres[:, j]) for j in range(m)], axis=1)
+        high = low.copy()
+        count, verified = np.zeros((most, n), np.int16), np.zeros((most, n), bool)
+        rows: list[list] = [[] for _ in range(most)]
+        scores: list[list] = [[] for _ in range(most)]
+        ended, active = np.zeros(most), np.arange(most)
+        while len(active):
+            reach = WIDTH * radius
+            new_low = np.stack([np.searchsorted(self.sorted[j], centres[active, j] - reach) for j in range(m)], axis=1)
+            new_high = np.stack([np.searchsorted(self.sorted[j], centres[active, j] + reach, "right") for j in range(m)], axis=1)
+            going = []
+            for at, q in enumerate(active.tolist()):
+                opened = [x[a:b] for x, a, b in zip(self.order, new_low[at].tolist(), low[q].tolist()) if a < b]
+                opened += [x[a:b] for x, a, b in zip(self.order, high[q].tolist(), new_high[at].tolist()) if a < b]
+                if opened:
+                    count[q] += np.bincount(np.concatenate(opened), minlength=n).astype(np.int16)
+                whole = (new_high[at] - new_low[at]).min() == n  # every window holds everything
+                fresh = np.flatnonzero(~verified[q] if whole else (count[q] >= least) & ~verified[q])
+                if len(fresh):
+                    verified[q, fresh] = True
+                    rows[q].append(fresh)
+                    scores[q].append(self.vectors[fresh] @ queries[q])
+                found = sum(map(len, rows[q]))
+                done = found == n
+                if not done and found >= k:
+                    kth = np.partition(np.concatenate(scores[q]), found - k)[found - k]
+                    done = base[q] - 2 * kth <= radius * radius
+                if done:
+                    ended[q] = radius
+                else:
+                    going.append(at)
+            low[active], high[active] = new_low, new_high
+            active = active[going]
             radius *= widen
-        if found < n and min(b - a for a, b in zip(low, high)) == n:  # all windows are open
-            rest = np.flatnonzero(~verified)
-            rows.append(rest)
-            scores.append(self.vectors[rest] @ query)
-        return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(scores or [np.zeros(0)]), radius
+        return [np.concatenate(r) for r in rows], [np.concatenate(x) for x in scores], ended
 
 
 def usable(vector: Column) -> Column:
@@ -96,7 +106,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lines: int = 64, miss: float = 0.02, widen: float = 1.08, block: int = 16_384, seed: int = 17) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lines: int = 48, miss: float = 0.05, widen: float = 1.1, block: int = 16_384, seed: int = 17) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row that is_query selects.
 
     is_query is a condition on the column vec_id. block bounds the rows of an index block and of a
@@ -122,18 +132,18 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
         if not len(own) or not len(queries):
             return kind.empty_table()
         own = own[np.argsort(ids[own], kind="stable")]
-        index, radius, out = Index(vectors[own], longest, lines, seed), 0.5 * longest, []
-        for q in queries:
-            vector = vectors[q]
-            found, score, end = index.search(vector, k + 1, least, max(radius, 1e-9 * longest), widen)
-            radius = end / widen**3  # near queries end alike; it only saves steps
-            keep = ids[own[found]] != ids[q]
-            found, score = found[keep], score[keep]
-            if len(found) > k:  # ties at the end stay
-                last = np.partition(score, len(score) - k)[len(score) - k]
-                found, score = found[score >= last], score[score >= last]
-            best = np.lexsort((ids[own[found]], -score))[:k]
-            out.append((np.full(len(best), ids[q]), ids[own[found[best]]], score[best]))
+        index, radius, out = Index(vectors[own], longest, lines, seed), 0.25 * longest, []
+        for part in [queries[:8], *(queries[a : a + 128] for a in range(8, len(queries), 128))]:
+            rows, scores, ends = index.search(vectors[part], k + 1, least, radius, widen)
+            radius = max(float(np.median(ends)) / widen, 1e-6 * longest)  # later queries end alike; it only saves steps
+            for q, found, score in zip(part, rows, scores):
+                keep = ids[own[found]] != ids[q]
+                found, score = found[keep], score[keep]
+                if len(found) > k:  # ties at the end stay
+                    last = np.partition(score, len(score) - k)[len(score) - k]
+                    found, score = found[score >= last], score[score >= last]
+                best = np.lexsort((ids[own[found]], -score))[:k]
+                out.append((np.full(len(best), ids[q]), ids[own[found[best]]], score[best]))
         return pa.table([np.concatenate([o[j] for o in out]) for j in range(3)], schema=kind)
 
     found = data.unionByName(asks).withColumn("d", F.size("v")).groupBy("d", "part", "query_part").applyInArrow(run, "query_id long, vec_id long, score double")
