@@ -8,12 +8,13 @@ document's score is that of its highest window, calibrated by a logistic curve o
 training did not see. The softmax is linear in the mean, so scoring needs one number per bucket.
 
 The model is fitted on a bounded sample: at most max_documents labelled documents, drawn by a hash of
-doc_id, and at most max_windows windows of them (of one document at most per_toxic or per_clean).
+doc_id, and of each at most per_toxic or per_clean windows. Subwords seen fewer than `least` times in
+it have no vector.
 Scoring reads every window of every whole text.
 
 Defined results: null texts are empty; an empty text gets the score of a window without evidence. A
 document whose label is null or missing is not learnt from; several labels of a document count as
-their maximum. Without any labelled document of both kinds every score is the share of toxic ones
+their maximum. Without labelled documents of both kinds every score is the share of toxic ones
 (0 if none). Repeated rows give repeated results, null ids are kept. Empty tables give empty tables.
 Of the documents only id and text are read.
 """
@@ -37,7 +38,8 @@ def words_of(text: str) -> list[str]:
     text = text.lower()
     for c in PUNCTUATION:
         text = text.replace(c, " ")
-    return text.split()
+    words = text.split()
+    return [w for w, before in zip(words, [None, *words]) if w != before]  # a word said over and over counts once
 
 
 def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +101,7 @@ class Scorer:
                 value = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
                 total = np.concatenate(([0.0], np.cumsum(value)))
                 width = min(WINDOW, len(words))
-                out[k] += (total[width:] - total[:-width]).max() / width
+                out[k] += (total[width:] - total[:-width]).max() / WINDOW  # a short text is a window with empty places
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -107,39 +109,44 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train_windows(windows: list[str], labels: np.ndarray, buckets: int, dim: int, epochs: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, float]:
+def train_windows(windows: list[str], labels: np.ndarray, buckets: int, dim: int, epochs: int, rate: float, decay: float, least: int, seed: int) -> tuple[np.ndarray, float]:
     """Fit embeddings and softmax jointly; returns each bucket's part of the logit difference, and the bias."""
     rng = np.random.default_rng(seed)
     split = [words_of(w) or [""] for w in windows]
     index: dict[str, int] = {}
     word = np.array([index.setdefault(w, len(index)) for ws in split for w in ws], np.int64)
     length = np.array([len(ws) for ws in split], np.int64)
+    least = int(np.clip(len(split) // 2_000, 1, least))
     begin, owner = np.cumsum(length) - length, np.repeat(np.arange(len(split)), length)
     sub, n_sub = subwords(list(index), buckets)
     sub_begin, sub_owner = np.cumsum(n_sub) - n_sub, np.repeat(np.arange(len(index)), n_sub)
-    used, sub = np.unique(sub, return_inverse=True)
-    table = rng.normal(0, 0.1, (len(used), dim))
+    seen = np.bincount(sub, np.bincount(word, minlength=len(index))[sub_owner], buckets)
+    used = np.flatnonzero(seen >= least)  # rarer subwords would only be learnt by heart
+    slot = np.full(buckets, len(used), np.int64)
+    slot[used] = np.arange(len(used))
+    sub = slot[sub]
+    table = rng.normal(0, 0.1, (len(used) + 1, dim))
+    table[-1] = 0
     soft, bias = rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
     target = np.eye(2)[labels]
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))[:, None]
     params = [table, soft, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, epochs + 1):
-        words = np.add.reduceat(table[sub], sub_begin, axis=0) / n_sub[:, None]
-        mean = np.add.reduceat(words[word], begin, axis=0) / length[:, None]
+        mean = np.stack([np.add.reduceat((np.add.reduceat(table[sub, d], sub_begin) / n_sub)[word], begin) for d in range(dim)], axis=1) / WINDOW
         z = mean @ soft + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         dz = (p - target) * weight
-        dmean = (dz @ soft.T) / length[:, None]
-        dword = np.stack([np.bincount(word, dmean[owner, d], len(index)) for d in range(dim)], axis=1) / n_sub[:, None]
-        dtable = np.stack([np.bincount(sub, dword[sub_owner, d], len(used)) for d in range(dim)], axis=1)
+        dmean = (dz @ soft.T) / WINDOW
+        dtable = np.stack([np.bincount(sub, (np.bincount(word, dmean[owner, d], len(index)) / n_sub)[sub_owner], len(used) + 1) for d in range(dim)], axis=1)
+        dtable[-1] = 0
         for p_, g, m, v in zip(params, (dtable + decay * table, mean.T @ dz, dz.sum(axis=0)), first, second):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
     weights = np.zeros(buckets, np.float32)
-    weights[used] = table @ (soft[:, 1] - soft[:, 0])
+    weights[used] = table[:-1] @ (soft[:, 1] - soft[:, 0])
     return weights, float(bias[1] - bias[0])
 
 
@@ -156,7 +163,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1] - w[0] * middle / spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_documents: int = 20_000, max_windows: int = 120_000, per_toxic: int = 80, per_clean: int = 3, buckets: int = 1 << 18, dim: int = 8, epochs: int = 40, rate: float = 0.1, decay: float = 1e-9, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_documents: int = 16_000, per_toxic: int = 40, per_clean: int = 6, buckets: int = 1 << 18, dim: int = 8, epochs: int = 30, rate: float = 0.05, decay: float = 1e-5, least: int = 20, seed: int = 11) -> Model:
     """Train on the labelled documents (doc_id, text; doc_id, toxic) for which learn, a condition on doc_id, holds."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     if learn is not None:
@@ -187,9 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
                 out[1].extend([toxic] * len(starts))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32())], names=["words", "toxic"])
 
-    sample = rows.mapInArrow(cut, "words string, toxic int").limit(max_windows).toArrow()
+    sample = rows.mapInArrow(cut, "words string, toxic int").toArrow()
     y = sample.column("toxic").to_numpy()
-    weights, bias = train_windows(sample.column("words").to_pylist(), y, buckets, dim, epochs, rate, decay, seed)
+    weights, bias = train_windows(sample.column("words").to_pylist(), y, buckets, dim, epochs, rate, decay, least, seed)
     raw = Model(weights, bias, 1.0, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
@@ -199,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
             z = scorer.logits(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(z), batch.column(1).cast(pa.int32())], names=["z", "toxic"])
 
-    seen = rows.where("apart").select("text", "toxic").mapInArrow(measure, "z double, toxic int").limit(max_documents).toArrow()
+    seen = rows.where("apart").select("text", "toxic").mapInArrow(measure, "z double, toxic int").toArrow()
     z, y = seen.column("z").to_numpy(), seen.column("toxic").to_numpy()
     slope, shift = calibrate(z, y) if len(y) and 0 < y.sum() < len(y) else (1.0, 0.0)
     shared.unpersist()
