@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora_spark.llm import ann, bpe, chat_format, toxicity, url_filter
+from agora_spark.llm import ann, bpe, chat_format, toxicity, url_filter, winnow
 from agora_spark.llm.common import table
 
 
@@ -44,12 +44,17 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare(winnow.edited_fingerprints(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_nearest_vectors": op2_nearest_vectors,
     "op4_url_filters": op4_url_filters,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_fingerprints": op8_fingerprints,
 }
 ORACLES = {
     "op4_url_filters": url_filter.oracle(),
