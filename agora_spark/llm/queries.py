@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora_spark.llm import ann, bpe, chat_format, toxicity, url_filter, winnow
+from agora_spark.llm import ann, bpe, chat_format, pii, toxicity, url_filter, winnow
 from agora_spark.llm.common import table
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -49,6 +53,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_nearest_vectors": op2_nearest_vectors,
     "op4_url_filters": op4_url_filters,
     "op5_toxicity": op5_toxicity,
