@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora_spark.llm import ann, bpe, chat_format, pii, toxicity, url_filter, winnow
+from agora_spark.llm import ann, bpe, chat_format, mixing, pii, toxicity, url_filter, winnow
 from agora_spark.llm.common import table
 
 
@@ -52,6 +52,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare(winnow.edited_fingerprints(table(spark, sf_dir, "documents")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_nearest_vectors": op2_nearest_vectors,
@@ -60,7 +65,9 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_fingerprints": op8_fingerprints,
+    "op9_mixing": op9_mixing,
 }
 ORACLES = {
     "op4_url_filters": url_filter.oracle(),
+    "op9_mixing": mixing.oracle(),
 }
