@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora_spark.llm import ann, bpe, chat_format, mixing, pii, toxicity, url_filter, winnow
+from agora_spark.llm import ann, bpe, chat_format, mixing, ngram_join, pii, toxicity, url_filter, winnow
 from agora_spark.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_nearest_vectors": op2_nearest_vectors,
@@ -66,6 +70,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLES = {
     "op4_url_filters": url_filter.oracle(),
