@@ -28,7 +28,6 @@ give empty tables. Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,21 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora_spark.llm.common import materialize, release
-from agora_spark.llm.components import connected
+from agora_spark.llm.overlap import ENTRY, _mix, deal, digest, groups, resolve
 
 ODD1, ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 BATCH = 1 << 20
 #: Parts per difference that the bound allows, so that enough of them are not empty.
 SPARE = 1.3
-ENTRY = np.dtype([("sign", "<u4"), ("node", "<u8")])
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0x7FB5D329728EA185)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -115,11 +105,6 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def digest(sets: np.ndarray) -> int:
-    """The node of a set: 63 bits."""
-    return int.from_bytes(hashlib.blake2b(sets.tobytes(), digest_size=8).digest(), "little") >> 1
-
-
 class Scheme:
     """Classes of sizes, and the parts of each, for a Jaccard share of percent / 100."""
 
@@ -166,98 +151,30 @@ def nodes_of(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s.tobytes()) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
 
     return docs.mapInArrow(run, "doc_id long, n long, node long")
 
 
-def groups_of(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """(gid, members array<long>): nodes that share a part, sorted; equal groups are made once."""
+def entries_of(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
+    """(bucket, entries): the nodes by the parts' signatures."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, held, size = Scheme(percent), [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(percent)
 
-        def flush() -> pa.RecordBatch:
-            sign, node = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            bucket = (sign % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            packed = np.empty(len(order), ENTRY)
-            packed["sign"], packed["node"] = (sign[order] >> np.uint64(32)).astype(np.uint32), node[order]
-            which, first = np.unique(bucket[order], return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([x.tobytes() for x in np.split(packed, first[1:])], pa.binary())], names=["bucket", "entries"])
+        def signs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            seen: set[int] = set()
+            for batch in batches:
+                for s in shingle_sets(batch.column(0), width):
+                    if len(s) and (node := digest(s.tobytes())) not in seen:
+                        if len(seen) < 1_000_000:
+                            seen.add(node)  # copies within a task
+                        sign = scheme.signatures(s)
+                        yield sign, np.full(len(sign), node, np.uint64)
 
-        seen: set[int] = set()
-        for batch in batches:
-            for s in shingle_sets(batch.column(0), width):
-                if len(s) and (node := digest(s)) not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(node)  # copies within a task
-                    sign = scheme.signatures(s)
-                    held.append((sign, np.full(len(sign), node, np.uint64)))
-                    size += len(sign)
-                    if size > 3_000_000:
-                        yield flush()
-                        held, size = [], 0
-        if held:
-            yield flush()
-
-    def meet(table: pa.Table) -> pa.Table:
-        e = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
-        order = np.lexsort((e["node"], e["sign"]))
-        sign, node = e["sign"][order], e["node"][order]
-        new = np.concatenate(([True], (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])))
-        sign, node = sign[new], node[new]
-        first = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
-        count = np.diff(np.concatenate((first, [len(sign)])))
-        found = {node[a : a + n].tobytes() for a, n in zip(first[count > 1].tolist(), count[count > 1].tolist())}
-        members = [np.frombuffer(x, "<i8") for x in found]
-        gid = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in found]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(m) for m in members]))).astype(np.int32)), pa.array(np.concatenate(members) if members else np.zeros(0, np.int64)))
-        return pa.table([pa.array(gid, pa.int64()), lists], names=["gid", "members"])
-
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, entries binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "gid long, members array<long>").groupBy("gid").agg(F.first("members").alias("members"))
-
-
-def link(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int = 2_000) -> DataFrame:
-    """Those of pairs (u, p) that link. sets: (node, grams binary).
-
-    The pivot p and its rows u form blocks; a block's rows pass in one stream, and each run of rows is
-    multiplied with the pivot at once. A pivot of many rows has many blocks.
-    """
-    shares = pairs.groupBy("p").agg(F.ceil(F.count("*") / per_task).cast("int").alias("shares"))
-    rows = pairs.join(shares, "p").withColumn("share", F.pmod(F.xxhash64("u"), F.col("shares")).cast("int"))
-    right = rows.join(sets.withColumnRenamed("node", "u"), "u").select("p", "share", F.lit(1).alias("kind"), "u", "grams")
-    left = shares.join(sets.withColumnRenamed("node", "p"), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("p").alias("u"), "grams")
-    dealt = left.unionByName(right).repartition("p", "share").sortWithinPartitions("p", "share", "kind").select("p", "kind", "u", "grams")
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = None
-        for batch in batches:
-            out = [], []
-            p, kind, u = (batch.column(k).to_pylist() for k in range(3))
-            grams = batch.column(3)
-            at = 0
-            while at < len(p):
-                if kind[at] == 0:
-                    pivot = np.frombuffer(grams[at].as_py(), np.uint64)
-                    at += 1
-                    continue
-                end = at
-                while end < len(p) and kind[end] == 1 and p[end] == p[at] and end - at < 256:
-                    end += 1
-                rows = [np.frombuffer(g.as_py(), np.uint64) for g in grams[at:end]]
-                size = np.array([len(r) for r in rows])
-                every = np.concatenate(rows)
-                place = np.minimum(np.searchsorted(pivot, every), len(pivot) - 1)
-                overlap = np.bincount(np.repeat(np.arange(len(rows)), size), pivot[place] == every, len(rows)).astype(np.int64)
-                links = 100 * overlap >= percent * (size + len(pivot) - overlap)
-                out[0].extend(np.array(u[at:end])[links].tolist())
-                out[1].extend(np.array(p[at:end])[links].tolist())
-                at = end
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(multiply, "a long, b long")
+        yield from deal(signs(), buckets)
+
+    return docs.select("text").mapInArrow(run, "bucket long, entries binary")
 
 
 def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", parallel: int | None = None) -> DataFrame:
@@ -271,9 +188,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     nodes = materialize(nodes_of(docs, width), "nodes")
     entries = (nodes.agg(F.sum("n")).first()[0] or 0) * 0.5 * ENTRY.itemsize
     buckets = int(max(parallel or 16, min(1 << 20, entries // (1 << 21))))
-    groups = materialize(groups_of(docs, width, percent, buckets), "groups")
-    member = materialize(groups.select("gid", F.explode("members").alias("u")), "members")
-    release(groups)
+    member = groups(entries_of(docs, width, percent, buckets))
     holder = member.select(F.col("u").alias("node")).distinct().join(nodes.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
     # A node of documents without ids only is read by its text, too.
     texts = docs.where("text IS NOT NULL").join(holder.select("doc_id"), "doc_id", "left_semi")
@@ -281,39 +196,13 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(0), width)
-            keep = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in keep], pa.int64()), pa.array([s.tobytes() for s in keep], pa.binary())], names=["node", "grams"])
+            keep = [s for s in shingle_sets(batch.column(0), width) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s.tobytes()) for s in keep], pa.int64()), pa.array([s.tobytes() for s in keep], pa.binary())], names=["node", "data"])
 
-    sets = materialize(texts.select("text").mapInArrow(encode, "node long, grams binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(texts.select("text").mapInArrow(encode, "node long, data binary").dropDuplicates(["node"]), "sets")
     sized = nodes.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"))
-    able = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    pivots = member.groupBy("gid").agg(F.min("u").alias("p"))
-    stars = member.join(pivots, "gid").where("u <> p").groupBy("u", "p").agg(F.count("*").alias("shared"))
-    stars = stars.join(sized.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("node").alias("p"), F.col("n").alias("np")), "p").where(able(F.col("nu"), F.col("np")))
-    stars = materialize(stars.select("u", "p", "shared"), "stars")
-    best = stars.groupBy("u").agg(F.max(F.struct("shared", (-F.col("p")).alias("minus"))).alias("m")).select("u", (-F.col("m.minus")).alias("p"))
-    links = materialize(link(best, sets, percent), "links")
-    tried = best
-    found = connected(links)
-    apart = lambda pairs: pairs.join(found.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(found.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p", "left").where(F.coalesce("cu", "u") != F.coalesce("cp", "p")).select("u", "p")
-    # Further pivots, for rows that are not in the component of theirs yet.
-    more = materialize(link(materialize(apart(stars.select("u", "p").join(tried, ["u", "p"], "left_anti")), "more"), sets, percent), "links")
-    if not more.isEmpty():
-        links = materialize(links.union(more), "links")
-        found = connected(links)
-    # All pairs of a group that are still apart, but for those already compared with a pivot.
-    labelled = member.join(found.select(F.col("node").alias("u"), "component"), "u", "left").select("gid", "u", F.coalesce("component", "u").alias("c"))
-    mixed = labelled.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gid")
-    rest = labelled.join(mixed, "gid").join(sized.withColumnRenamed("node", "u"), "u")
-    x, y = rest.select("gid", F.col("u"), F.col("c").alias("cu"), F.col("n").alias("nu")), rest.select("gid", F.col("u").alias("p"), F.col("c").alias("cp"), F.col("n").alias("np"))
-    cross = x.join(y, "gid").where((F.col("u") > F.col("p")) & (F.col("cu") != F.col("cp")) & able(F.col("nu"), F.col("np"))).select("u", "p").distinct()
-    both = stars.select("u", "p").union(stars.select("p", "u"))
-    last = materialize(link(materialize(cross.join(both.toDF("u", "p"), ["u", "p"], "left_anti"), "cross"), sets, percent), "links")
-    if not last.isEmpty():
-        links = materialize(links.union(last), "links")
-        found = connected(links)
-    release(member, stars, sets, links)
+    found = resolve(member, sized, sets, lambda data: [np.frombuffer(x.as_py(), np.uint64) for x in data], percent)
+    release(member, sets)
     # From nodes to documents: the smallest id of a component's documents.
     named = nodes.join(found, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("c"))
     smallest = named.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("smallest"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora_spark.llm import ann, bpe, chat_format, mixing, ngram_join, pii, toxicity, url_filter, winnow
+from agora_spark.llm import ann, bpe, chat_format, line_dedup, mixing, ngram_join, pii, toxicity, url_filter, winnow
 from agora_spark.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -64,6 +69,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_nearest_vectors": op2_nearest_vectors,
+    "op3_line_dedup": op3_line_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
