@@ -264,27 +264,28 @@ def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """(id, n_tokens long, ids binary[, ends binary]) of each row; ranks: path of the rank file on each machine."""
+def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, columns of keep, n_tokens long, ids binary[, ends binary]) of each row; ranks: path of the rank file on each machine."""
+    names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
             for a, b in _groups(texts):
                 ids, count = enc.encode(texts[a:b])
                 packed = _binary(ids.astype("<u4").view(np.uint8), count * 4)
-                out = [batch.column(0).slice(a, b - a), pa.array(count, pa.int64()), packed]
+                out = [*(batch.column(k).slice(a, b - a) for k in range(len(names))), pa.array(count, pa.int64()), packed]
                 if offsets:
                     size = enc.vocabulary.size[ids]
                     ends, through = np.cumsum(size), np.cumsum(count)
                     before = np.concatenate(([0], ends))[through - count]
                     out.append(_binary((ends - np.repeat(before, count)).astype("<u4").view(np.uint8), count * 4))
-                yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_tokens", "ids", "ends"][: len(out)])
+                yield pa.RecordBatch.from_arrays(out, names=[*names, "n_tokens", "ids", "ends"][: len(out)])
 
-    rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary" + ", ends binary" * offsets)
+    rows = df.select(*(F.col(c) for c in names), F.col(text_col).cast("string").alias("_text"))
+    kinds = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(names, rows.schema))
+    return rows.mapInArrow(run, f"{kinds}, n_tokens long, ids binary" + ", ends binary" * offsets)
 
 
 def _binary(data: np.ndarray, size: np.ndarray) -> pa.Array:

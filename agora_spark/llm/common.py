@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+_made: list[tuple[SparkSession, str, str]] = []
+_owner = ""
 _own: list[str] = []
 
 
@@ -34,7 +37,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/agora-{label}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made.append((spark, path, _owner))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._agora_path = path
@@ -49,10 +52,22 @@ def release(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def release_all() -> None:
-    """Delete every table of materialize(); for when all results that read them are written."""
-    for spark, path in list(_made):
-        _delete(spark, path)
+@contextmanager
+def owned_by(owner: str) -> Iterator[None]:
+    """Tables of materialize() made inside belong to owner."""
+    global _owner
+    before, _owner = _owner, owner
+    try:
+        yield
+    finally:
+        _owner = before
+
+
+def release_owned(owner: str) -> None:
+    """Delete the tables of an owner; for when all results that read them are written."""
+    for spark, path, whose in list(_made):
+        if whose == owner:
+            _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -64,9 +79,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    from contextlib import suppress
-
-    for spark, path in list(_made):
+    for spark, path, _ in list(_made):
         with suppress(Exception):  # the session may have ended before the process
             _delete(spark, path)
 

@@ -217,8 +217,11 @@ _scorers: dict[int, Scorer] = {}
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep and score double (0 to 1) of every row, from its whole text."""
+    """The columns of keep and score double (0 to 1) of every row, from its whole text. A column named score is replaced."""
+    keep = tuple(c for c in keep if c != "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [*keep] if "text" in keep else [*keep, "text"]
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = id(shared.value)
@@ -229,9 +232,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
-                value = scorer.scores([t or "" for t in part.column(len(keep)).to_pylist()])
+                value = scorer.scores([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(value, pa.float64())], names=[*keep, "score"])
 
-    rows = docs.select(*(F.col(c) for c in keep), F.col("text").cast("string").alias("text_to_score"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in names))
     kinds = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, rows.schema))
     return rows.mapInArrow(run, f"{kinds}, score double")
