@@ -28,7 +28,10 @@ give empty tables. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,13 @@ BATCH = 1 << 20
 SPARE = 1.3
 
 
+@lru_cache(4)
+def _all_powers(base: int, most: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(most - 1, base, np.uint64))))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64))))
+    return _all_powers(base, max(1 << 20, 1 << n.bit_length()))[:n]
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +73,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     stop = np.flatnonzero(stop_mask) + 1
     out = np.zeros(len(start), np.uint64)
     for base in (ODD1 | 1, ODD2 | 1):
-        power = _powers(base, n + 1)
-        back = _powers(pow(base, -1, 1 << 64), n + 1)
+        power, back = _powers(base, n + 1), _powers(pow(base, -1, 1 << 64), n + 1)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * power[:n])))
         out = _mix(out + (total[stop] - total[start]) * back[start])
     return out + (stop - start).astype(np.uint64), np.diff(np.searchsorted(start, np.concatenate(([0], ends))))
@@ -111,18 +118,19 @@ class Scheme:
     def __init__(self, percent: int):
         self.percent, self.bounds = percent, [1]
 
-    def class_of(self, n: int) -> int:
-        while self.bounds[-1] <= n:
+    def _extend(self, n: int, classes: int = 0) -> None:
+        while self.bounds[-1] <= n or len(self.bounds) < classes:
             self.bounds.append(max(self.bounds[-1] + 1, -(-self.bounds[-1] * 100 // self.percent)))
-        return int(np.searchsorted(self.bounds, n, "right")) - 1
+
+    def class_of(self, n: int) -> int:
+        self._extend(n)
+        return bisect_right(self.bounds, n) - 1
 
     def parts(self, c: int) -> tuple[int, int]:
         """How many n-grams may differ when the smaller set is of class c, and the number of parts."""
-        self.class_of(self.bounds[-1])
-        while len(self.bounds) < c + 2:
-            self.class_of(self.bounds[-1])
+        self._extend(0, c + 2)
         most = (100 - self.percent) * (self.bounds[c + 1] - 1) // self.percent
-        return most, 1 if most == 0 else int(np.ceil(SPARE * (most + 1)))
+        return most, 1 if most == 0 else math.ceil(SPARE * (most + 1))
 
     def signatures(self, grams: np.ndarray) -> np.ndarray:
         """Hashes of the parts' contents, for the set's class and the one below."""
