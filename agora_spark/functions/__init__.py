@@ -1 +1 @@
-"""See the package README section of the repository README."""
+"""Column helpers: every function takes and returns Columns, so Catalyst sees plain expressions."""

@@ -1 +1 @@
-"""See the package README section of the repository README."""
+"""Operators from DataFrames to DataFrames."""

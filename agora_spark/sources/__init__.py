@@ -1 +1 @@
-"""See the package README section of the repository README."""
+"""Table readers, the event lake, and stand-in tables over the star schema."""

@@ -1 +1,39 @@
-"""See the package README section of the repository README."""
+"""Structured Streaming twins of the engagement operators and of the lake writer."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from agora_spark.functions.dates import local_day
+
+
+def like_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Likes, one per user, venue and local day, within the time that late events are waited for."""
+    rows = events.where("event_type = 'click'").withColumn("day", local_day(F.col("ts"))).withWatermark("ts", late)
+    return rows.dropDuplicatesWithinWatermark(["user_id", "venue_id", "day"])
+
+
+def hourly_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Events by UTC hour and type."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+def write_lake(envelopes: DataFrame, path: str, checkpoint: str, every: str = "900 seconds", at_once: bool = False):
+    """Start writing envelopes as gzipped JSON lines by source, dataset, day and hour."""
+    writer = envelopes.writeStream.format("json").option("compression", "gzip").option("path", path).option("checkpointLocation", checkpoint).partitionBy("source", "dataset", "dt", "hour")
+    return writer.trigger(**({"availableNow": True} if at_once else {"processingTime": every})).start()
+
+
+def upsert_latest(path: str, keys: list[str], version: str):
+    """A foreachBatch function that keeps the newest row of each key as a snapshot at path/<number>."""
+    from agora_spark.operators.places import keyed_latest
+
+    last: list[str] = []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        base = batch.sparkSession.read.parquet(last[0]) if last else batch.limit(0)
+        keyed_latest(base, batch, keys, version).write.mode("overwrite").parquet(f"{path}/{number}")
+        last[:] = [f"{path}/{number}"]
+
+    return merge
