@@ -8,8 +8,9 @@ itself counts overlaps; only rows that could reach the wanted Jaccard share are
    D = (100 - percent)/percent * |A| n-grams differ. n-grams are dealt into more than D parts by their
    hash; some part of both sets is then equal and not empty. Parts meet in buckets by a hash of their
    content (a blocked, packed inverted index), and rows that share a part make a group. Frequent
-   passages do no harm: a part is shared only with all its n-grams. Sets are compared within a class of
-   sizes and with the next one, as the bound on sizes allows.
+   passages do no harm: a part is shared only with all its n-grams, and as rows that link share all
+   but D parts, each row leaves its most frequent parts and meets others in its D + 1 rarest. Sets are
+   compared within a class of sizes and with the next one, as the bound on sizes allows.
 3. In each group every row is multiplied with one pivot: overlaps are accumulated over the sorted
    n-grams of a block of rows at once, and pairs below the bound are discarded. What remains are links.
 4. Components by distributed union-find. Rows of a group that are still apart are compared with further
@@ -132,10 +133,10 @@ class Scheme:
         most = (100 - self.percent) * (self.bounds[c + 1] - 1) // self.percent
         return most, 1 if most == 0 else math.ceil(SPARE * (most + 1))
 
-    def signatures(self, grams: np.ndarray) -> np.ndarray:
-        """Hashes of the parts' contents, for the set's class and the one below."""
+    def signatures(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the parts' contents, for the set's class and the one below, and how many parts of each class are to spare."""
         own = self.class_of(len(grams))
-        out = []
+        out, spares = [], []
         for c in (own, own - 1) if own else (own,):
             most, parts = self.parts(c)
             place = (grams >> np.uint64(20)) % np.uint64(parts) if parts > 1 else np.zeros(len(grams), np.uint64)
@@ -143,10 +144,13 @@ class Scheme:
             low = np.bincount(place, (grams & np.uint64(0xFFFFFFFF)).astype(np.float64), parts).astype(np.uint64)
             high = np.bincount(place, (grams >> np.uint64(32)).astype(np.float64), parts).astype(np.uint64)
             used = np.flatnonzero(np.bincount(place, minlength=parts))
+            spare = max(0, len(used) - most - 1)
             if len(used) <= most:  # too few parts to be sure of an equal one that is not empty
                 used = np.arange(parts)
-            out.append(_mix((low[used] + _mix(high[used] + np.uint64(ODD2))) * np.uint64(ODD1) + np.uint64(c) * np.uint64(1 << 32) + used.astype(np.uint64)))
-        return np.concatenate(out)
+            sign = _mix((low[used] + _mix(high[used] + np.uint64(ODD2))) * np.uint64(ODD1) + np.uint64(c) * np.uint64(1 << 32) + used.astype(np.uint64))
+            out.append(sign & ~np.uint64(1 << 32) | np.uint64((c & 1) << 32))
+            spares.append(np.full(len(used), spare))
+        return np.concatenate(out), np.concatenate(spares)
 
 
 def _long(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,15 +174,15 @@ def entries_of(docs: DataFrame, width: int, percent: int, buckets: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(percent)
 
-        def signs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def signs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             seen: set[int] = set()
             for batch in batches:
                 for s in shingle_sets(batch.column(0), width):
                     if len(s) and (node := digest(s.tobytes())) not in seen:
                         if len(seen) < 1_000_000:
                             seen.add(node)  # copies within a task
-                        sign = scheme.signatures(s)
-                        yield sign, np.full(len(sign), node, np.uint64)
+                        sign, spare = scheme.signatures(s)
+                        yield sign, np.full(len(sign), node, np.uint64), spare
 
         yield from deal(signs(), buckets)
 

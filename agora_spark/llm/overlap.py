@@ -12,13 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora_spark.llm.common import materialize, release
 from agora_spark.llm.components import connected
 
-ENTRY = np.dtype([("sign", "<u4"), ("node", "<u8")])
+Decode = Callable[[pa.Array], list[np.ndarray]]
+#: A key's hash, a node, and how many of the node's keys of this kind need not meet. The hash's last bit tells two kinds of keys apart.
+ENTRY = np.dtype([("sign", "<u4"), ("node", "<u8"), ("spare", "<u2")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -34,22 +36,22 @@ def digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little") >> 1
 
 
-def deal(signs: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
-    """(bucket, entries) batches of (keys, nodes) arrays; holds at most about `most` entries."""
+def deal(signs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """(bucket, entries) batches of (keys, nodes, spares) arrays; holds at most about `most` entries."""
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        sign, node = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        sign, node, spare = (np.concatenate([h[k] for h in held]) for k in range(3))
         bucket = (sign % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         packed = np.empty(len(order), ENTRY)
-        packed["sign"], packed["node"] = (sign[order] >> np.uint64(32)).astype(np.uint32), node[order]
+        packed["sign"], packed["node"], packed["spare"] = (sign[order] >> np.uint64(32)).astype(np.uint32), node[order], np.minimum(spare[order], 65535)
         which, first = np.unique(bucket[order], return_index=True)
         return pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([x.tobytes() for x in np.split(packed, first[1:])], pa.binary())], names=["bucket", "entries"])
 
-    for sign, node in signs:
-        held.append((sign, node))
-        size += len(sign)
+    for entry in signs:
+        held.append(entry)
+        size += len(entry[0])
         if size > most:
             yield flush()
             held, size = [], 0
@@ -58,82 +60,175 @@ def deal(signs: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int, most: int
 
 
 def groups(dealt: DataFrame) -> DataFrame:
-    """(gid, u): the nodes of each group of at least two; groups with the same nodes are one."""
+    """(gid, u, p): the nodes u of each group of at least two, and its pivot p; groups with the same nodes are one.
+
+    A node leaves its largest groups, as many keys as it has to spare. If nodes that link share all but
+    d of their keys, and each keeps its d + 1 rarest, they still meet: the rarest key that they share is
+    among those of both. So a key that very many nodes share groups only those that have little else.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(table.column("entries").to_pylist()), ENTRY)
-        order = np.lexsort((e["node"], e["sign"]))
-        sign, node = e["sign"][order], e["node"][order]
-        new = np.concatenate(([True], (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])))
-        sign, node = sign[new], node[new]
+        e = e[np.lexsort((e["node"], e["sign"]))]
+        sign, node = e["sign"], e["node"]
+        e = e[np.concatenate(([True], (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])))]
+        sign, node, spare = e["sign"], np.ascontiguousarray(e["node"]), np.ascontiguousarray(e["spare"])
         first = np.flatnonzero(np.concatenate(([True], sign[1:] != sign[:-1])))
         count = np.diff(np.concatenate((first, [len(sign)])))
-        found = {node[a : a + n].tobytes() for a, n in zip(first[count > 1].tolist(), count[count > 1].tolist())}
-        members = [np.frombuffer(x, "<i8") for x in found]
+        found: dict[bytes, list] = {}
+        for a, n in zip(first[count > 1].tolist(), count[count > 1].tolist()):
+            held = node[a : a + n].tobytes()
+            if spare[a : a + n].any():
+                held += b"1" if sign[a] & 1 else b"0"
+            found.setdefault(held, [a, a + n, 0])[2] += 1
+        members = [node[a:b].astype(np.int64) for a, b, _ in found.values()]
+        spares = [spare[a:b].astype(np.int32) for a, b, _ in found.values()]
+        ends = pa.array(np.concatenate(([0], np.cumsum([len(m) for m in members]))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0, kind))) for x, kind in ((members, np.int64), (spares, np.int32))]
         gid = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in found]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(m) for m in members]))).astype(np.int32)), pa.array(np.concatenate(members) if members else np.zeros(0, np.int64)))
-        return pa.table([pa.array(gid, pa.int64()), lists], names=["gid", "members"])
+        kinds = [len(x) % 8 and x[-1] & 1 for x in found]
+        return pa.table([pa.array(gid, pa.int64()), pa.array([k for _, _, k in found.values()], pa.int64()), pa.array(kinds, pa.int32()), *lists], names=["gid", "keys", "kind", "members", "spares"])
 
-    found = materialize(dealt.groupBy("bucket").applyInArrow(meet, "gid long, members array<long>").groupBy("gid").agg(F.first("members").alias("members")), "groups")
-    out = materialize(found.select("gid", F.explode("members").alias("u")), "members")
-    release(found)
+    found = dealt.groupBy("bucket").applyInArrow(meet, "gid long, keys long, kind int, members array<long>, spares array<int>")
+    found = materialize(found.groupBy("gid").agg(F.sum("keys").alias("keys"), *(F.first(c).alias(c) for c in ("kind", "members", "spares"))), "groups")
+    rows = found.select("gid", "keys", "kind", F.size("members").alias("n"), F.explode(F.arrays_zip("members", "spares")).alias("m")).select("gid", "keys", "kind", "n", F.col("m.members").alias("u"), F.col("m.spares").alias("spare"))
+    largest = Window.partitionBy("u", "kind").orderBy(F.desc("n"), "gid").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("weight", F.sum("keys").over(Window.partitionBy("u"))).withColumn("so_far", F.sum("keys").over(largest))
+    kept = materialize(rows.where("so_far > spare").select("gid", "u", "weight"), "members")
+    # The pivot is the row that shares most keys with others: of near copies, that with the fewest changes.
+    pivots = kept.groupBy("gid").agg(F.max(F.struct("weight", (-F.col("u")).alias("minus"))).alias("m"), F.count("*").alias("n")).where("n > 1").select("gid", (-F.col("m.minus")).alias("p"))
+    out = materialize(kept.join(pivots, "gid").select("gid", "u", "p"), "members")
+    release(found, kept)
     return out
 
 
-def link(pairs: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], list[np.ndarray]], percent: int, per_task: int = 2_000) -> DataFrame:
-    """Those of pairs (u, p) that link. sets: (node, data); decode makes sorted arrays of grams from data.
+def _blocks(pairs: DataFrame, pivots: DataFrame, sets: DataFrame, per_task: int) -> DataFrame:
+    """(p, kind, u, data) of pairs (u, p), in streams of a pivot's data (kind 0) and then its rows' (kind 1). pivots: (p, data).
 
-    The pivot p and its rows u form blocks; a block's rows pass in one stream, and each run of rows is
-    multiplied with the pivot at once. A pivot of many rows has many blocks.
+    A pivot of many rows has many blocks.
     """
     shares = pairs.groupBy("p").agg(F.ceil(F.count("*") / per_task).cast("int").alias("shares"))
     rows = pairs.join(shares, "p").withColumn("share", F.pmod(F.xxhash64("u"), F.col("shares")).cast("int"))
     right = rows.join(sets.withColumnRenamed("node", "u"), "u").select("p", "share", F.lit(1).alias("kind"), "u", "data")
-    left = shares.join(sets.withColumnRenamed("node", "p"), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("p").alias("u"), "data")
-    dealt = left.unionByName(right).repartition("p", "share").sortWithinPartitions("p", "share", "kind").select("p", "kind", "u", "data")
+    left = shares.join(pivots, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("p").alias("u"), "data")
+    return left.unionByName(right).repartition("p", "share").sortWithinPartitions("p", "share", "kind").select("p", "kind", "u", "data")
+
+
+def _runs(batch: pa.RecordBatch, pivot: np.ndarray | None, decode: Decode, pivot_decode: Decode) -> Iterator[tuple[np.ndarray, list[int], list[int], list[np.ndarray]]]:
+    """(pivot, ps, us, rows) of the runs of rows in one batch of _blocks(); pivot is the last one of the batch before."""
+    p, kind, u = (batch.column(k).to_pylist() for k in range(3))
+    data, at = batch.column(3), 0
+    while at < len(p):
+        if kind[at] == 0:
+            (pivot,) = pivot_decode(data.slice(at, 1))
+            at += 1
+            yield pivot, [], [], []
+            continue
+        end = at
+        while end < len(p) and kind[end] == 1 and p[end] == p[at] and end - at < 256:
+            end += 1
+        yield pivot, p[at:end], u[at:end], decode(data.slice(at, end - at))
+        at = end
+
+
+def link(pairs: DataFrame, sets: DataFrame, decode: Decode, percent: int, per_task: int = 2_000) -> DataFrame:
+    """Those of pairs (u, p) that link. sets: (node, data); decode makes sorted arrays of grams from data.
+
+    The pivot p and its rows u form blocks; a block's rows pass in one stream, and each run of rows is
+    multiplied with the pivot at once.
+    """
+    dealt = _blocks(pairs, sets.withColumnRenamed("node", "p"), sets, per_task)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = None
         for batch in batches:
             out = [], []
-            p, kind, u = (batch.column(k).to_pylist() for k in range(3))
-            data = batch.column(3)
-            at = 0
-            while at < len(p):
-                if kind[at] == 0:
-                    (pivot,) = decode(data.slice(at, 1))
-                    at += 1
+            for pivot, p, u, rows in _runs(batch, pivot, decode, decode):
+                if not rows:
                     continue
-                end = at
-                while end < len(p) and kind[end] == 1 and p[end] == p[at] and end - at < 256:
-                    end += 1
-                rows = decode(data.slice(at, end - at))
                 size = np.array([len(r) for r in rows])
                 every = np.concatenate(rows)
                 place = np.minimum(np.searchsorted(pivot, every), len(pivot) - 1)
                 overlap = np.bincount(np.repeat(np.arange(len(rows)), size), pivot[place] == every, len(rows)).astype(np.int64)
                 links = 100 * overlap >= percent * (size + len(pivot) - overlap)
-                out[0].extend(np.array(u[at:end])[links].tolist())
-                out[1].extend(np.array(p[at:end])[links].tolist())
-                at = end
+                out[0].extend(np.array(u)[links].tolist())
+                out[1].extend(np.array(p)[links].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(multiply, "a long, b long")
 
 
-def resolve(member: DataFrame, sized: DataFrame, sets: DataFrame, decode: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
+def common(stars: DataFrame, sets: DataFrame, decode: Decode, most: int = 31) -> DataFrame:
+    """(p, data): the grams that at least half of up to `most` rows of each star have. Any set would do; a near one saves work."""
+    some = stars.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("u"), "u"))).where(F.col("r") <= most)
+
+    def vote(group: pa.Table) -> pa.Table:
+        rows = decode(group.column("data").combine_chunks())
+        gram, n = np.unique(np.concatenate(rows), return_counts=True)
+        return pa.table([group.column("p").slice(0, 1), pa.array([gram[2 * n >= len(rows)].tobytes()], pa.binary())], names=["p", "data"])
+
+    return some.join(sets.withColumnRenamed("node", "u"), "u").select("p", "data").groupBy("p").applyInArrow(vote, "p long, data binary")
+
+
+def differences(stars: DataFrame, middle: DataFrame, sets: DataFrame, decode: Decode, percent: int, per_task: int = 2_000) -> DataFrame:
+    """(u, p, a, grams) of stars (u, p): the grams that u and the star's middle do not share, and a = (100 - percent) * n - (100 + percent) * size of that difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = None
+        for batch in batches:
+            for pivot, p, u, rows in _runs(batch, pivot, decode, lambda data: [np.frombuffer(x.as_py(), np.uint64) for x in data]):
+                if not rows:
+                    continue
+                parts = [np.setxor1d(r, pivot, assume_unique=True).astype(np.int64) for r in rows]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+                a = [(100 - percent) * len(r) - (100 + percent) * len(x) for r, x in zip(rows, parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(p, pa.int64()), pa.array(a, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], names=["u", "p", "a", "grams"])
+
+    return _blocks(stars, middle, sets, per_task).mapInArrow(run, "u long, p long, a long, grams array<long>")
+
+
+def nearby(far: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, p) to compare, of differences() with a column c, the component so far: no other pair of a star can link two components.
+
+    Let d be the size of the sets' difference. Two sets link iff (100 + percent) * d <= (100 - percent) * (n + n'),
+    and d = s + s' - 2 * (what the differences from the middle share). So either a + a' >= 0, or they
+    share -(a + a') / (2 * (100 + percent)) grams of their differences. If a + a' >= 0, both rows link with
+    the row whose a is largest, the hub. Of the other pairs, that with the smaller a does not reach the
+    hub; both rows must share a gram among as many of their rarest as these bounds leave.
+    """
+    scale = 2 * (100 + percent)
+    hubs = far.groupBy("p").agg(F.max(F.struct("a", (-F.col("u")).alias("minus"))).alias("m")).select("p", F.col("m.a").alias("top"), (-F.col("m.minus")).alias("hub"))
+    rows = materialize(far.join(hubs, "p").select("p", "u", "a", "c", "top", "hub", "grams"), "far")
+    direct = rows.where("a + top >= 0 AND u <> hub").select("u", F.col("hub").alias("p"))
+    every = rows.select("p", "u", "a", "c", "top", F.size("grams").alias("s"), F.explode("grams").alias("gram"))
+    shared = every.groupBy("p", "gram").agg(F.count("*").alias("held"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("p", "gram", "held")
+    # Grams of one row or one component lead nowhere; as the rarest they come first all the same.
+    needed = lambda other: F.greatest(F.lit(1), F.ceil(-(F.col("a") + other) / scale))
+    ranked = every.join(shared, ["p", "gram"]).withColumn("behind", F.row_number().over(Window.partitionBy("p", "u").orderBy(F.desc("held"), "gram")))
+    index = ranked.where(F.col("behind") >= needed(F.least(-F.col("top") - 1, F.col("a"))))
+    probe = ranked.where((F.col("a") + F.col("top") < 0) & (F.col("behind") >= needed(F.col("top"))))
+    x = index.select("p", "gram", F.col("u").alias("x"), F.col("a").alias("ax"), F.col("c").alias("cx"))
+    y = probe.select("p", "gram", F.col("u").alias("y"), F.col("a").alias("ay"), F.col("c").alias("cy"))
+    met = x.join(y, ["p", "gram"]).where((F.col("cx") != F.col("cy")) & ((F.col("ax") > F.col("ay")) | ((F.col("ax") == F.col("ay")) & (F.col("x") != F.col("y")))))
+    out = direct.union(met.select(F.least("x", "y"), F.greatest("x", "y"))).where("u <> p").distinct()
+    out._far = rows
+    return out
+
+
+def resolve(member: DataFrame, sized: DataFrame | None, sets: DataFrame, decode: Decode, percent: int, small: int = 16) -> DataFrame:
     """(node, component) of the nodes that link: 100 * |A and B| >= percent * |A or B| within a group.
 
-    member: (gid, u); sized: (node, n); sets: (node, data) of all members. Each row is first compared
-    with the pivot that it shares most groups with, then with its other groups' pivots, where it is
-    still apart from them; at last, rows of a group that are still in different components are all
-    compared. So every pair of a group that links is in one component, and pairs within a component
-    are not made.
+    member: (gid, u, p); sized: (node, n), or None where sizes rule out little; sets: (node, data) of
+    all members. Each row is first compared with the pivot that it shares most groups with, then with
+    its other groups' pivots, where it is still apart from them. Where rows of a group are then still
+    in different components, a group of at most `small` rows has those pairs compared; of larger ones,
+    which make a star around their pivot, the pairs that nearby() does not rule out. So every pair of a
+    group that links is in one component, and a row meets `small` others of a group or those near it.
     """
-    able = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    pivots = member.groupBy("gid").agg(F.min("u").alias("p"))
-    stars = member.join(pivots, "gid").where("u <> p").groupBy("u", "p").agg(F.count("*").alias("shared"))
-    stars = stars.join(sized.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("node").alias("p"), F.col("n").alias("np")), "p").where(able(F.col("nu"), F.col("np")))
+    stars = member.where("u <> p").groupBy("u", "p").agg(F.count("*").alias("shared"))
+    if sized is not None:
+        able = F.least("nu", "np") * 100 >= F.greatest("nu", "np") * percent
+        stars = stars.join(sized.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("node").alias("p"), F.col("n").alias("np")), "p").where(able)
     stars = materialize(stars.select("u", "p", "shared"), "stars")
     best = materialize(stars.groupBy("u").agg(F.max(F.struct("shared", (-F.col("p")).alias("minus"))).alias("m")).select("u", (-F.col("m.minus")).alias("p")), "best")
     links = materialize(link(best, sets, decode, percent), "links")
@@ -155,11 +250,21 @@ def resolve(member: DataFrame, sized: DataFrame, sets: DataFrame, decode: Callab
     u, p = (found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "up")
     others = stars.select("u", "p").join(best, ["u", "p"], "left_anti").join(u, "u", "left").join(p, "p", "left")
     again(others.where(F.coalesce("cu", "u") != F.coalesce("cp", "p")).select("u", "p"))
-    labelled = member.join(found.select(F.col("node").alias("u"), "component"), "u", "left").select("gid", "u", F.coalesce("component", "u").alias("c"))
-    mixed = labelled.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gid")
-    rest = labelled.join(mixed, "gid").join(sized.withColumnRenamed("node", "u"), "u")
-    x, y = rest.select("gid", "u", F.col("c").alias("cu"), F.col("n").alias("nu")), rest.select("gid", F.col("u").alias("p"), F.col("c").alias("cp"), F.col("n").alias("np"))
-    cross = x.join(y, "gid").where((F.col("u") > F.col("p")) & (F.col("cu") != F.col("cp")) & able(F.col("nu"), F.col("np"))).select("u", "p").distinct()
-    again(cross.join(stars.select("u", "p").union(stars.select("p", "u")).toDF("u", "p"), ["u", "p"], "left_anti"))
-    release(stars, best, links)
+    release(best)
+    labelled = member.join(found.select(F.col("node").alias("u"), "component"), "u", "left").select("gid", "u", "p", F.coalesce("component", "u").alias("c"))
+    mixed = labelled.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("gid", "n")
+    rest = materialize(labelled.join(mixed, "gid"), "rest")
+    few = rest.where(F.col("n") <= small)
+    x, y = few.select("gid", "u", F.col("c").alias("cu")), few.select("gid", F.col("u").alias("v"), F.col("c").alias("cv"))
+    pairs = x.join(y, "gid").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", F.col("v").alias("p")).distinct()
+    pairs = pairs.join(stars.select("u", "p").union(stars.select("p", "u")), ["u", "p"], "left_anti")
+    rays = materialize(rest.where(F.col("n") > small).select("u", "p", "c").distinct(), "rays")
+    made = [rest, rays, stars]
+    if not rays.isEmpty():
+        middle = materialize(common(rays, sets, decode), "middle")
+        near = nearby(differences(rays.select("u", "p"), middle, sets, decode, percent).join(rays, ["u", "p"]), percent)
+        made += [middle, near._far]
+        pairs = pairs.union(near).distinct()
+    again(pairs)
+    release(links, *made)
     return found
