@@ -97,55 +97,47 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every line's place, and the line itself where the task has not met it before (or has forgotten it)."""
+        known: dict[str, int] = {}
         for batch in batches:
             for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
-                out: list[list] = [[], [], [], []]
-                for doc, key, t in zip(*(c.to_pylist() for c in part.columns)):
-                    for k, line in enumerate(t.split("\n")):
-                        if line := normal(line):
-                            for column, value in zip(out, (doc, key, k, digest(line.encode("utf-8", "surrogatepass")))):
+                out: list[list] = [[], [], [], [], []]
+                for doc, key, t in zip(*(c.to_pylist() for c in batch.slice(a, 500).columns)):
+                    for k, raw in enumerate(t.split("\n")):
+                        if line := normal(raw):
+                            node, data = known.get(line), None
+                            if node is None:
+                                node, data = digest(line.encode("utf-8", "surrogatepass")), line
+                                if len(known) < 100_000:
+                                    known[line] = node
+                            for column, value in zip(out, (doc, key, k, node, data)):
                                 column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], names=["id", "key", "place", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string())], names=["id", "key", "place", "node", "data"])
 
-    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for a in range(0, len(batch), 500):
-                fresh = {}
-                for t in batch.column(0).slice(a, 500).to_pylist():
-                    for line in t.split("\n"):
-                        if (line := normal(line)) and (node := digest(line.encode("utf-8", "surrogatepass"))) not in seen:
-                            fresh[node] = line
-                            if len(seen) < 1_000_000:
-                                seen.add(node)
-                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array(list(fresh.values()), pa.string())], names=["node", "data"])
-
-    found_at = materialize(rows.select("id", "key", "text").mapInArrow(read, "id long, key long, place int, node long"), "places")
-    lines = materialize(rows.select("text").mapInArrow(different, "node long, data string"), "lines")
+    found_at = materialize(rows.select("id", "key", "text").mapInArrow(read, "id long, key long, place int, node long, data string"), "places")
+    lines = found_at.where("data IS NOT NULL").select("node", "data")
     n_entries = lines.count() * BANDS
     buckets = int(max(16, min(1 << 20, n_entries * ENTRY.itemsize // (1 << 21))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def signs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def signs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for batch in batches:
                 for part in _pack(list(zip(*(c.to_pylist() for c in batch.columns)))):
-                    yield signatures([x for _, x in part]).ravel(), np.repeat(np.array([n for n, _ in part], np.uint64), BANDS)
+                    yield signatures([x for _, x in part]).ravel(), np.repeat(np.array([n for n, _ in part], np.uint64), BANDS), np.zeros(len(part) * BANDS, np.int64)
 
         yield from deal(signs(), buckets)
 
     member = groups(lines.mapInArrow(sign, "bucket long, entries binary"))
     needed = lines.join(member.select(F.col("u").alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
-    needed = materialize(needed, "needed")
-    release(lines)
-    # A line's length bounds its shingles; equal sizes are not asked for, so the bound is on verified sets alone.
-    sized = needed.select("node", F.lit(1).alias("n"))
-    found = resolve(member, sized, needed, lambda data: shingle_sets(data.to_pylist()), percent)
+    needed = materialize(needed.select("node", F.col("data").cast("binary").alias("data")), "needed")
+    found = resolve(member, None, needed, lambda data: shingle_sets([x.decode() for x in data.to_pylist()]), percent)
     release(member, needed)
-    placed = found_at.join(found, "node", "left").select("id", "key", "place", F.coalesce("component", "node").alias("c"))
+    # Lines that are there once and like no other have no further part.
     order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "place")
-    first = placed.groupBy("c").agg(F.min(order).alias("first"))
-    gone = placed.join(first, "c").where((F.col("first.key") != F.col("key")) | (F.col("first.place") != F.col("place")))
+    once = found_at.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    again = materialize(once.join(found, "node", "left").where("n > 1 OR component IS NOT NULL").select("node", "first", F.coalesce("component", "node").alias("c")), "again")
+    firsts = again.select("node", "c").join(again.groupBy("c").agg(F.min("first").alias("first")), "c").select("node", "first")
+    gone = found_at.select("key", "place", "node").join(firsts, "node").where((F.col("first.key") != F.col("key")) | (F.col("first.place") != F.col("place")))
     cuts = gone.groupBy(F.col("key").alias("_key")).agg(F.collect_set("place").alias("_cut"))
     whole = rows.join(cuts, rows.key == cuts._key, "left")
     split = whole.select("row", F.split("text", "\n", -1).alias("lines"), F.coalesce("_cut", F.array().cast("array<int>")).alias("cut"))

@@ -207,9 +207,11 @@ def nearby(far: DataFrame, percent: int) -> DataFrame:
     ranked = every.join(shared, ["p", "gram"]).withColumn("behind", F.row_number().over(Window.partitionBy("p", "u").orderBy(F.desc("held"), "gram")))
     index = ranked.where(F.col("behind") >= needed(F.least(-F.col("top") - 1, F.col("a"))))
     probe = ranked.where((F.col("a") + F.col("top") < 0) & (F.col("behind") >= needed(F.col("top"))))
-    x = index.select("p", "gram", F.col("u").alias("x"), F.col("a").alias("ax"), F.col("c").alias("cx"))
-    y = probe.select("p", "gram", F.col("u").alias("y"), F.col("a").alias("ay"), F.col("c").alias("cy"))
-    met = x.join(y, ["p", "gram"]).where((F.col("cx") != F.col("cy")) & ((F.col("ax") > F.col("ay")) | ((F.col("ax") == F.col("ay")) & (F.col("x") != F.col("y")))))
+    x = index.select("p", "gram", F.col("u").alias("x"), F.col("a").alias("ax"), F.col("c").alias("cx"), F.col("behind").alias("bx"))
+    y = probe.select("p", "gram", F.col("u").alias("y"), F.col("a").alias("ay"), F.col("c").alias("cy"), F.col("behind").alias("by"))
+    # From the rarest gram that they share, both have at least as many grams left as they must share.
+    left = F.least("bx", "by") * scale >= -(F.col("ax") + F.col("ay"))
+    met = x.join(y, ["p", "gram"]).where((F.col("cx") != F.col("cy")) & left & ((F.col("ax") > F.col("ay")) | ((F.col("ax") == F.col("ay")) & (F.col("x") != F.col("y")))))
     out = direct.union(met.select(F.least("x", "y"), F.greatest("x", "y"))).where("u <> p").distinct()
     out._far = rows
     return out
