@@ -198,7 +198,7 @@ class Vocabulary:
 class Encoder:
     """Encodes batches of texts; keeps up to `keep` merged pieces, forgetting all when it is full."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 150_000):
         self.vocabulary, self.keep = Vocabulary(path), keep
         self._clear()
 
@@ -252,7 +252,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `most` characters; a longer text stands alone."""
     at, size = 0, 0
     for k, t in enumerate(texts):
@@ -270,7 +270,7 @@ def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
-        for batch in batches:
+        for batch in (whole.slice(a, 1_000) for whole in batches for a in range(0, len(whole), 1_000)):
             texts = [t or "" for t in batch.column(len(names)).to_pylist()]
             for a, b in _groups(texts):
                 ids, count = enc.encode(texts[a:b])
@@ -301,7 +301,7 @@ def decode_ids(df: DataFrame, ranks: str, keep: Sequence[str] = ("doc_id",), ids
         for batch in batches:
             column = batch.column(len(keep)).fill_null(b"")
             size = np.array([len(x) for x in column.to_pylist()], np.int64) // 4
-            step = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + 1, 1 << 20)[1:])
+            step = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + 1, 1 << 18)[1:])
             for a, b in zip([0, *step + 1], [*step + 1, len(size)]):
                 if a < b:
                     ids = np.frombuffer(b"".join(column.slice(a, b - a).to_pylist()), "<u4")

@@ -81,7 +81,7 @@ class Model:
 class Scorer:
     """Scores texts; keeps up to `keep` words' parts, forgetting all when it is full."""
 
-    def __init__(self, model: Model, keep: int = 500_000):
+    def __init__(self, model: Model, keep: int = 150_000):
         self.model, self.keep, self.known = model, keep, {}
 
     def logits(self, texts: list[str]) -> np.ndarray:
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
     rows = rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)) == 0).alias("apart"), F.col("doc_id").cast("long").alias("doc_id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, 256) for whole in batches for a in range(0, len(whole), 256)):
             out = [], []
             for text, toxic, apart, doc in zip(*(c.to_pylist() for c in batch.columns)):
                 if apart:
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in (whole.slice(a, 256) for whole in batches for a in range(0, len(whole), 256)):
             z = scorer.logits(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(z), batch.column(1).cast(pa.int32())], names=["z", "toxic"])
 
