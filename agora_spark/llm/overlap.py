@@ -36,7 +36,7 @@ def digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little") >> 1
 
 
-def deal(signs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def deal(signs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """(bucket, entries) batches of (keys, nodes, spares) arrays; holds at most about `most` entries."""
     held, size = [], 0
 
@@ -221,38 +221,19 @@ def resolve(member: DataFrame, sized: DataFrame | None, sets: DataFrame, decode:
     """(node, component) of the nodes that link: 100 * |A and B| >= percent * |A or B| within a group.
 
     member: (gid, u, p); sized: (node, n), or None where sizes rule out little; sets: (node, data) of
-    all members. Each row is first compared with the pivot that it shares most groups with, then with
-    its other groups' pivots, where it is still apart from them. Where rows of a group are then still
-    in different components, a group of at most `small` rows has those pairs compared; of larger ones,
-    which make a star around their pivot, the pairs that nearby() does not rule out. So every pair of a
-    group that links is in one component, and a row meets `small` others of a group or those near it.
+    all members. Each row is first compared with its groups' pivots. Where rows of a group are then
+    still in different components, a group of at most `small` rows has those pairs compared; of larger
+    ones, which make a star around their pivot, the pairs that nearby() does not rule out. So every pair
+    of a group that links is in one component, and a row meets `small` others of a group or those near it.
     """
-    stars = member.where("u <> p").groupBy("u", "p").agg(F.count("*").alias("shared"))
+    stars = member.where("u <> p").select("u", "p").distinct()
     if sized is not None:
         able = F.least("nu", "np") * 100 >= F.greatest("nu", "np") * percent
         stars = stars.join(sized.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("node").alias("p"), F.col("n").alias("np")), "p").where(able)
-    stars = materialize(stars.select("u", "p", "shared"), "stars")
-    best = materialize(stars.groupBy("u").agg(F.max(F.struct("shared", (-F.col("p")).alias("minus"))).alias("m")).select("u", (-F.col("m.minus")).alias("p")), "best")
-    links = materialize(link(best, sets, decode, percent), "links")
+    stars = materialize(stars.select("u", "p"), "stars")
+    links = materialize(link(stars, sets, decode, percent), "links")
     found = connected(links)
 
-    def again(pairs: DataFrame) -> None:
-        """Compare further pairs, and connect what links."""
-        nonlocal links, found
-        pairs = materialize(pairs, "pairs")
-        if not pairs.isEmpty():
-            fresh = materialize(link(pairs, sets, decode, percent), "links")
-            if not fresh.isEmpty():
-                whole = materialize(links.union(fresh), "links")
-                release(links, found)
-                links, found = whole, connected(whole)
-            release(fresh)
-        release(pairs)
-
-    u, p = (found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "up")
-    others = stars.select("u", "p").join(best, ["u", "p"], "left_anti").join(u, "u", "left").join(p, "p", "left")
-    again(others.where(F.coalesce("cu", "u") != F.coalesce("cp", "p")).select("u", "p"))
-    release(best)
     labelled = member.join(found.select(F.col("node").alias("u"), "component"), "u", "left").select("gid", "u", "p", F.coalesce("component", "u").alias("c"))
     mixed = labelled.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("gid", "n")
     rest = materialize(labelled.join(mixed, "gid"), "rest")
@@ -267,6 +248,10 @@ def resolve(member: DataFrame, sized: DataFrame | None, sets: DataFrame, decode:
         near = nearby(differences(rays.select("u", "p"), middle, sets, decode, percent).join(rays, ["u", "p"]), percent)
         made += [middle, near._far]
         pairs = pairs.union(near).distinct()
-    again(pairs)
-    release(links, *made)
+    pairs = materialize(pairs, "pairs")
+    if not pairs.isEmpty():
+        whole = materialize(links.union(link(pairs, sets, decode, percent)), "links")
+        release(links, found)
+        links, found = whole, connected(whole)
+    release(pairs, links, *made)
     return found
