@@ -264,8 +264,11 @@ def _groups(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    """(id, columns of keep, n_tokens long, ids binary[, ends binary]) of each row; ranks: path of the rank file on each machine."""
+def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, columns of keep, n_tokens long, ids binary[, ends binary][, decoded binary]) of each row; ranks: path of the rank file on each machine.
+
+    decoded: the bytes that the ids decode to, made in the same task.
+    """
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +284,15 @@ def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
                     ends, through = np.cumsum(size), np.cumsum(count)
                     before = np.concatenate(([0], ends))[through - count]
                     out.append(_binary((ends - np.repeat(before, count)).astype("<u4").view(np.uint8), count * 4))
-                yield pa.RecordBatch.from_arrays(out, names=[*names, "n_tokens", "ids", "ends"][: len(out)])
+                if decoded:
+                    data, ends = enc.vocabulary.decode(ids)
+                    through = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(count)))]
+                    out.append(_binary(data, np.diff(through)))
+                yield pa.RecordBatch.from_arrays(out, names=[*names, "n_tokens", "ids", *["ends"] * offsets, *["decoded"] * decoded])
 
     rows = df.select(*(F.col(c) for c in names), F.col(text_col).cast("string").alias("_text"))
     kinds = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(names, rows.schema))
-    return rows.mapInArrow(run, f"{kinds}, n_tokens long, ids binary" + ", ends binary" * offsets)
+    return rows.mapInArrow(run, f"{kinds}, n_tokens long, ids binary" + ", ends binary" * offsets + ", decoded binary" * decoded)
 
 
 def _binary(data: np.ndarray, size: np.ndarray) -> pa.Array:

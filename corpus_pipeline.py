@@ -68,8 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids binary) of each document; the ids decode to its text, or the run fails."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode_texts(docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), ranks, keep=("digest",))
-    back = bpe.decode_ids(ids, ranks, keep=("doc_id", "n_tokens", "ids", "digest"))
+    back = bpe.encode_texts(docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), ranks, decoded=True, keep=("digest",))
     same = F.sha2("decoded", 256) == F.col("digest")
     return back.select("doc_id", "n_tokens", F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("ids do not decode to their text"))).alias("ids"))
 
