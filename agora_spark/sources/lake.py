@@ -23,5 +23,8 @@ def write(envelopes: DataFrame, path: str) -> None:
 
 def read(spark: SparkSession, path: str, schema: str, dataset: str, since: str) -> DataFrame:
     """One dataset from a day on; only its partitions are listed. Rows that do not parse are left out."""
-    rows = spark.read.schema(f"{schema}, source string, dataset string, dt string, hour string, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.where((F.col("dataset") == dataset) & (F.col("dt") >= since)).where("_corrupt_record IS NULL").drop("_corrupt_record")
+    places = ["source", "dataset", "dt", "hour"]
+    lines = spark.read.schema("value string, source string, dataset string, dt string, hour string").text(path)
+    lines = lines.where((F.col("dataset") == dataset) & (F.col("dt") >= since))
+    rows = lines.select(F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), *places)
+    return rows.where("r._corrupt_record IS NULL").select("r.*", *places).drop("_corrupt_record")
