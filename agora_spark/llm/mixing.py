@@ -3,11 +3,15 @@
 Documents are summed up in cells of source, language and topic levels. The levels are those that the
 targets name, and "other" for the rest, so there are no more cells than the targets allow, whatever
 the corpus. Raking multiplies the cells' weights until the tokens of each source, language and topic
-have their target shares. Each document is then kept with probability min(1, scale * weight), where
-the scale makes the expected number of kept tokens the wanted fraction of all.
+have their target shares. Each document then gets a number of copies whose expectation is its weight
+times the wanted fraction of all tokens, so that the copies have the target shares at any fraction.
+
+Beside them stands the draw without repeats: kept with probability min(1, scale * weight), where the
+scale makes the expected number of kept tokens the wanted fraction. No cell can give more than it has,
+so the kept rows reach the targets only where no scaled weight is over 1; else they stay nearer the input.
 
 Defined results: null and empty texts have no tokens; they count in no cell but are drawn with their
-cell's probability. Null sources and languages are "other". Targets of levels that no token has go
+cell's probability, once at most. Null sources and languages are "other". Targets of levels that no token has go
 to the others in proportion; a level with target 0 gets weight 0. Whether a document is kept depends
 on its id alone (and the seed), so repeated rows share their fate; null ids count as empty ids.
 Empty tables give empty tables. Extra columns are not read.
@@ -64,7 +68,7 @@ def _rake(cells: Column, shares: Column, dim: str) -> Column:
 
 
 def mix(docs: DataFrame, targets: Targets | None = None, fraction: float = 0.5, seed: int = 7, rounds: int = 12, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """(id, n_tokens, source_level, lang_level, topic, weight, probability, kept) of each document, and the columns of keep."""
+    """(id, n_tokens, source_level, lang_level, topic, weight, probability, kept, copies) of each document, and the columns of keep."""
     dims = (targets or Targets()).dimensions()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
@@ -94,8 +98,9 @@ def mix(docs: DataFrame, targets: Targets | None = None, fraction: float = 0.5,
         fits = a["found"] | ((a["rest"] > 0) & (-c["minus"] * scale <= 1))
         return F.struct((a["sure"] + F.when(fits, 0.0).otherwise(c["n"])).alias("sure"), (a["rest"] + F.when(fits, 0.0).otherwise(c["n"] * c["minus"])).alias("rest"), F.when(a["found"], a["scale"]).when(fits, scale).otherwise(a["scale"]).alias("scale"), fits.alias("found"))
 
-    one = one.select("cells", F.aggregate(ordered, start, descend, lambda a: a["scale"]).alias("scale"))
-    weights = one.select(F.explode("cells").alias("c"), "scale").select(F.col("c.source").alias("_source"), F.col("c.lang").alias("_lang"), F.col("c.topic").alias("_topic"), F.col("c.f").alias("weight"), F.round(F.least(F.lit(1.0), F.col("c.f") * F.greatest(F.col("scale"), F.lit(0.0))), 9).alias("probability"))
+    raked = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["n"] * c["f"])
+    one = one.select("cells", F.aggregate(ordered, start, descend, lambda a: a["scale"]).alias("scale"), F.when(raked > 0, F.col("total") * fraction / raked).otherwise(0.0).alias("share"))
+    weights = one.select(F.explode("cells").alias("c"), "scale", "share").select(F.col("c.source").alias("_source"), F.col("c.lang").alias("_lang"), F.col("c.topic").alias("_topic"), F.col("c.f").alias("weight"), F.round(F.least(F.lit(1.0), F.col("c.f") * F.greatest(F.col("scale"), F.lit(0.0))), 9).alias("probability"), F.round(F.col("c.f") * F.col("share"), 9).alias("_expected"))
     most = 1
     for _, levels, _ in dims:
         most *= len(levels)
@@ -103,12 +108,15 @@ def mix(docs: DataFrame, targets: Targets | None = None, fraction: float = 0.5,
     drawn = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / 2.0**32
     out = rows.join(F.broadcast(weights), ["_source", "_lang", "_topic"], "left")
     names = [F.get(F.lit(levels), F.col(f"_{name}")).alias(f"{name}_level" if name != "topic" else "topic") for name, levels, _ in dims]
-    out = out.select("_kept.*", "n_tokens", *names, F.coalesce(F.col("weight"), F.lit(1.0)).alias("weight"), F.coalesce(F.col("probability"), F.lit(1.0)).alias("probability"), drawn.alias("_drawn"))
-    return out.withColumn("kept", F.col("_drawn") < F.col("probability")).drop("_drawn")
+    out = out.select("_kept.*", "n_tokens", *names, F.coalesce(F.col("weight"), F.lit(1.0)).alias("weight"), F.coalesce(F.col("probability"), F.lit(1.0)).alias("probability"), "_expected", drawn.alias("_drawn"))
+    out = out.withColumn("kept", F.col("_drawn") < F.col("probability"))
+    whole = F.floor("_expected")
+    copies = F.when(F.col("n_tokens") > 0, whole + (F.col("_drawn") < F.col("_expected") - whole).cast("long")).otherwise(F.col("kept").cast("long"))
+    return out.withColumn("copies", copies).drop("_expected", "_drawn")
 
 
 def oracle(targets: Targets | None = None, fraction: float = 0.5, seed: int = 7, rounds: int = 12) -> str:
-    """DuckDB SQL for mix() over documents."""
+    """DuckDB SQL for mix() over documents, without the copies."""
     dims = (targets or Targets()).dimensions()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     level = {name: "CASE " + " ".join(f"WHEN {value} = {quote(x)} THEN {quote(x)}" for x in levels[:-1]) + " ELSE 'other' END" for (name, levels, _), value in zip(dims, ("source", "lang", "topic_value"))}

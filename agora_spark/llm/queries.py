@@ -58,7 +58,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"))
+    out = mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
     return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 

@@ -18,7 +18,7 @@ from agora_spark.llm.common import materialize, owned_by, release, release_owned
 
 #: Near copies: five words a shingle, a Jaccard share of 0.8.
 WIDTH, PERCENT = 5, 80
-#: Part of the tokens that mixing keeps; near 1, so that it evens out the mixture and drops little else.
+#: Tokens after mixing for each token before; near 1, so that it evens out the mixture and the corpus stays about as large.
 FRACTION = 0.9
 
 
@@ -60,8 +60,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics come near their target weights."""
-    return mixing.mix(docs, fraction=FRACTION, keep=docs.columns).where("kept").select(*docs.columns)
+    """Documents drawn so that sources, languages and topics have their target weights; what is rarer than its target is repeated."""
+    drawn = mixing.mix(docs, fraction=FRACTION, keep=docs.columns).where("copies > 0")
+    return drawn.select(*docs.columns, F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
 @_stage

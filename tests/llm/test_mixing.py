@@ -1,6 +1,7 @@
 import math
 import re
 
+import corpus_pipeline as P
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +47,43 @@ def test_odd_rows(spark):
     assert [r.n_tokens for r in got if r.doc_id == 4] == [50_000]
     assert M.mix(df.limit(0)).collect() == []
     assert [r.probability for r in M.mix(df.where("doc_id = 1")).collect()] == [1.0]
+
+
+def test_copies_meet_the_targets_where_one_of_each_cannot(spark):
+    dims = M.Targets().dimensions()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    for fraction in (P.FRACTION, 0.5):
+        out = M.mix(docs, fraction=fraction).cache()
+        total, drawn = out.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("copies"))).first()
+        assert drawn / total == pytest.approx(fraction, rel=0.03)
+        for name, levels, shares in dims:
+            column = "topic" if name == "topic" else f"{name}_level"
+            got = {r[0]: r[1] / drawn for r in out.groupBy(column).agg(F.sum(F.col("n_tokens") * F.col("copies"))).collect()}
+            there = sum(s for x, s in zip(levels, shares) if x in got)
+            for x, s in zip(levels, shares):
+                if x in got:
+                    assert got[x] == pytest.approx(s / there, abs=0.02, rel=0.15), (fraction, x)
+        off = out.where(F.abs(F.col("copies") - F.col("weight") * fraction) >= 1).where("n_tokens > 0")
+        assert off.count() == 0
+        out.unpersist()
+
+
+def test_the_stage_repeats_rows_to_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = P.mix_sources(spark, docs, "/root/testdata/sf0.1")
+    assert rows.columns == docs.columns
+    topic = M.topic_of(F.coalesce("text", F.lit("")))
+    tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    got = rows.groupBy(topic.alias("topic")).agg(F.sum(tokens).alias("n")).collect()
+    total = sum(r.n for r in got)
+    for r in got:
+        assert r.n / total == pytest.approx(M.Targets().topic[r.topic], abs=0.02, rel=0.15), r.topic
+    source = {r[0]: r[1] / total for r in rows.groupBy("source").agg(F.sum(tokens)).collect()}
+    assert source["src0"] == pytest.approx(0.15, abs=0.015)
+
+
+def test_rows_without_tokens_are_not_repeated(spark):
+    rows = [(k, "", "en", "src0") for k in range(20)] + [(20, "a b", "en", "src0"), (21, "w " * 900, "de", "src1")]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), fraction=0.9).collect()
+    assert all(r.copies == r.kept for r in got if r.n_tokens == 0)
+    assert [r.copies for r in got if r.doc_id == 20][0] > 1
