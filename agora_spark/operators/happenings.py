@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +15,14 @@ from agora_spark.functions.dates import local_day, micros
 from agora_spark.functions.sets import band, in_window
 from agora_spark.functions.text import distinctive_tokens, normalize_title
 
+# What venue names hold besides the name itself, and what a handle looks like.
+LOCALITIES = ("boa viagem", "marco zero", "rio mar", "santo antonio", "casa forte", "jardim paulista", "zona sul", "zona norte")
+GENERIC_NAME_WORDS = frozenset(
+    "restaurante restaurant pizzaria bar cafe cafeteria boteco botequim lounge pub club clube churrascaria trattoria bistro bistr gastrobar burguer burger lanches sushi self service oficial academia shopping teatro "
+    "recife boaviagem riomar marcozero gracas pina olinda pernambuco pe brasil brazil do da de e o a".split()
+)
+HANDLE = r"(?U)(?<![\w.])@[A-Za-z0-9_.]{1,30}"
+
 
 def source_key(title, starts_at):
     """32 hex characters of a hash of normalised title and calendar date."""
@@ -67,26 +77,54 @@ def richest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*(F.col(c) if c in keys else F.col(f"_b.{c}").alias(c) for c in rows.columns)).unionByName(rows.where(~known))
 
 
+def letters(name: str | None) -> str:
+    """Only a-z and 0-9 of a name without its marks."""
+    return re.sub("[^a-z0-9]+", "", unicodedata.normalize("NFKD", name or "").encode("ascii", "ignore").decode().lower())
+
+
+def venue_core(name: str | None) -> str:
+    """The letters of a venue's name without localities and generic words; all of them if no others are there."""
+    rest = (name or "").lower()
+    for phrase in LOCALITIES:
+        rest = rest.replace(phrase, " ")
+    words = [letters(w) for w in re.split(r"[\s\-|,/]+", rest)]
+    return "".join(w for w in words if w and w not in GENERIC_NAME_WORDS) or letters(name)
+
+
+def name_similarity(name: str | None, text: str | None) -> float:
+    """The largest Ratcliff-Obershelp ratio of a venue's name, its letters and its core with a text; 0.95 at least where core and text hold each other."""
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    if not name or not text:
+        return 0.0
+    plain = ratio(name.strip().lower(), text.strip().lower())
+    whole, other, core = letters(name), letters(text), venue_core(name)
+    if not whole or not other:
+        return plain
+    if len(core) >= 5 and (core in other or other in core) and 2 * min(len(core), len(other)) >= max(len(core), len(other)):
+        return max(plain, 0.95)
+    return max(plain, ratio(whole, other), ratio(core, other))
+
+
 @F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two folded names."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
+def similarity(names: pd.Series, texts: pd.Series) -> pd.Series:
+    """name_similarity of venue names and texts."""
+    return pd.Series([name_similarity(a, b) for a, b in zip(names, texts)], dtype="float64")
 
 
 def ranked_links(mentions: DataFrame, places: DataFrame, floor: float = 0.55, margin: float = 0.08) -> DataFrame:
-    """(event_id, place, score, rank, linked) of the places whose name shares a token with a mention's text.
+    """(event_id, place, score, rank, linked) of all places whose name is in any way like a mention's text.
 
-    linked: the first is at least `floor` good, and ahead of the second by `margin` or alone.
+    linked: the first is at least `floor` good, and ahead of the second by `margin` or alone. Texts with
+    an @handle have no candidates. Every name meets every text, but each different pair is scored once.
     """
     from pyspark.sql import Window
 
-    words = lambda c: F.explode(F.array_distinct(F.split(F.col(c), " "))).alias("word")
-    left = mentions.select("event_id", "text", words("text"))
-    right = places.select("place", "name", words("name"))
-    pairs = left.join(right, "word").select("event_id", "text", "place", "name").distinct()
-    scored = pairs.withColumn("score", F.round(similarity("text", "name"), 6))
-    order = Window.partitionBy("event_id").orderBy(F.desc("score"), "place")
-    out = scored.withColumns({"rank": F.row_number().over(order), "next": F.lead("score").over(order)})
+    heard = mentions.where(~F.col("text").rlike(HANDLE))
+    pairs = heard.select("text").distinct().crossJoin(places.select("name").distinct())
+    scored = pairs.withColumn("exact", similarity("name", "text")).where("exact > 0").withColumn("score", F.round("exact", 4))
+    found = heard.select("event_id", "text").join(scored, "text").join(places.select("place", "name"), "name")
+    order = Window.partitionBy("event_id").orderBy(F.desc("exact"), "place")
+    out = found.withColumns({"rank": F.row_number().over(order), "next": F.lead("score").over(order)})
     sure = (F.col("rank") == 1) & (F.col("score") >= floor) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin))
     return out.select("event_id", "place", "score", "rank", sure.alias("linked"))
 

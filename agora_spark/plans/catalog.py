@@ -369,8 +369,8 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def link_candidates_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentions = S.post_item(spark, sf_dir).select("event_id", text.fold_text(F.col("title")).alias("text"))
-    names = S.read(spark, sf_dir, "part").select(text.fold_text(F.col("p_name")).alias("name")).distinct().withColumn("place", F.col("name"))
+    mentions = S.post_item(spark, sf_dir).select("event_id", F.col("title").alias("text"))
+    names = S.read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("place", F.col("name"))
     return happenings.ranked_links(mentions, names)
 
 

@@ -134,3 +134,32 @@ def test_streams(spark, tmp_path, sf_dir):
     lake_rows = lake.envelope(stream, "events", "app", F.col("props"))
     streaming.write_lake(lake_rows, str(tmp_path / "lake"), str(tmp_path / "ck"), at_once=True).awaitTermination()
     assert spark.read.json(str(tmp_path / "lake")).count() == events.count()
+
+
+def test_links_are_ranked_over_all_pairs(spark):
+    import difflib
+
+    # (name, its letters, its core), by hand
+    names = [("Barzinho", "barzinho", "barzinho"), ("Bar zinho", "barzinho", "zinho"), ("Mercado", "mercado", "mercado"), ("Restaurante Parraxaxa Boa Viagem", "restauranteparraxaxaboaviagem", "parraxaxa"), ("Bercy", "bercy", "bercy"), ("Café São Ciro", "cafesaociro", "saociro"), ("Xyz", "xyz", "xyz")]
+    texts = [("Barzinho", "barzinho"), ("Mercadao", "mercadao"), ("parraxaxaoficial", "parraxaxaoficial"), ("bercyvillage", "bercyvillage"), ("cafe sao ciro", "cafesaociro"), ("!!", ""), ("com @mercado", None), (None, None)]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+
+    def score(name, letters, core, text, other):
+        plain = ratio(name.lower(), text.lower())
+        if not other:
+            return plain
+        if len(core) >= 5 and (core in other or other in core) and min(len(core), len(other)) / max(len(core), len(other)) >= 0.5:
+            return max(plain, 0.95)
+        return max(plain, ratio(letters, other), ratio(core, other))
+
+    want = {}
+    for k, (text, other) in enumerate(texts):
+        scores = [] if other is None else sorted((-s, n[0]) for n in names if (s := score(*n, text, other)) > 0)
+        for r, (s, name) in enumerate(scores):
+            ahead = len(scores) == 1 or round(-s, 4) - round(-scores[1][0], 4) >= 0.08
+            want[k, name] = (pytest.approx(-s, abs=6e-5), r + 1, r == 0 and -s >= 0.55 and ahead)
+    mentions = spark.createDataFrame([(k, t[0]) for k, t in enumerate(texts)], "event_id long, text string")
+    places = spark.createDataFrame([(n[0], n[0]) for n in names], "place string, name string")
+    got = {(r.event_id, r.place): (r.score, r.rank, r.linked) for r in happenings.ranked_links(mentions, places).collect()}
+    assert got == want
+    assert not got[0, "Barzinho"][2] and got[1, "Mercado"][2] and got[2, "Restaurante Parraxaxa Boa Viagem"][2]
