@@ -144,5 +144,16 @@ def absorbed(undated: DataFrame, dated: DataFrame, days: int = 14) -> DataFrame:
     return j.where(gap <= days * 86_400_000_000).groupBy("event_id").agg(F.min(F.struct(gap.alias("gap"), "into")).alias("m")).select("event_id", F.col("m.into").alias("into"))
 
 
+def undated_twins(undated: DataFrame, dated: DataFrame, generic: list[str], stop: list[str], days: int = 14) -> DataFrame:
+    """(event_id, into) as absorbed(), of one venue and handle and the same distinctive words, whatever their order, case or marks; titles without such words have no twin.
+
+    Both sides have venue, venue_name, handle and title.
+    """
+    words = distinctive_tokens(F.col("title"), F.col("venue_name"), F.array(*map(F.lit, generic)), F.array(*map(F.lit, stop)))
+    key = lambda rows: rows.withColumn("title", F.concat_ws(" ", words)).where("title <> ''").withColumn("handle", F.struct("venue", "handle"))
+    named = F.col("venue").isNotNull() & (F.col("handle") != "")
+    return absorbed(key(undated.where(named)), key(dated.where(named)), days)
+
+
 def night(ts):
     return local_day(ts)

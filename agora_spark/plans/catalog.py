@@ -310,6 +310,16 @@ def undated_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return happenings.absorbed(undated, dated, 60)
 
 
+@query(S.sql("item") + f""", w AS (SELECT event_id, venue, handle, starts_at, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^0-9a-z]+'), lambda t: t <> '' AND NOT list_contains([{_list(GENERIC + STOP)}], t) AND (len(t) >= 2 OR regexp_matches(t, '^[0-9]$'))))) AS words FROM item)
+SELECT u.event_id, min(struct_pack(gap := abs(epoch_us(o_orderdate) - epoch_us(d.starts_at)), id := d.event_id)).id AS "into" FROM w u JOIN orders ON o_orderkey = u.event_id JOIN w d ON d.venue = u.venue AND d.handle = u.handle AND d.words = u.words AND len(u.words) > 0
+WHERE u.starts_at IS NULL AND d.starts_at IS NOT NULL AND abs(epoch_us(o_orderdate) - epoch_us(d.starts_at)) <= 14 * 86400000000 GROUP BY 1""")
+def undated_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-15 by its rule: venue, handle, distinctive words of the real title, 14 days. The stand-in has no venue names."""
+    items = S.post_item(spark, sf_dir).select("event_id", "venue", "handle", "title", "starts_at", F.lit(None).cast("string").alias("venue_name"))
+    posted = S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("posted"))
+    return happenings.undated_twins(items.where("starts_at IS NULL").join(posted, "event_id"), items.where("starts_at IS NOT NULL"), GENERIC, STOP)
+
+
 @query(S.sql("venue") + f"SELECT a.venue_id, b.venue_id AS other_venue_id, round({_km('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371.0)}, 6) AS km FROM venue a JOIN venue b ON a.k < b.k AND a.lat IS NOT NULL AND (trim(a.name) = trim(b.name) AND trim(a.name) <> '' OR least(length(trim(a.name)), length(trim(b.name))) >= 5 AND (contains(trim(a.name), trim(b.name)) OR contains(trim(b.name), trim(a.name)))) AND {_km('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371.0)} <= 0.05")
 def duplicate_venue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.duplicate_pairs(S.venue(spark, sf_dir), 50).select("venue_id", "other_venue_id", F.round("km_away", 6).alias("km"))

@@ -163,3 +163,24 @@ def test_links_are_ranked_over_all_pairs(spark):
     got = {(r.event_id, r.place): (r.score, r.rank, r.linked) for r in happenings.ranked_links(mentions, places).collect()}
     assert got == want
     assert not got[0, "Barzinho"][2] and got[1, "Mercado"][2] and got[2, "Restaurante Parraxaxa Boa Viagem"][2]
+
+
+def test_undated_twins(spark):
+    at = dt.datetime(2024, 1, 10)
+    dated = [(1, 7, "Bar Azul", "h", "Samba do Zé Show", at), (2, 8, "Outro", "h", "samba ze", at), (3, 7, "Bar Azul", "x", "samba ze", at), (4, 7, "Bar Azul", "h", "show", at), (5, 7, "Bar Azul", "h", "31", at)]
+    undated = [(k, 7, "Bar Azul", "h", title, at + dt.timedelta(days=days)) for k, title, days in [(10, "Zé: SAMBA, live no Azul", 14), (11, "samba ze", 15), (12, "samba", 1), (13, "live band", 1), (14, "31 show", -14)]]
+    schema = "event_id long, venue long, venue_name string, handle string, title string, {} timestamp"
+    got = happenings.undated_twins(spark.createDataFrame(undated, schema.format("posted")), spark.createDataFrame(dated, schema.format("starts_at")), ["show", "live", "band"], ["do", "no"])
+    assert {tuple(r) for r in got.collect()} == {(10, 1), (14, 5)}
+
+
+def test_undated_twins_equal_sql_where_there_are_some(spark):
+    import duckdb
+
+    from agora_spark.plans import catalog
+
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("orders", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(catalog.ORACLES["undated_twins"]).fetchall()
+    assert want and sorted(want) == sorted(map(tuple, catalog.QUERIES["undated_twins"](spark, sf).collect()))
