@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Latin letters with marks, and the letters they fold to, place by place.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -23,19 +27,38 @@ def unmark(text: Column) -> Column:
     return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), MARKED, PLAIN)
 
 
+def _plain(text: str) -> str:
+    return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+
+
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _plain(t).casefold() for t in texts], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _folded_title(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _plain(t.casefold()) for t in texts], dtype=object)
+
+
+def _fold_exactly(text: Column, fold) -> Column:
+    """Case folded and without the marks of any letters (NFKD); only texts beyond ASCII go to Python."""
+    return F.coalesce(fold(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+
+
 def fold_text(text: Column) -> Column:
     """Unmarked, everything but letters and digits a blank, blanks squeezed. Null is empty."""
-    return F.trim(F.regexp_replace(unmark(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(_fold_exactly(F.coalesce(text, F.lit("")), _folded), r"[^\p{L}\p{N}]+", " "))
 
 
 def normalize_title(title: Column) -> Column:
     """Unmarked, trimmed, blanks squeezed; punctuation stays. Null is empty."""
-    return F.regexp_replace(F.trim(unmark(F.coalesce(title, F.lit("")))), r"\s+", " ")
+    return F.regexp_replace(F.trim(_fold_exactly(F.coalesce(title, F.lit("")), _folded_title)), r"\s+", " ")
 
 
 def fold_ascii(text: Column) -> Column:
     """Only a-z and 0-9 of the unmarked text."""
-    return F.regexp_replace(unmark(F.coalesce(text, F.lit(""))), "[^a-z0-9]", "")
+    return F.regexp_replace(_fold_exactly(F.coalesce(text, F.lit("")), _folded), "[^a-z0-9]", "")
 
 
 def names_match(a: Column, b: Column, least: int = 5) -> Column:

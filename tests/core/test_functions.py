@@ -184,3 +184,15 @@ def test_undated_twins_equal_sql_where_there_are_some(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(catalog.ORACLES["undated_twins"]).fetchall()
     assert want and sorted(want) == sorted(map(tuple, catalog.QUERIES["undated_twins"](spark, sf).collect()))
+
+
+def test_folding_of_all_marked_letters(spark):
+    import unicodedata
+
+    names = [("Čeští Žižkov", "cesti zizkov"), ("Hőség Űr", "hoseg ur"), ("Dağ Ąę Ā", "dag ae a"), ("Phở Việt", "pho viet"), ("ﬁlé Ｂａｒ", "file bar"), ("Straße", "strasse"), ("Bar 2", "bar 2")]
+    rows = [(k, form, unicodedata.normalize(form, name), want) for k, (name, want) in enumerate(names) for form in ("NFC", "NFD")]
+    df = spark.createDataFrame(rows, "k long, form string, name string, want string")
+    name = F.col("name")
+    for r in df.select("want", text.fold_text(name).alias("t"), text.normalize_title(name).alias("n"), text.fold_ascii(name).alias("a"), text.title_tokens(name).alias("w")).collect():
+        assert (r.t, r.n, r.a, r.w) == (r.want, r.want, r.want.replace(" ", ""), r.want.split())
+    assert df.groupBy("k").agg(F.count_distinct(happenings.source_key(name, F.lit(None).cast("timestamp"))).alias("n")).where("n <> 1").count() == 0
