@@ -490,3 +490,15 @@ def dedupe_by_key_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = S.read(spark, sf_dir, "events").select("user_id").distinct()
     return users.select("user_id", (F.char_length(text.hmac_sha256("key", F.col("user_id").cast("string"))) == 64).alias("ok"))
+
+
+def _hmac(key: bytes, x: str) -> str:
+    inner, outer = ("".join(f"\\x{b ^ pad:02X}" for b in key.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return f"sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || encode({x}))))"
+
+
+@query(f"SELECT DISTINCT user_id, {_hmac(b'key', 'user_id::VARCHAR')} AS pseudonym FROM events")
+def user_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HSH-02 with the pseudonyms themselves; pseudonyms only says that there are some."""
+    users = S.read(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select("user_id", text.hmac_sha256("key", F.col("user_id").cast("string")).alias("pseudonym"))

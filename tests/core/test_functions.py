@@ -196,3 +196,11 @@ def test_folding_of_all_marked_letters(spark):
     for r in df.select("want", text.fold_text(name).alias("t"), text.normalize_title(name).alias("n"), text.fold_ascii(name).alias("a"), text.title_tokens(name).alias("w")).collect():
         assert (r.t, r.n, r.a, r.w) == (r.want, r.want, r.want.replace(" ", ""), r.want.split())
     assert df.groupBy("k").agg(F.count_distinct(happenings.source_key(name, F.lit(None).cast("timestamp"))).alias("n")).where("n <> 1").count() == 0
+
+
+def test_pseudonyms_of_all_users(spark, sf_dir):
+    from agora_spark.plans import catalog
+
+    rows = catalog.QUERIES["user_pseudonyms"](spark, sf_dir).collect()
+    users = {r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().collect()}
+    assert {r.user_id: r.pseudonym for r in rows} == {u: hmac.new(b"key", str(u).encode(), hashlib.sha256).hexdigest() for u in users}
