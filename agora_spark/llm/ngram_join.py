@@ -12,11 +12,13 @@ itself counts overlaps; only rows that could reach the wanted Jaccard share are
    but D parts, each row leaves its most frequent parts and meets others in its D + 1 rarest. Sets are
    compared within a class of sizes and with the next one, as the bound on sizes allows.
 3. In each group every row is multiplied with one pivot: overlaps are accumulated over the sorted
-   n-grams of a block of rows at once, and pairs below the bound are discarded. What remains are links.
-4. Components by distributed union-find. Rows of a group that are still apart are compared with further
-   pivots, then with every row of the other components of their group, until none is left to compare:
-   no link between different sets is missed that would join two components, and no group emits all
-   its pairs.
+   n-grams of a block of rows at once, and pairs below the bound are discarded. What remains are links,
+   which distributed union-find makes components of.
+4. Where rows of a group are still apart, the sparse matrix of their differences from the pivot is
+   multiplied with itself, gram by gram and in blocks: only rows of different components that share one
+   of their rarer differences meet, and pairs are discarded by the number of differences that are left
+   to share and by odd sketches. What remains is compared exactly. No link between different sets is
+   missed that would join two components, and no group emits all its pairs.
 
 Only D (id, size, digest), groups of digests and links are written; sets are made again from the texts
 of those documents that share a part with another.
@@ -39,22 +41,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora_spark.llm.common import materialize, release
+from agora_spark.llm.common import lean, materialize, release
 from agora_spark.llm.overlap import ENTRY, _mix, deal, digest, groups, resolve
 
 ODD1, ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-BATCH = 1 << 20
+BATCH = 1 << 18
 #: Parts per difference that the bound allows, so that enough of them are not empty.
 SPARE = 1.3
 
 
-@lru_cache(4)
 def _all_powers(base: int, most: int) -> np.ndarray:
     return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(most - 1, base, np.uint64))))
 
 
+@lru_cache(4)
+def _usual_powers(base: int) -> np.ndarray:
+    return _all_powers(base, BATCH + 1)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    return _all_powers(base, max(1 << 20, 1 << n.bit_length()))[:n]
+    return _usual_powers(base)[:n] if n <= BATCH + 1 else _all_powers(base, n)
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +171,7 @@ def nodes_of(docs: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(batch.column(1), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s.tobytes()) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, node long")
 
 
 def entries_of(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
@@ -186,7 +192,7 @@ def entries_of(docs: DataFrame, width: int, percent: int, buckets: int) -> DataF
 
         yield from deal(signs(), buckets)
 
-    return docs.select("text").mapInArrow(run, "bucket long, entries binary")
+    return docs.select("text").mapInArrow(lean(run), "bucket long, entries binary")
 
 
 def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", parallel: int | None = None) -> DataFrame:
@@ -211,7 +217,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
             keep = [s for s in shingle_sets(batch.column(0), width) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s.tobytes()) for s in keep], pa.int64()), pa.array([s.tobytes() for s in keep], pa.binary())], names=["node", "data"])
 
-    sets = materialize(texts.select("text").mapInArrow(encode, "node long, data binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(texts.select("text").mapInArrow(lean(encode), "node long, data binary").dropDuplicates(["node"]), "sets")
     sized = nodes.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"))
     found = resolve(member, sized, sets, lambda data: [np.frombuffer(x.as_py(), np.uint64) for x in data], percent)
     release(member, sets)

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora_spark.llm.common import materialize, release
+from agora_spark.llm.common import lean, materialize, release
 from agora_spark.llm.components import connected
 
 Decode = Callable[[pa.Array], list[np.ndarray]]
@@ -102,64 +103,71 @@ def groups(dealt: DataFrame) -> DataFrame:
     return out
 
 
-def _blocks(pairs: DataFrame, pivots: DataFrame, sets: DataFrame, per_task: int) -> DataFrame:
-    """(p, kind, u, data) of pairs (u, p), in streams of a pivot's data (kind 0) and then its rows' (kind 1). pivots: (p, data).
+def _blocks(pairs: DataFrame, pivots: DataFrame, sets: DataFrame, per_task: int = 2_000) -> DataFrame:
+    """(p, kind, u, c, cp, data) of pairs (u, p, c, cp), in streams of a pivot's data (kind 0) and then its rows' (kind 1). pivots: (p, data); sets: (node, data).
 
-    A pivot of many rows has many blocks.
+    A pivot of many rows has many streams; cp of kind 0 is their number.
     """
     shares = pairs.groupBy("p").agg(F.ceil(F.count("*") / per_task).cast("int").alias("shares"))
     rows = pairs.join(shares, "p").withColumn("share", F.pmod(F.xxhash64("u"), F.col("shares")).cast("int"))
-    right = rows.join(sets.withColumnRenamed("node", "u"), "u").select("p", "share", F.lit(1).alias("kind"), "u", "data")
-    left = shares.join(pivots, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("p").alias("u"), "data")
-    return left.unionByName(right).repartition("p", "share").sortWithinPartitions("p", "share", "kind").select("p", "kind", "u", "data")
-
-
-def _runs(batch: pa.RecordBatch, pivot: np.ndarray | None, decode: Decode, pivot_decode: Decode) -> Iterator[tuple[np.ndarray, list[int], list[int], list[np.ndarray]]]:
-    """(pivot, ps, us, rows) of the runs of rows in one batch of _blocks(); pivot is the last one of the batch before."""
-    p, kind, u = (batch.column(k).to_pylist() for k in range(3))
-    data, at = batch.column(3), 0
-    while at < len(p):
-        if kind[at] == 0:
-            (pivot,) = pivot_decode(data.slice(at, 1))
-            at += 1
-            yield pivot, [], [], []
-            continue
-        end = at
-        while end < len(p) and kind[end] == 1 and p[end] == p[at] and end - at < 256:
-            end += 1
-        yield pivot, p[at:end], u[at:end], decode(data.slice(at, end - at))
-        at = end
-
-
-def link(pairs: DataFrame, sets: DataFrame, decode: Decode, percent: int, per_task: int = 2_000) -> DataFrame:
-    """Those of pairs (u, p) that link. sets: (node, data); decode makes sorted arrays of grams from data.
+    right = rows.join(sets.withColumnRenamed("node", "u"), "u").select("p", "share", F.lit(1).alias("kind"), "u", "c", "cp", "data")
+    left = shares.join(pivots, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("p").alias("u"), F.col("p").alias("c"), F.col("shares").cast("long").alias("cp"), "data")
+    return left.unionByName(right).repartition("p", "share").sortWithinPartitions("p", "share", "kind").select("p", "kind", "u", "c", "cp", "data")
+
+
+@dataclass
+class Run:
+    """Some rows of a stream of _blocks(), one of so many of the pivot; first: the stream begins with it."""
+
+    p: int
+    pivot: np.ndarray
+    streams: int
+    first: bool
+    u: np.ndarray
+    c: np.ndarray
+    cp: np.ndarray
+    rows: list[np.ndarray]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], decode: Decode, pivot_decode: Decode) -> Iterator[Run]:
+    pivot, streams, first = None, 1, False
+    for batch in batches:
+        p, kind = (batch.column(k).to_pylist() for k in range(2))
+        u, c, cp = (batch.column(k).to_numpy() for k in (2, 3, 4))
+        data, at = batch.column(5), 0
+        while at < len(p):
+            if kind[at] == 0:
+                (pivot,), streams, first = pivot_decode(data.slice(at, 1)), int(cp[at]), True
+                at += 1
+                continue
+            end = at
+            while end < len(p) and kind[end] == 1 and p[end] == p[at] and end - at < 256:
+                end += 1
+            yield Run(p[at], pivot, streams, first, u[at:end], c[at:end], cp[at:end], decode(data.slice(at, end - at)))
+            at, first = end, False
+
+
+def link(pairs: DataFrame, sets: DataFrame, decode: Decode, percent: int) -> DataFrame:
+    """(a, b): the components c and cp of those pairs (u, p, c, cp) that link. sets: (node, data); decode makes sorted arrays of grams from data.
 
     The pivot p and its rows u form blocks; a block's rows pass in one stream, and each run of rows is
     multiplied with the pivot at once.
     """
-    dealt = _blocks(pairs, sets.withColumnRenamed("node", "p"), sets, per_task)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = None
-        for batch in batches:
-            out = [], []
-            for pivot, p, u, rows in _runs(batch, pivot, decode, decode):
-                if not rows:
-                    continue
-                size = np.array([len(r) for r in rows])
-                every = np.concatenate(rows)
-                place = np.minimum(np.searchsorted(pivot, every), len(pivot) - 1)
-                overlap = np.bincount(np.repeat(np.arange(len(rows)), size), pivot[place] == every, len(rows)).astype(np.int64)
-                links = 100 * overlap >= percent * (size + len(pivot) - overlap)
-                out[0].extend(np.array(u)[links].tolist())
-                out[1].extend(np.array(p)[links].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+        for run in _runs(batches, decode, decode):
+            size = np.array([len(r) for r in run.rows])
+            every = np.concatenate(run.rows)
+            place = np.minimum(np.searchsorted(run.pivot, every), len(run.pivot) - 1)
+            overlap = np.bincount(np.repeat(np.arange(len(size)), size), run.pivot[place] == every, len(size)).astype(np.int64)
+            links = 100 * overlap >= percent * (size + len(run.pivot) - overlap)
+            yield pa.RecordBatch.from_arrays([pa.array(run.c[links]), pa.array(run.cp[links])], names=["a", "b"])
 
-    return dealt.mapInArrow(multiply, "a long, b long")
+    return _blocks(pairs, sets.withColumnRenamed("node", "p"), sets).mapInArrow(lean(multiply), "a long, b long")
 
 
 def common(stars: DataFrame, sets: DataFrame, decode: Decode, most: int = 31) -> DataFrame:
-    """(p, data): the grams that at least half of up to `most` rows of each star have. Any set would do; a near one saves work."""
+    """(p, data): a star's middle, the grams that at least half of up to `most` of its rows have. Any set would give right results; a near one saves work."""
     some = stars.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("u"), "u"))).where(F.col("r") <= most)
 
     def vote(group: pa.Table) -> pa.Table:
@@ -170,88 +178,190 @@ def common(stars: DataFrame, sets: DataFrame, decode: Decode, most: int = 31) ->
     return some.join(sets.withColumnRenamed("node", "u"), "u").select("p", "data").groupBy("p").applyInArrow(vote, "p long, data binary")
 
 
-def differences(stars: DataFrame, middle: DataFrame, sets: DataFrame, decode: Decode, percent: int, per_task: int = 2_000) -> DataFrame:
-    """(u, p, a, grams) of stars (u, p): the grams that u and the star's middle do not share, and a = (100 - percent) * n - (100 + percent) * size of that difference."""
+#: A row of a star: its component, slack and size, and its odd sketch. A gram by which it differs from the star's middle: a hash of star and gram, the row's place, how many such grams follow in the star's order, and what pairs it is for.
+ROW = np.dtype([("node", "<i8"), ("c", "<i8"), ("slack", "<i8"), ("size", "<i4"), ("sketch", "<u8", (8,))])
+GRAM = np.dtype([("key", "<u8"), ("row", "<u4"), ("behind", "<i4"), ("role", "u1")])
+NEAR, FAR, FARTHER, CLOSER, HUB = range(5)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = None
-        for batch in batches:
-            for pivot, p, u, rows in _runs(batch, pivot, decode, lambda data: [np.frombuffer(x.as_py(), np.uint64) for x in data]):
-                if not rows:
-                    continue
-                parts = [np.setxor1d(r, pivot, assume_unique=True).astype(np.int64) for r in rows]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
-                a = [(100 - percent) * len(r) - (100 + percent) * len(x) for r, x in zip(rows, parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(p, pa.int64()), pa.array(a, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], names=["u", "p", "a", "grams"])
-
-    return _blocks(stars, middle, sets, per_task).mapInArrow(run, "u long, p long, a long, grams array<long>")
-
-
-def nearby(far: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, p) to compare, of differences() with a column c, the component so far: no other pair of a star can link two components.
-
-    Let d be the size of the sets' difference. Two sets link iff (100 + percent) * d <= (100 - percent) * (n + n'),
-    and d = s + s' - 2 * (what the differences from the middle share). So either a + a' >= 0, or they
-    share -(a + a') / (2 * (100 + percent)) grams of their differences. If a + a' >= 0, both rows link with
-    the row whose a is largest, the hub. Of the other pairs, that with the smaller a does not reach the
-    hub; both rows must share a gram among as many of their rarest as these bounds leave.
+
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    """512 bits: the parity of the grams that fall on each. Sketches of two sets differ in at most as many bits as the sets in grams."""
+    odd = np.bincount((grams >> np.uint64(11)) & np.uint64(511), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+class _Packer:
+    """Gathers rows and their grams by bucket; a star's grams are dealt over as many buckets as it has streams."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.grams, self.at, self.count, self.size = [], [], [], 0, 0
+
+    def add(self, rows: np.ndarray, grams: np.ndarray, salt: np.ndarray, streams: int) -> None:
+        """grams' rows are places in rows."""
+        if len(grams):
+            grams["row"] += self.count
+            self.count += len(rows)
+            self.rows.append(rows)
+            self.grams.append(grams)
+            self.at.append((_mix(salt + grams["key"] % np.uint64(streams)) % np.uint64(self.buckets)).astype(np.int64))
+            self.size += len(grams)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            rows, grams, at = np.concatenate(self.rows), np.concatenate(self.grams), np.concatenate(self.at)
+            order = np.argsort(at, kind="stable")
+            which, first = np.unique(at[order], return_index=True)
+            out = [], []
+            for part in np.split(grams[order], first[1:]):
+                used, part["row"] = np.unique(part["row"], return_inverse=True)
+                out[0].append(rows[used].tobytes())
+                out[1].append(part.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], names=["bucket", "rows", "grams"])
+        self.clear()
+
+
+def differences(stars: DataFrame, sets: DataFrame, decode: Decode, percent: int, buckets: int) -> DataFrame:
+    """(bucket, rows, grams): the grams by which the rows of stars (u, p, c, cp) differ from their star's middle, as far as candidates() needs them.
+
+    Let s be a row's number of such grams and a = (100 - percent) * n - (100 + percent) * s its slack,
+    which is at most (100 - percent) * the middle's size. Two rows differ in s + s' - 2 * (those that
+    they share) grams, so they link iff they share at least -(a + a') / (2 * (100 + percent)) of them.
+    If a + a' >= 0, both link with the star's hub, the row of most slack. Other pairs have a far row,
+    one with a < 0. The bounds on slack tell how many grams any partner must share with a row at least;
+    of the row's grams all but so many, less one, are sent, and the first gram that two partners share
+    in the star's order is among those of both. Grams that the middle lacks come first, being rarer.
+    Of two far rows the closer one, with more slack, sends fewer.
     """
     scale = 2 * (100 + percent)
-    hubs = far.groupBy("p").agg(F.max(F.struct("a", (-F.col("u")).alias("minus"))).alias("m")).select("p", F.col("m.a").alias("top"), (-F.col("m.minus")).alias("hub"))
-    rows = materialize(far.join(hubs, "p").select("p", "u", "a", "c", "top", "hub", "grams"), "far")
-    direct = rows.where("a + top >= 0 AND u <> hub").select("u", F.col("hub").alias("p"))
-    every = rows.select("p", "u", "a", "c", "top", F.size("grams").alias("s"), F.explode("grams").alias("gram"))
-    shared = every.groupBy("p", "gram").agg(F.count("*").alias("held"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("p", "gram", "held")
-    # Grams of one row or one component lead nowhere; as the rarest they come first all the same.
-    needed = lambda other: F.greatest(F.lit(1), F.ceil(-(F.col("a") + other) / scale))
-    ranked = every.join(shared, ["p", "gram"]).withColumn("behind", F.row_number().over(Window.partitionBy("p", "u").orderBy(F.desc("held"), "gram")))
-    index = ranked.where(F.col("behind") >= needed(F.least(-F.col("top") - 1, F.col("a"))))
-    probe = ranked.where((F.col("a") + F.col("top") < 0) & (F.col("behind") >= needed(F.col("top"))))
-    x = index.select("p", "gram", F.col("u").alias("x"), F.col("a").alias("ax"), F.col("c").alias("cx"), F.col("behind").alias("bx"))
-    y = probe.select("p", "gram", F.col("u").alias("y"), F.col("a").alias("ay"), F.col("c").alias("cy"), F.col("behind").alias("by"))
-    # From the rarest gram that they share, both have at least as many grams left as they must share.
-    left = F.least("bx", "by") * scale >= -(F.col("ax") + F.col("ay"))
-    met = x.join(y, ["p", "gram"]).where((F.col("cx") != F.col("cy")) & left & ((F.col("ax") > F.col("ay")) | ((F.col("ax") == F.col("ay")) & (F.col("x") != F.col("y")))))
-    out = direct.union(met.select(F.least("x", "y"), F.greatest("x", "y"))).where("u <> p").distinct()
-    out._far = rows
-    return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(buckets)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def hubs(salt: np.ndarray) -> None:
+            """The stream's row of most slack, and those of other components that may link with a hub for certain."""
+            rows, top = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            best = np.lexsort((rows["node"], -rows["slack"]))[:1]
+            rows = rows[np.concatenate((best, np.flatnonzero((rows["c"] != rows["c"][best]) & (rows["slack"] + top >= 0))))]
+            grams = np.zeros(len(rows), GRAM)
+            grams["key"], grams["row"], grams["role"] = salt, np.arange(len(rows)), HUB
+            packer.add(rows, grams, salt, 1)
+            held.clear()
+
+        salt = None
+        for part in _runs(batches, decode, lambda data: [np.frombuffer(x.as_py(), np.uint64) for x in data]):
+            if part.first and held:
+                hubs(salt)
+            top, salt = (100 - percent) * len(part.pivot), _mix(np.array([part.p], np.int64).view(np.uint64))
+            rows = np.zeros(len(part.rows), ROW)
+            rows["node"], rows["c"], rows["size"] = part.u, part.c, [len(r) for r in part.rows]
+            grams = []
+            for k, row in enumerate(part.rows):
+                other = np.setxor1d(row, part.pivot, assume_unique=True)
+                inside = np.isin(other, part.pivot, assume_unique=True)
+                s, slack = len(other), (100 - percent) * len(row) - (100 + percent) * len(other)
+                rows["slack"][k], rows["sketch"][k] = slack, _sketch(row)
+                send = s - (max(1, -((slack + top) // scale)) if slack < 0 else 1) + 1
+                if send > 0:
+                    out, place = np.empty(send, GRAM), np.arange(send)
+                    out["key"], out["row"], out["behind"], out["role"] = _mix(np.concatenate((other[~inside], other[inside]))[:send] + salt), k, s - place, NEAR
+                    if slack < 0:  # what it must share with rows that are farther, and with rows that are closer
+                        out["role"] = np.where(place <= s + 2 * slack // scale, CLOSER, np.where(place <= s + (slack - 1) // scale, FARTHER, FAR))
+                    grams.append(out)
+            held.append((rows, np.full(len(rows), top)))
+            packer.add(rows, np.concatenate(grams) if grams else np.empty(0, GRAM), salt, part.streams)
+            if packer.size > 300_000:
+                yield from packer.flush()
+        if held:
+            hubs(salt)
+        yield from packer.flush()
+
+    return _blocks(stars, common(stars, sets, decode), sets).mapInArrow(lean(run), "bucket long, rows binary, grams binary")
+
+
+def candidates(dealt: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """(u, p, c, cp) of differences(): pairs of rows of different components that the bounds do not rule out.
+
+    Rows that share a gram of the same star meet: far with near, and farther with closer. Discarded are
+    pairs with too few grams left to share from here on, and those whose odd sketches differ in too many bits.
+    """
+    scale = 2 * (100 + percent)
 
-def resolve(member: DataFrame, sized: DataFrame | None, sets: DataFrame, decode: Decode, percent: int, small: int = 16) -> DataFrame:
+    def meet(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x, ROW) for x in table.column("rows").to_pylist()]
+        grams = [np.frombuffer(x, GRAM) for x in table.column("grams").to_pylist()]
+        before = np.repeat(np.cumsum([0, *map(len, rows[:-1])]), [len(g) for g in grams])
+        rows, grams = np.concatenate(rows), np.concatenate(grams)
+        order = np.argsort(grams["key"], kind="stable")
+        key, row, behind, role = grams["key"][order], (grams["row"] + before)[order], grams["behind"][order].astype(np.int64), grams["role"][order]
+        node, c, slack, size, sketch = (np.ascontiguousarray(rows[f]) for f in ROW.names)
+        found = [np.zeros((2, 0), np.int64)]
+
+        def multiply(x: np.ndarray, y: np.ndarray) -> None:
+            """x, y: places among the grams of one list."""
+            for i in (x[k : k + block] for k in range(0, len(x), block)):
+                for j in (y[k : k + block] for k in range(0, len(y), block)):
+                    v, w = row[i][:, None], row[j]
+                    both = slack[v] + slack[w]
+                    k, m = np.nonzero((c[v] != c[w]) & (slack[v] <= slack[w]) & (both < 0) & (np.minimum(behind[i][:, None], behind[j]) * scale >= -both))
+                    v, w = row[i][k], row[j][m]
+                    bits = np.bitwise_count(sketch[v] ^ sketch[w]).sum(axis=1, dtype=np.int64)
+                    ok = (100 + percent) * bits <= (100 - percent) * (size[v].astype(np.int64) + size[w])
+                    found.append(np.stack((v[ok], w[ok])))
+
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        last = np.concatenate((first[1:], [len(key)]))
+        some = (np.maximum.reduceat(role, first) > NEAR) & (last - first > 1)
+        for a, b in zip(first[some].tolist(), last[some].tolist()):
+            at, kind = np.arange(a, b), role[a:b]
+            if kind[0] == HUB:
+                them = row[a:b]
+                hub = them[np.lexsort((node[them], -slack[them]))[:1]]
+                them = them[(slack[them] + slack[hub] >= 0) & (c[them] != c[hub])]
+                found.append(np.stack((them, np.broadcast_to(hub, len(them)))))
+            else:
+                multiply(at[kind > NEAR], at[kind == NEAR])
+                multiply(at[kind >= FARTHER], at[kind == CLOSER])
+        v, w = np.concatenate(found, axis=1)
+        v, w = np.where(node[v] < node[w], v, w), np.where(node[v] < node[w], w, v)
+        out = np.unique(np.stack((node[v], node[w], c[v], c[w])), axis=1)
+        return pa.table([pa.array(x) for x in out], names=["u", "p", "c", "cp"])
+
+    return dealt.groupBy("bucket").applyInArrow(meet, "u long, p long, c long, cp long").distinct()
+
+
+def resolve(member: DataFrame, sized: DataFrame | None, sets: DataFrame, decode: Decode, percent: int) -> DataFrame:
     """(node, component) of the nodes that link: 100 * |A and B| >= percent * |A or B| within a group.
 
     member: (gid, u, p); sized: (node, n), or None where sizes rule out little; sets: (node, data) of
-    all members. Each row is first compared with its groups' pivots. Where rows of a group are then
-    still in different components, a group of at most `small` rows has those pairs compared; of larger
-    ones, which make a star around their pivot, the pairs that nearby() does not rule out. So every pair
-    of a group that links is in one component, and a row meets `small` others of a group or those near it.
+    all members. Each row is first compared with its groups' pivots. Where a group's rows are then still
+    in different components, the pairs that candidates() does not rule out are compared, too. So every
+    pair of a group that links is in one component. This is one path for groups of all sizes.
     """
     stars = member.where("u <> p").select("u", "p").distinct()
     if sized is not None:
         able = F.least("nu", "np") * 100 >= F.greatest("nu", "np") * percent
         stars = stars.join(sized.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(sized.select(F.col("node").alias("p"), F.col("n").alias("np")), "p").where(able)
-    stars = materialize(stars.select("u", "p"), "stars")
+    stars = materialize(stars.select("u", "p", F.col("u").alias("c"), F.col("p").alias("cp")), "stars")
     links = materialize(link(stars, sets, decode, percent), "links")
     found = connected(links)
-
     labelled = member.join(found.select(F.col("node").alias("u"), "component"), "u", "left").select("gid", "u", "p", F.coalesce("component", "u").alias("c"))
-    mixed = labelled.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("gid", "n")
-    rest = materialize(labelled.join(mixed, "gid"), "rest")
-    few = rest.where(F.col("n") <= small)
-    x, y = few.select("gid", "u", F.col("c").alias("cu")), few.select("gid", F.col("u").alias("v"), F.col("c").alias("cv"))
-    pairs = x.join(y, "gid").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", F.col("v").alias("p")).distinct()
-    pairs = pairs.join(stars.select("u", "p").union(stars.select("p", "u")), ["u", "p"], "left_anti")
-    rays = materialize(rest.where(F.col("n") > small).select("u", "p", "c").distinct(), "rays")
-    made = [rest, rays, stars]
-    if not rays.isEmpty():
-        middle = materialize(common(rays, sets, decode), "middle")
-        near = nearby(differences(rays.select("u", "p"), middle, sets, decode, percent).join(rays, ["u", "p"]), percent)
-        made += [middle, near._far]
-        pairs = pairs.union(near).distinct()
-    pairs = materialize(pairs, "pairs")
+    mixed = labelled.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high AND n > 2").select("gid")
+    rest = labelled.join(mixed, "gid", "left_semi").where("u <> p").select("u", "p", "c", F.col("p").alias("cp")).distinct()
+    rest = materialize(rest, "rest")
+    buckets = int(max(16, min(1 << 20, rest.count() * 64 * GRAM.itemsize // (1 << 22))))
+    pairs = materialize(candidates(differences(rest, sets, decode, percent, buckets), percent), "pairs")
+    release(stars, links, rest)
     if not pairs.isEmpty():
-        whole = materialize(links.union(link(pairs, sets, decode, percent)), "links")
-        release(links, found)
-        links, found = whole, connected(whole)
-    release(pairs, links, *made)
+        more = materialize(link(pairs, sets, decode, percent), "links")
+        merged = connected(more)
+        after = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+        whole = materialize(after.union(merged.join(found, "node", "left_anti")), "labels")
+        release(found, merged, more)
+        found = whole
+    release(pairs)
     return found
