@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 _own: list[str] = []
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df written to the folder that all executors share, which cuts its lineage."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="agora-graph-"))
         root = _own[0]
@@ -30,14 +32,14 @@ def connected(edges: DataFrame) -> DataFrame:
     Every node takes the smallest label of its neighbourhood, then the label of that label, until
     nothing changes: the reach doubles with each round.
     """
-    both = _cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    both = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
     while True:
         via = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
         lowest = both.join(via, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("least"))
         hooked = labels.join(lowest, "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("component"))
         roots = hooked.select(F.col("node").alias("root"), F.col("component").alias("further"))
-        jumped = _cut(hooked.join(roots, F.col("component") == F.col("root"), "left").select("node", "was", F.coalesce("further", "component").alias("component")))
+        jumped = cut(hooked.join(roots, F.col("component") == F.col("root"), "left").select("node", "was", F.coalesce("further", "component").alias("component")))
         if jumped.where("was <> component").isEmpty():
             return jumped.select("node", "component")
         labels = jumped.select("node", "component")

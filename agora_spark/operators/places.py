@@ -82,6 +82,11 @@ def keyed_latest(base: DataFrame, delta: DataFrame, keys: list[str], version: st
     return best.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in base.columns))
 
 
+def first_n_by(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
+    """The first n rows of each key in an order that has no ties."""
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order that has no ties."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+    return first_n_by(df, keys, 1, *order)

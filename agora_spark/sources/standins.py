@@ -16,6 +16,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _numbered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with the number of parts as n_parts: one more row to join, not a job while the plan is made."""
+    return read(spark, sf_dir, name).crossJoin(F.broadcast(read(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))))
+
+
 def venue(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     hidden = k % 17 == 0
@@ -41,7 +46,7 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def post_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    orders = read(spark, sf_dir, "orders").withColumn("p_partkey", F.col("o_orderkey") % part.count())
+    orders = _numbered(spark, sf_dir, "orders").withColumn("p_partkey", F.col("o_orderkey") % F.col("n_parts"))
     k = F.col("o_orderkey")
     title = F.concat("p_name", F.when(k % 5 == 0, " Show").otherwise(""), F.when(k % 7 == 0, " Live Band").otherwise(""))
     return orders.join(part, "p_partkey").select(
@@ -66,18 +71,40 @@ def caption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "part").count()
     d = F.col("doc_id")
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("v"), d % (n // 10)).alias("venue_id"), d.alias("review_id"), "text", F.when(d % 31 != 0, F.lit("2023-01-01").cast("timestamp") + F.make_dt_interval(days=((d * 7) % 365).cast("int"))).alias("published"))
+    return _numbered(spark, sf_dir, "documents").select(F.concat(F.lit("v"), d % F.floor(F.col("n_parts") / 10)).alias("venue_id"), d.alias("review_id"), "text", F.when(d % 31 != 0, F.lit("2023-01-01").cast("timestamp") + F.make_dt_interval(days=((d * 7) % 365).cast("int"))).alias("published"))
 
 
 def engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "part").count()
-    return read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props", F.concat(F.lit("v"), (F.col("user_id") * 7 + F.col("event_id") % 5) % n).alias("venue_id"))
+    return _numbered(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props", F.concat(F.lit("v"), (F.col("user_id") * 7 + F.col("event_id") % 5) % F.col("n_parts")).alias("venue_id"))
+
+
+def announcement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as posts announce them: several of one night, in other spellings, by other accounts, or without a venue."""
+    k = F.col("o_orderkey")
+    word = F.when(k % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    rows = read(spark, sf_dir, "orders").withColumn("p_partkey", k % 30).join(part, "p_partkey")
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    return rows.select(
+        k.alias("event_id"), F.floor(k / 20).cast("long").alias("post"), F.when(k % 9 != 0, F.col("o_custkey") % 4).alias("venue"), F.when(k % 17 != 0, F.concat(F.lit("h"), F.col("o_custkey") % 4)).alias("handle"),
+        F.when(k % 13 != 0, F.lit("2024-03-01").cast("timestamp_ntz") + F.make_dt_interval(days=(k % 7).cast("int"), hours=(k % 3 * 7).cast("int"))).alias("starts_at"), word.alias("title"),
+        F.when((F.col("o_orderstatus") == "F") & (k % 4 == 0), "confirmed").otherwise("pending").alias("status"), F.when(k % 3 == 1, F.concat(F.lit("R$ "), k % 5)).when(k % 3 == 2, "R$ 20").alias("price"),
+        F.when(k % 4 == 0, "").when(k % 4 > 1, F.concat(F.lit("Sala "), k % 2)).alias("place"), F.col("o_orderdate").alias("last_seen"),
+        F.element_at(F.array(F.lit("unresolved_venue"), F.lit("date_range; unresolved_venue"), F.lit(None), F.lit("low_confidence"), F.lit("date_range; low_confidence")), (k % 5 + 1).cast("int")).alias("reason"),
+        F.when(k % 6 == 0, strings("price")).when(k % 6 == 2, strings("title", "place")).when(k % 6 == 3, strings("venue")).when(k % 6 == 4, strings()).alias("edited"), F.when(k % 10 == 0, "menu").otherwise("event").alias("kind"),
+    )
 
 
 #: The same tables for DuckDB.
 SQL = {
+    "announcement": """announcement AS (SELECT o_orderkey AS event_id, o_orderkey // 20 AS post, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey % 4 END AS venue, CASE WHEN o_orderkey % 17 <> 0 THEN 'h' || (o_custkey % 4) END AS handle,
+  CASE WHEN o_orderkey % 13 <> 0 THEN TIMESTAMP '2024-03-01' + to_days((o_orderkey % 7)::INT) + to_hours((o_orderkey % 3 * 7)::INT) END AS starts_at, CASE WHEN o_orderkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS title,
+  CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 = 0 THEN 'confirmed' ELSE 'pending' END AS status, CASE o_orderkey % 3 WHEN 1 THEN 'R$ ' || (o_orderkey % 5) WHEN 2 THEN 'R$ 20' END AS price,
+  CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'Sala ' || (o_orderkey % 2) END AS place, o_orderdate AS last_seen,
+  ['unresolved_venue', 'date_range; unresolved_venue', NULL, 'low_confidence', 'date_range; low_confidence'][o_orderkey % 5 + 1] AS reason,
+  CASE o_orderkey % 6 WHEN 0 THEN ['price'] WHEN 2 THEN ['title', 'place'] WHEN 3 THEN ['venue'] WHEN 4 THEN []::VARCHAR[] END AS edited, CASE WHEN o_orderkey % 10 = 0 THEN 'menu' ELSE 'event' END AS kind
+  FROM orders JOIN part ON p_partkey = o_orderkey % 30)""",
     "venue": f"""venue AS (SELECT p_partkey AS k, 'v' || p_partkey AS venue_id, CASE WHEN p_partkey % 97 = 0 THEN '  ' ELSE p_name END AS name, upper(p_type) AS btype,
   CASE WHEN p_partkey % 7 <> 0 THEN lower(p_brand) END AS gtype, CASE WHEN p_partkey % 17 <> 0 THEN {HERE[0]}::DOUBLE + ((p_partkey * 37) % 1000 - 500) / 2000.0::DOUBLE END AS lat,
   CASE WHEN p_partkey % 17 <> 0 THEN {HERE[1]}::DOUBLE + ((p_partkey * 91) % 1000 - 500) / 2000.0::DOUBLE END AS lng, p_size % 6 AS priority, CASE WHEN p_partkey % 19 = 0 THEN 'deprecated' ELSE 'active' END AS lifecycle,
