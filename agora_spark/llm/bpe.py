@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agora_spark.llm.common import lean
+
 #: Symbols: a document's end; ' ', other white space, letters, numbers, the rest; an apostrophe that one or two letters make a contraction.
 STOP, SPACE, BLANK, LETTER, NUMBER, OTHER, SHORT, LONG = range(8)
 #: States, by what came last: nothing of this token, then as above; one or two letters of a contraction to come.
@@ -292,7 +294,7 @@ def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
 
     rows = df.select(*(F.col(c) for c in names), F.col(text_col).cast("string").alias("_text"))
     kinds = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(names, rows.schema))
-    return rows.mapInArrow(run, f"{kinds}, n_tokens long, ids binary" + ", ends binary" * offsets + ", decoded binary" * decoded)
+    return rows.mapInArrow(lean(run), f"{kinds}, n_tokens long, ids binary" + ", ends binary" * offsets + ", decoded binary" * decoded)
 
 
 def _binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -318,4 +320,4 @@ def decode_ids(df: DataFrame, ranks: str, keep: Sequence[str] = ("doc_id",), ids
 
     rows = df.select(*(F.col(c) for c in keep), F.col(ids_col))
     kinds = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, rows.schema))
-    return rows.mapInArrow(run, f"{kinds}, decoded binary")
+    return rows.mapInArrow(lean(run), f"{kinds}, decoded binary")

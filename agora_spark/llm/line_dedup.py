@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 
     found_at = materialize(rows.select("id", "key", "text").mapInArrow(lean(read), "id long, key long, place int, node long, data string"), "places")
     lines = found_at.where("data IS NOT NULL").select("node", "data")
-    n_entries = lines.count() * BANDS
+    n_entries = found_at.count() * BANDS  # at most; the count needs no column
     buckets = int(max(16, min(1 << 20, n_entries * ENTRY.itemsize // (1 << 21))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         yield from deal(signs(), buckets)
 
     member = groups(lines.mapInArrow(lean(sign), "bucket long, entries binary"))
-    needed = lines.join(member.select(F.col("u").alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"])
+    needed = lines.join(member.select(F.col("u").alias("node")).distinct().hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
     needed = materialize(needed.select("node", F.col("data").cast("binary").alias("data")), "needed")
     found = resolve(member, None, needed, lambda data: shingle_sets([x.decode() for x in data.to_pylist()]), percent)
     release(member, needed)
@@ -137,13 +137,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     once = found_at.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     again = materialize(once.join(found, "node", "left").where("n > 1 OR component IS NOT NULL").select("node", "first", F.coalesce("component", "node").alias("c")), "again")
     firsts = again.select("node", "c").join(again.groupBy("c").agg(F.min("first").alias("first")), "c").select("node", "first")
-    gone = found_at.select("key", "place", "node").join(firsts, "node").where((F.col("first.key") != F.col("key")) | (F.col("first.place") != F.col("place")))
+    gone = found_at.select("key", "place", "node").join(firsts.hint("shuffle_hash"), "node").where((F.col("first.key") != F.col("key")) | (F.col("first.place") != F.col("place")))
     cuts = gone.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_set("place")).alias("_cut"))
     # A flag for each line up to the last one that goes, so that each line costs one look.
     runs = F.transform("_cut", lambda c, i: F.array_append(F.array_repeat(F.lit(False), c - F.coalesce(F.get("_cut", i - 1), F.lit(-1)) - 1), F.lit(True)))
     cuts = cuts.select("_key", F.flatten(runs).alias("_gone"), F.size("_cut").cast("long").alias("_n"))
     whole = rows.join(cuts.hint("shuffle_hash"), rows.key == cuts._key, "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.get("_gone", i), F.lit(False))), "\n")
-    n_lines = (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_lines = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     columns = [F.when(F.col("_n").isNull(), F.col("text")).otherwise(kept).alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return whole.select(*columns, n_lines.alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agora_spark.llm.common import lean
+
 PUNCTUATION = ".,;:!?\"()[]\n\t"
 WINDOW = 12
 SIZES = (3, 4, 5)
@@ -194,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
                 out[1].extend([toxic] * len(starts))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32())], names=["words", "toxic"])
 
-    sample = rows.mapInArrow(cut, "words string, toxic int").toArrow()
+    sample = rows.mapInArrow(lean(cut), "words string, toxic int").toArrow()
     y = sample.column("toxic").to_numpy()
     weights, bias = train_windows(sample.column("words").to_pylist(), y, buckets, dim, epochs, rate, decay, least, seed)
     raw = Model(weights, bias, 1.0, 0.0)
@@ -206,16 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
             z = scorer.logits(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(z), batch.column(1).cast(pa.int32())], names=["z", "toxic"])
 
-    seen = rows.where("apart").select("text", "toxic").mapInArrow(measure, "z double, toxic int").toArrow()
+    seen = rows.where("apart").select("text", "toxic").mapInArrow(lean(measure), "z double, toxic int").toArrow()
     z, y = seen.column("z").to_numpy(), seen.column("toxic").to_numpy()
     slope, shift = calibrate(z, y) if len(y) and 0 < y.sum() < len(y) else (1.0, 0.0)
     shared.unpersist()
     return Model(weights, bias, max(slope, 0.0), shift)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep and score double (0 to 1) of every row, from its whole text. A column named score is replaced."""
     keep = tuple(c for c in keep if c != "score")
@@ -224,11 +223,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        scorer = _scorers[key]
+        scorer = Scorer(shared.value)
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
@@ -237,4 +232,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     rows = docs.select(*(F.col(f"`{c}`") for c in names))
     kinds = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, rows.schema))
-    return rows.mapInArrow(run, f"{kinds}, score double")
+    return rows.mapInArrow(lean(run), f"{kinds}, score double")
