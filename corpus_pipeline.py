@@ -3,6 +3,11 @@
 Toxic documents go; of lines that are alike one stays; of documents that are alike one stays; sources,
 languages and topics are drawn towards target weights; what remains is encoded. Each stage gets what
 the one before has written, and works on all of it.
+
+Defined results: a null text is empty; empty texts are neither toxic nor copies of anything, and stay.
+Rows without an id stay in each stage that needs one to choose among copies. Repeated rows share their
+fate. An empty table gives an empty one. Further columns, whatever their names, pass through the stages
+up to the last one.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has alike. Those with no line left go, unless they had none."""
     out = line_dedup.dedup_lines(docs)
-    left = F.regexp_count("text", F.lit(r"\S")) > 0
+    left = F.col("text").rlike(r"\S")
     out = out.where((F.col("n_removed") == 0) | left)
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
 
