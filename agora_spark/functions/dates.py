@@ -37,6 +37,17 @@ def max_age_minutes(refresh_minutes: int | None, default: int = 5, factor: float
     return max(least, round(factor * interval))
 
 
+def hours_text(spans: Column, grid: Column) -> Column:
+    """Opening hours of a day from its spans (opens, opens_minutes, closes, closes_minutes) and its 24 busyness values.
+
+    Several spans are joined with commas. Without any, a day with some busyness is open at unknown times, else closed.
+    """
+    clock = lambda h, m: F.format_string("%02d:%02d", h, F.coalesce(m, F.lit(0)))
+    said = F.transform(spans, lambda p: F.concat(clock(p["opens"], p["opens_minutes"]), F.lit("-"), clock(p["closes"], p["closes_minutes"])))
+    busy = F.coalesce(F.exists(grid, lambda v: v > 0), F.lit(False))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, F.array_join(said, ", ")).when(busy, "unavailable").otherwise("closed")
+
+
 def weekday_on_or_after(day: Column, weekday: Column) -> Column:
     """The first day from `day` on with a weekday (0: Monday)."""
     return F.date_add(day, F.pmod(weekday - F.weekday(day), F.lit(7)).cast("int"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from agora_spark.functions.text import normalize_handle, normalize_title
+from agora_spark.functions.text import normalize_handle, unmark
 
 # Hosts that only forward links, and first parts of paths that are no profiles.
 SHIM_HOSTS = ("l.instagram.com", "lm.instagram.com")
@@ -88,8 +88,12 @@ def escalate(overall: Column, labels: Column, contradictions: list[tuple[str, st
     return F.concat(F.array_compact(F.array(F.when(overall < whole, "unsure"))), unsure, F.array_compact(F.array(*both)))
 
 
+def _plain(text: Column) -> Column:
+    return F.trim(unmark(F.coalesce(text, F.lit(""))))
+
+
 def _tokens(text: Column, pattern: str) -> Column:
-    return F.array_distinct(F.filter(F.split(normalize_title(text), pattern), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(_plain(text), pattern), lambda t: t != ""))
 
 
 def _share(tokens: Column, hit) -> Column:
@@ -103,16 +107,16 @@ def profile_score(name: Column, address: Column, username: Column, full_name: Co
     same_type and same_category: shares of the venue type's words in the bio, and whether the business category has one.
     """
     venue = _tokens(name, r"[\s\-_&/]+")
-    joined = normalize_title(F.regexp_replace(username, "[._]", ""))
+    joined = _plain(F.regexp_replace(username, "[._]", ""))
     user, full = _tokens(F.translate(username, "._", "  "), r"\s+"), _tokens(F.coalesce(full_name, F.lit("")), r"[\s\-_&/]+")
     named = F.greatest(_share(venue, lambda t: F.array_contains(user, t)), _share(venue, lambda t: F.contains(joined, t)), _share(venue, lambda t: F.array_contains(full, t)))
-    told = normalize_title(F.coalesce(bio, F.lit("")))
+    told = _plain(bio)
     parts = F.filter(_tokens(address, r"[\s,.\-/]+"), lambda t: (F.char_length(t) > 2) & ~t.isin(*ADDRESS_STOP_WORDS))
     city = F.when(reduce(lambda a, b: a | b, (F.contains(told, F.lit(c)) for c in cities), F.lit(False)), 0.3).otherwise(0.0)
     placed = F.when(told == "", 0.0).otherwise(F.least(_share(parts, lambda t: F.contains(told, t)) + city, F.lit(1.0)))
-    link = normalize_title(F.coalesce(url, F.lit("")))
+    link = _plain(url)
     major = F.filter(_tokens(name, r"[\s\-_]+"), lambda t: F.char_length(t) > 2)
-    linked = F.when(link == "", 0.0).when(F.contains(link, F.replace(normalize_title(name), F.lit(" "), F.lit(""))), 1.0).otherwise(_share(major, lambda t: F.contains(link, t)))
+    linked = F.when(link == "", 0.0).when(F.contains(link, F.replace(_plain(name), F.lit(" "), F.lit(""))), 1.0).otherwise(_share(major, lambda t: F.contains(link, t)))
     follow = reduce(lambda a, b: a.when(followers < b[0], b[1]), FOLLOWERS, F.when(followers.isNull(), 0.5)).otherwise(0.3)
     signals = {"name": named, "address": placed, "type": same_type, "business": F.when(business, 1.0).otherwise(0.0), "category": same_category, "url": linked, "followers": follow}
     total = reduce(lambda a, b: a + b, (signals[k] * w for k, w in WEIGHTS.items()))

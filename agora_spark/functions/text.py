@@ -9,9 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Latin letters with marks, and the letters they fold to, place by place.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case Latin letters with marks, and the letters they fold to, place by place: those that Unicode decomposes.
+_LATIN = [(c, unicodedata.normalize("NFKD", c)) for c in map(chr, (*range(0xE0, 0x250), *range(0x1E00, 0x1F00)))]
+MARKED = "".join(c for c, d in _LATIN if c == c.lower() and len(d) > 1 and "a" <= d[0] <= "z" and all(map(unicodedata.combining, d[1:])))
+PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in MARKED)
 # Months, weekdays and ticketing terms of the caption markers.
 MONTHS = ("janeiro", "fevereiro", "março", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
 WEEKDAYS = ("segunda", "terça", "terca", "quarta", "quinta", "sexta", "sábado", "sabado", "domingo")
@@ -23,8 +24,8 @@ MASK = "***REDACTED***"
 
 
 def unmark(text: Column) -> Column:
-    """Lower case without the marks of Latin letters; ß counts as ss."""
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), MARKED, PLAIN)
+    """Lower case without the marks of Latin letters, in either form; ß counts as ss."""
+    return F.translate(F.replace(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), F.lit("ß"), F.lit("ss")), MARKED, PLAIN)
 
 
 def _plain(text: str) -> str:

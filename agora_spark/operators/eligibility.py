@@ -71,8 +71,11 @@ def closure_signals(reviews: DataFrame, phrases: list[str], negations: list[str]
 
     def said(phrase: str) -> Column:
         pieces = F.split(text, "\\Q" + phrase + "\\E", -1)
-        # Around the i-th hit: the end of what stands before it and the start of what follows.
-        hits = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.concat(F.right(F.concat_ws(phrase, F.slice(pieces, F.lit(1), i)), F.lit(reach)), F.lit(phrase), F.left(F.concat_ws(phrase, F.slice(pieces, i + 1, F.size(pieces))), F.lit(reach))))
+        # Around the i-th hit: the end of what stands before it and the start of what follows. So many pieces reach far enough.
+        near = reach // len(phrase) + 2
+        before = lambda i: F.right(F.concat_ws(phrase, F.slice(pieces, F.greatest(i - near + 1, F.lit(1)), F.least(i, F.lit(near)))), F.lit(reach))
+        after = lambda i: F.left(F.concat_ws(phrase, F.slice(pieces, i + 1, F.lit(near))), F.lit(reach))
+        hits = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.concat(before(i), F.lit(phrase), after(i)))
         return (F.size(pieces) > 1) & F.exists(F.when(F.size(pieces) > 1, hits).otherwise(F.array().cast("array<string>")), lambda w: ~_any_within(w, negations))
 
     phrase = F.coalesce(*(F.when(said(p), p) for p in phrases))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,28 +49,31 @@ def duplicate_pairs(venues: DataFrame, metres: float = 50) -> DataFrame:
 def duplicate_groups(venues: DataFrame, metres: float = 50) -> DataFrame:
     """(head, venue_id) of greedy groups: in key order, each venue joins the first head it matches, else it heads a group.
 
-    Groups cannot span connected parts of the pairs, and each part is solved by itself.
+    In rounds of joins: a venue whose smaller neighbours are all settled joins the smallest head among
+    them, or heads a group if none is one. So a head's neighbours never make each other heads.
     """
-    from agora_spark.operators.graph import connected
-
-    pairs = duplicate_pairs(venues, metres).select(F.col("k").alias("a"), F.col("other_k").alias("b"))
-    parts = connected(pairs)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = set(zip(pdf["a"], pdf["b"]))
-        heads: list[int] = []
-        out = []
-        for k in sorted(set(pdf["a"]) | set(pdf["b"])):
-            head = next((h for h in heads if (h, k) in near), None)
-            if head is None:
-                heads.append(k)
-                head = k
-            out.append((head, k))
-        return pd.DataFrame(out, columns=["head", "k"])
-
-    grouped = pairs.join(parts, F.col("a") == F.col("node")).select("component", "a", "b").groupBy("component").applyInPandas(lambda pdf: greedy(pdf), "head long, k long")
-    many = grouped.groupBy("head").agg(F.collect_list("k").alias("ks")).where(F.size("ks") > 1)
-    return many.select("head", F.explode("ks").alias("k"))
+    from agora_spark.operators.graph import cut
+
+    pairs = cut(duplicate_pairs(venues, metres).select(F.col("k").alias("a"), F.col("other_k").alias("b")).distinct())
+    nodes = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    settled, left = None, cut(nodes)
+    while not left.isEmpty():
+        below = pairs.join(left, F.col("b") == F.col("k"), "left_semi")
+        waits = below.join(left.select(F.col("k").alias("a")), "a", "left_semi").select(F.col("b").alias("k")).distinct()
+        ready = left.join(waits, "k", "left_anti")
+        if settled is None:
+            now = ready.select(F.col("k").alias("head"), "k")
+        else:
+            heads = settled.where("head = k").select(F.col("head").alias("a"))
+            first = below.join(heads, "a").groupBy(F.col("b").alias("k")).agg(F.min("a").alias("head"))
+            now = ready.join(first, "k", "left").select(F.coalesce("head", "k").alias("head"), "k")
+        now = cut(now)
+        settled = now if settled is None else cut(settled.unionByName(now))
+        left = cut(left.join(now.select("k"), "k", "left_anti"))
+    if settled is None:
+        return nodes.select(F.col("k").alias("head"), "k")
+    many = settled.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
+    return settled.join(many, "head", "left_semi").select("head", "k")
 
 
 def keyed_latest(base: DataFrame, delta: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -57,7 +57,7 @@ DECIDED = f"""decided AS (SELECT *, {CATEGORY} AS category, CASE WHEN trim(name)
   WHEN {CATEGORY} = 'OTHER' AND {_within('lower(name)', RULES['hard'] + RULES['ambiguous'])} THEN 'name_keyword' END AS why,
   CASE WHEN trim(name) <> '' AND gtype IS NULL AND btype NOT IN ({_list(RULES['crowd'])}) AND {CATEGORY} = 'OTHER' AND NOT {_within('lower(name)', RULES['hard'])} AND {_within('lower(name)', RULES['ambiguous'])} THEN 'low' ELSE 'high' END AS sure FROM venue)"""
 INSIDE = "(lat IS NULL OR " + " OR ".join(f"{_km(a, o, 'lat', 'lng')} <= {km}" for a, o, km in CIRCLES) + ")"
-CLOSURES = f"""said AS (SELECT venue_id, review_id, published, lower(coalesce(text, '')) AS t FROM review WHERE published IS NOT NULL)"""
+CLOSURES = "said AS (SELECT venue_id, review_id, published, lower(coalesce(text, '')) AS t FROM review WHERE published IS NOT NULL)"
 
 
 def _good():
@@ -222,17 +222,18 @@ def forecast_today_and_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.venue(spark, sf_dir).select("venue_id").join(t, "venue_id", "left").join(p, "venue_id", "left")
 
 
-@query(S.sql("venue") + GRID + """, text AS (SELECT v.venue_id, d, CASE WHEN w.d IS NULL THEN 'closed' WHEN (v.k + w.d) % 4 = 0 THEN 'unavailable' ELSE printf('%02d:00-%02d:00', (10 + (v.k + w.d) % 8)::INT, (18 + (v.k + w.d) % 6)::INT) END AS t
-  FROM venue v CROSS JOIN day LEFT JOIN weekly w USING (venue_id, d)) SELECT venue_id, string_agg(d || ': ' || t, '; ' ORDER BY d) AS hours FROM text GROUP BY 1""")
+@query(S.sql("venue") + GRID + """, text AS (SELECT v.venue_id, day.d, CASE WHEN w.d IS NULL OR (v.k + day.d) % 4 = 1 AND list_sum(w.grid) = 0 THEN 'closed' WHEN (v.k + day.d) % 4 = 1 THEN 'unavailable'
+  WHEN (v.k + day.d) % 4 = 2 THEN printf('%02d:30-%02d:00, 19:00-02:15', (8 + v.k % 4)::INT, (12 + day.d % 3)::INT) ELSE printf('%02d:00-%02d:30', (10 + v.k % 8)::INT, ((20 + day.d) % 24)::INT) END AS t
+  FROM venue v CROSS JOIN day LEFT JOIN weekly w ON w.venue_id = v.venue_id AND w.d = day.d) SELECT venue_id, string_agg(d || ': ' || t, '; ' ORDER BY d) AS hours FROM text GROUP BY 1""")
 def hours_from_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _weekly(spark, sf_dir).groupBy("venue_id", "k").agg(F.collect_set("d").alias("open"))
-
-    def say(d):
-        n = F.col("k") + d
-        times = F.format_string("%02d:00-%02d:00", (10 + n % 8).cast("int"), (18 + n % 6).cast("int"))
-        return F.concat(d.cast("string"), F.lit(": "), F.when(~F.array_contains("open", d), "closed").when(n % 4 == 0, "unavailable").otherwise(times))
-
-    return w.select("venue_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), say), "; ").alias("hours"))
+    """Opening hours of the seven days, from the spans and the grid of the weekly forecast; a day without forecast is closed."""
+    k, d = F.col("k"), F.col("d")
+    span = lambda o, om, c, cm: F.struct(o.cast("int").alias("opens"), F.lit(om).cast("int").alias("opens_minutes"), c.cast("int").alias("closes"), F.lit(cm).cast("int").alias("closes_minutes"))
+    one, two = F.array(span(10 + k % 8, None, (20 + d) % 24, 30)), F.array(span(8 + k % 4, 30, 12 + d % 3, 0), span(F.lit(19), 0, F.lit(2), 15))
+    w = _weekly(spark, sf_dir).withColumn("spans", F.when((k + d) % 4 == 2, two).when((k + d) % 4 != 1, one))
+    told = w.groupBy("venue_id").agg(F.map_from_entries(F.collect_list(F.struct("d", dates.hours_text(F.col("spans"), F.col("grid"))))).alias("by_day"))
+    days = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.concat(i.cast("string"), F.lit(": "), F.coalesce(F.element_at("by_day", i), F.lit("closed"))))
+    return told.select("venue_id", F.array_join(days, "; ").alias("hours"))
 
 
 @query(S.sql("item") + "SELECT event_id, venue, starts_at, title, status FROM item WHERE status = 'confirmed' AND starts_at BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-06-30'")
@@ -277,7 +278,7 @@ def canonical_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return happenings.canonical(S.post_item(spark, sf_dir), F.col("status") == "confirmed")
 
 
-WORDS = f", words AS (SELECT event_id, venue, starts_at, timezone('America/Recife', timezone('UTC', starts_at)) AS local, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^0-9a-z]+'), lambda t: t <> '' AND NOT list_contains([{_list(GENERIC + STOP)}], t) AND len(t) >= 2)) AS w FROM item WHERE starts_at IS NOT NULL)"
+WORDS = f", words AS MATERIALIZED (SELECT event_id, venue, starts_at, timezone('America/Recife', timezone('UTC', starts_at)) AS local, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^0-9a-z]+'), lambda t: t <> '' AND NOT list_contains([{_list(GENERIC + STOP)}], t) AND len(t) >= 2)) AS w FROM item WHERE starts_at IS NOT NULL)"
 JUDGED = """, judged AS (SELECT * FROM (SELECT a.venue, a.event_id, b.event_id AS other_event_id, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 'refuse' WHEN list_has_all(a.w, b.w) OR list_has_all(b.w, a.w) THEN 'auto' WHEN list_has_any(a.w, b.w) THEN 'suggest' ELSE 'refuse' END AS band
   FROM words a JOIN words b ON a.venue = b.venue AND a.event_id < b.event_id AND (a.local::DATE = b.local::DATE OR abs(epoch(a.starts_at) - epoch(b.starts_at)) <= 8 * 3600)) WHERE band <> 'refuse')"""
 
@@ -325,7 +326,12 @@ def duplicate_venue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.duplicate_pairs(S.venue(spark, sf_dir), 50).select("venue_id", "other_venue_id", F.round("km_away", 6).alias("km"))
 
 
-@query()
+MATCHED = f"pair AS (SELECT a.k AS a, b.k AS b FROM venue a JOIN venue b ON a.k < b.k AND a.lat IS NOT NULL AND (trim(a.name) = trim(b.name) AND trim(a.name) <> '' OR least(length(trim(a.name)), length(trim(b.name))) >= 5 AND (contains(trim(a.name), trim(b.name)) OR contains(trim(b.name), trim(a.name)))) AND {_km('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371.0)} <= 0.05)"
+
+
+@query("WITH RECURSIVE " + S.SQL["venue"] + f", {MATCHED}" + """, node AS (SELECT k, row_number() OVER (ORDER BY k) AS r FROM (SELECT a AS k FROM pair UNION SELECT b FROM pair)), below AS (SELECT b AS k, list(a ORDER BY a) AS near FROM pair GROUP BY 1),
+walk(r, heads, k, head) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL SELECT j.step, CASE WHEN h IS NULL THEN list_append(heads, j.node) ELSE heads END, j.node, coalesce(h, j.node) FROM (SELECT w.heads, n.r AS step, n.k::BIGINT AS node, list_min(list_intersect(w.heads, coalesce(near, []))) AS h FROM walk w JOIN node n ON n.r = w.r + 1 LEFT JOIN below ON below.k = n.k) j)
+SELECT head, k FROM walk WHERE head IN (SELECT head FROM walk GROUP BY 1 HAVING count(*) > 1)""")
 def duplicate_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.duplicate_groups(S.venue(spark, sf_dir), 50)
 
@@ -384,7 +390,14 @@ def link_candidates_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return happenings.ranked_links(mentions, names)
 
 
-@query()
+def _said(phrase: str) -> str:
+    around = f"right(array_to_string(list_slice(string_split(t, '{phrase}'), 1, i), '{phrase}'), 40) || '{phrase}' || left(array_to_string(list_slice(string_split(t, '{phrase}'), i + 1, len(string_split(t, '{phrase}'))), '{phrase}'), 40)"
+    return f"len(list_filter(range(1, len(string_split(t, '{phrase}'))), lambda i: NOT ({' OR '.join(f'contains({around}, {chr(39)}{n}{chr(39)})' for n in NEGATIONS)}))) > 0"
+
+
+@query(S.sql("review") + f", {CLOSURES}, p AS (SELECT venue_id, review_id, published, CASE " + " ".join(f"WHEN {_said(p)} THEN '{p}'" for p in PHRASES) + """ END AS phrase FROM said),
+n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY venue_id ORDER BY published DESC, review_id DESC) = 1), o AS (SELECT venue_id, max(published) AS ordinary FROM p WHERE phrase IS NULL GROUP BY 1)
+SELECT n.venue_id, phrase IS NOT NULL AS closed, CASE WHEN phrase IS NOT NULL AND coalesce(published - ordinary <= INTERVAL 90 DAY, false) THEN 'low' ELSE 'high' END AS confidence, CASE WHEN phrase IS NOT NULL THEN published END AS evidence, phrase FROM n LEFT JOIN o USING (venue_id)""")
 def closure_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.closure_signals(S.review(spark, sf_dir), PHRASES, NEGATIONS)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora_spark.functions.dates import local_day
@@ -25,15 +25,35 @@ def write_lake(envelopes: DataFrame, path: str, checkpoint: str, every: str = "9
     return writer.trigger(**({"availableNow": True} if at_once else {"processingTime": every})).start()
 
 
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the snapshots under a path that were written whole, in order."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    names = (x.getPath().getName() for x in fs.listStatus(place))
+    whole = lambda n: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return sorted(int(n) for n in names if n.isdigit() and whole(n))
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest snapshot of upsert_latest()."""
+    found = _snapshots(spark, path)
+    return spark.read.parquet(f"{path}/{found[-1]}") if found else None
+
+
 def upsert_latest(path: str, keys: list[str], version: str):
-    """A foreachBatch function that keeps the newest row of each key as a snapshot at path/<number>."""
-    from agora_spark.operators.places import keyed_latest
+    """A foreachBatch function that keeps the newest row of each key as a snapshot at path/<batch number>.
 
-    last: list[str] = []
+    The snapshot before is looked up on storage, so a stream that starts again goes on from it, and a
+    batch that comes again writes the same snapshot again.
+    """
+    from agora_spark.operators.places import keyed_latest
 
     def merge(batch: DataFrame, number: int) -> None:
-        base = batch.sparkSession.read.parquet(last[0]) if last else batch.limit(0)
+        spark = batch.sparkSession
+        before = [n for n in _snapshots(spark, path) if n < number]
+        base = spark.read.parquet(f"{path}/{before[-1]}") if before else batch.limit(0)
         keyed_latest(base, batch, keys, version).write.mode("overwrite").parquet(f"{path}/{number}")
-        last[:] = [f"{path}/{number}"]
 
     return merge
