@@ -7,11 +7,15 @@ threshold) is verified by its inner product. A query is done when its k-th best
 nearer than R: vectors that near collide often enough to have been verified, with the probability
 that the threshold is chosen for. There is no cap on candidates.
 
+The lines are random orthogonal frames: the squares of a vector's projections on a frame sum up to its
+squared length, so that counts of collisions scatter less than with independent lines and tell near
+from far vectors apart. A first window holds most rows; its collisions are counted by those outside.
+
 Largest inner product becomes nearest neighbour by one more coordinate, sqrt(M^2 - |x|^2) with M the
 largest norm, which is 0 for queries. Scores are inner products of the original vectors in double.
 
-The index is dealt over blocks of rows, the queries over blocks too; each pair of blocks is one task's
-group of bounded size. Only k rows per query and index block are shuffled afterwards.
+The rows are dealt over blocks of bounded size. A block's index is built once, and all queries pass by
+it in a stream. Only k rows per query and block are shuffled afterwards.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or a non-finite component take
 no part, nor do rows with a null id. A query meets only vectors of its own dimension. Ties go to the
@@ -29,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Half-width of a query's windows, in radii. At 2, near and far vectors differ most in how often they fall short.
+from agora_spark.llm.common import lean
+
+#: Half-width of a query's windows, in radii.
 WIDTH = 2.0
 #: A window holds a vector at distance R with this probability.
 AT_RADIUS = math.erf(WIDTH / math.sqrt(2))
@@ -48,11 +54,14 @@ def threshold(lines: int, miss: float) -> int:
 class Index:
     """The sorted projections of one block of vectors."""
 
-    def __init__(self, vectors: np.ndarray, longest: float, lines: int, seed: int):
+    def __init__(self, vectors: np.ndarray, longest: float, frames: int, seed: int):
         self.vectors = vectors
         self.bound = longest**2
         rest = np.sqrt(np.maximum(self.bound - np.einsum("ij,ij->i", vectors, vectors), 0))
-        self.lines = np.random.default_rng(seed).standard_normal((lines, vectors.shape[1] + 1))
+        rng, size = np.random.default_rng(seed), vectors.shape[1] + 1
+        # Rows of an orthogonal matrix, as long as standard normal ones; few dimensions take more frames.
+        frames = max(frames, -(-64 // size))
+        self.lines = np.concatenate([np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(frames)]) * math.sqrt(size)
         projected = vectors @ self.lines[:, :-1].T + rest[:, None] * self.lines[:, -1]
         order = np.argsort(projected, axis=0, kind="stable")
         self.order = np.ascontiguousarray(order.T)
@@ -63,38 +72,38 @@ class Index:
         n, m, most = len(self.vectors), len(self.lines), len(queries)
         centres = queries @ self.lines[:, :-1].T
         base = self.bound + np.einsum("ij,ij->i", queries, queries)
-        low = np.stack([np.searchsorted(self.sorted[j], centres[:, j]) for j in range(m)], axis=1)
-        high = low.copy()
-        count, verified = np.zeros((most, n), np.int16), np.zeros((most, n), bool)
+        seen, size = np.zeros((most, n), bool), np.zeros(most, np.int64)
         rows: list[list] = [[] for _ in range(most)]
         scores: list[list] = [[] for _ in range(most)]
+        count: list = [None] * most
+        before: list = [None] * most
         ended, active = np.zeros(most), np.arange(most)
         while len(active):
             reach = WIDTH * radius
-            new_low = np.stack([np.searchsorted(self.sorted[j], centres[active, j] - reach) for j in range(m)], axis=1)
-            new_high = np.stack([np.searchsorted(self.sorted[j], centres[active, j] + reach, "right") for j in range(m)], axis=1)
+            low = np.stack([np.searchsorted(self.sorted[j], centres[active, j] - reach) for j in range(m)], axis=1).tolist()
+            high = np.stack([np.searchsorted(self.sorted[j], centres[active, j] + reach, "right") for j in range(m)], axis=1).tolist()
             going = []
             for at, q in enumerate(active.tolist()):
-                opened = [x[a:b] for x, a, b in zip(self.order, new_low[at].tolist(), low[q].tolist()) if a < b]
-                opened += [x[a:b] for x, a, b in zip(self.order, high[q].tolist(), new_high[at].tolist()) if a < b]
-                if opened:
-                    count[q] += np.bincount(np.concatenate(opened), minlength=n).astype(np.int16)
-                whole = (new_high[at] - new_low[at]).min() == n  # every window holds everything
-                fresh = np.flatnonzero(~verified[q] if whole else (count[q] >= least) & ~verified[q])
+                if before[q] is None:  # what lies outside of the first windows
+                    parts = [x for line, a, b in zip(self.order, low[at], high[at]) for x in (line[:a], line[b:])]
+                    count[q] = m - np.bincount(np.concatenate(parts), minlength=n)
+                else:
+                    parts = [x for line, a, b, c, d in zip(self.order, low[at], *before[q], high[at]) for x in (line[a:b], line[c:d])]
+                    count[q] += np.bincount(np.concatenate(parts), minlength=n)
+                before[q] = low[at], high[at]
+                fresh = np.flatnonzero((count[q] >= least) & ~seen[q])
                 if len(fresh):
-                    verified[q, fresh] = True
+                    seen[q, fresh] = True
                     rows[q].append(fresh)
                     scores[q].append(self.vectors[fresh] @ queries[q])
-                found = sum(map(len, rows[q]))
-                done = found == n
-                if not done and found >= k:
-                    kth = np.partition(np.concatenate(scores[q]), found - k)[found - k]
-                    done = base[q] - 2 * kth <= radius * radius
+                    size[q] += len(fresh)
+                done = size[q] == n
+                if not done and size[q] >= k:
+                    done = base[q] - 2 * np.partition(np.concatenate(scores[q]), size[q] - k)[size[q] - k] <= radius * radius
                 if done:
                     ended[q] = radius
                 else:
                     going.append(at)
-            low[active], high[active] = new_low, new_high
             active = active[going]
             radius *= widen
         return [np.concatenate(r) for r in rows], [np.concatenate(x) for x in scores], ended
@@ -106,46 +115,66 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lines: int = 48, miss: float = 0.05, widen: float = 1.1, block: int = 16_384, seed: int = 17) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", frames: int = 2, miss: float = 0.1, widen: float = 1.03, block: int = 16_384, seed: int = 17, counted: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row that is_query selects.
 
-    is_query is a condition on the column vec_id. block bounds the rows of an index block and of a
-    query block.
+    is_query is a condition on the column vec_id. block bounds the rows of an index block. miss is the
+    probability that a vector at the radius misses the threshold if its projections were independent; on
+    orthogonal lines it is much smaller. counted: with a column verified, how many rows the query verified.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, n_queries, longest = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.sqrt(squared))).first()
-    parts, query_parts = max(6, -(-n // block)), max(1, -(-n_queries // block))
+    n, longest = rows.agg(F.count("*"), F.max(F.sqrt(squared))).first()
+    parts = max(6, -(-n // block))
     longest = (longest or 1.0) * (1 + 1e-12)
-    deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    data = rows.select("vec_id", "v", F.lit(False).alias("asks"), deal(parts).cast("long").alias("part")).select("*", every(query_parts).alias("query_part"))
-    asks = rows.where(is_query).select("vec_id", "v", F.lit(True).alias("asks"), deal(query_parts).cast("long").alias("query_part")).select("*", every(parts).alias("part"))
-    least = threshold(lines, miss)
-    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(group: pa.Table) -> pa.Table:
-        ids, asks = group.column("vec_id").to_numpy(), group.column("asks").to_numpy()
-        flat = np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in group.column("v").chunks])
-        vectors = flat.reshape(len(ids), -1)
-        own, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-        if not len(own) or not len(queries):
-            return kind.empty_table()
-        own = own[np.argsort(ids[own], kind="stable")]
-        index, radius, out = Index(vectors[own], longest, lines, seed), 0.25 * longest, []
-        for part in [queries[:8], *(queries[a : a + 128] for a in range(8, len(queries), 128))]:
-            rows, scores, ends = index.search(vectors[part], k + 1, least, radius, widen)
-            radius = max(float(np.median(ends)) / widen, 1e-6 * longest)  # later queries end alike; it only saves steps
-            for q, found, score in zip(part, rows, scores):
-                keep = ids[own[found]] != ids[q]
-                found, score = found[keep], score[keep]
-                if len(found) > k:  # ties at the end stay
-                    last = np.partition(score, len(score) - k)[len(score) - k]
-                    found, score = found[score >= last], score[score >= last]
-                best = np.lexsort((ids[own[found]], -score))[:k]
-                out.append((np.full(len(best), ids[q]), ids[own[found[best]]], score[best]))
-        return pa.table([np.concatenate([o[j] for o in out]) for j in range(3)], schema=kind)
-
-    found = data.unionByName(asks).withColumn("d", F.size("v")).groupBy("d", "part", "query_part").applyInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    data = rows.select("vec_id", "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
+    asks = rows.where(is_query).select("vec_id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = data.unionByName(asks).withColumn("d", F.size("v")).repartitionById(parts, F.col("part")).sortWithinPartitions("d", "asks")
+    names = ["query_id", "vec_id", "score", "verified"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, index, own, least, radius, dimension = [], None, None, 0, 0.0, None
+
+        def answer(ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal radius
+            starts = [0, *range(4, len(ids), 32)] if radius == 0.5 * longest else range(0, len(ids), 32)  # a few show where to begin
+            for a, b in zip(starts, [*starts[1:], len(ids)]):
+                part, out = slice(a, b), []
+                found, scores, ends = index.search(queries[part], k + 1, least, radius, widen)
+                radius = max(float(np.quantile(ends, 0.1)) * 0.98, 1e-6 * longest)  # later queries end alike; it only saves steps
+                for q, rows, score in zip(ids[part], found, scores):
+                    size, keep = len(rows), own[rows] != q
+                    rows, score = rows[keep], score[keep]
+                    if len(rows) > k:  # ties at the end stay
+                        last = np.partition(score, len(score) - k)[len(score) - k]
+                        rows, score = rows[score >= last], score[score >= last]
+                    best = np.lexsort((own[rows], -score))[:k]
+                    out.append((np.full(len(best), q), own[rows[best]], score[best], np.full(len(best), size)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(4)], names=names)
+
+        for batch in batches:
+            d, is_ask, ids = batch.column(4).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(0).to_numpy()
+            flat = batch.column(1).flatten().to_numpy()
+            ends = np.cumsum(d)
+            change = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (is_ask[1:] != is_ask[:-1]))))
+            for a, b in zip(change, [*change[1:], len(d)]):
+                vectors = flat[ends[a] - d[a] : ends[b - 1]].reshape(b - a, d[a])
+                if d[a] != dimension:
+                    dimension, held, index, own = d[a], [], None, None
+                if not is_ask[a]:
+                    held.append((ids[a:b], vectors))
+                    continue
+                if index is None and held:
+                    own = np.concatenate([h[0] for h in held])
+                    order = np.argsort(own, kind="stable")
+                    own, held = own[order], [np.concatenate([h[1] for h in held])[order]]
+                    index = Index(held.pop(), longest, frames, seed)
+                    least, radius = threshold(len(index.lines), miss), 0.5 * longest
+                if index is not None:
+                    yield from answer(ids[a:b], vectors)
+
+    found = dealt.mapInArrow(lean(run), "query_id long, vec_id long, score double, verified long")
+    w = Window.partitionBy("query_id")
+    out = found.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    out = out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", *([F.col("verified")] if counted else []))
+    return out

@@ -54,3 +54,15 @@ def test_uneven_norms_copies_and_odd_rows(spark):
     assert collect(ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0)) == {}
     few = collect(ann.nearest(df.where("vec_id < 5"), F.col("vec_id") == 0))
     assert sorted(i for i, _ in few[0]) == [1, 2, 3, 4]
+
+
+def test_few_rows_are_verified():
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((10_000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    index = ann.Index(v, 1.0, 2, 17)
+    least = ann.threshold(len(index.lines), 0.1)
+    rows, _, _ = index.search(v[:40], 21, least, 1.0, 1.03)
+    near = [set(np.argsort(-(v @ q))[:21].tolist()) for q in v[:40]]
+    assert sum(map(len, rows)) <= 0.2 * 40 * len(v)
+    assert sum(len(w & set(r.tolist())) for w, r in zip(near, rows)) >= 0.9 * 40 * 21
