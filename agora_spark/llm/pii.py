@@ -4,12 +4,13 @@ Candidate spans come from the base patterns and from looser ones. Four labelers
 or nothing): the pattern with its check, a gazetteer (domains, calling codes, card issuers, address
 ranges), the words before, and the neighbouring characters. Expectation-maximisation over all votes
 of the corpus estimates each labeler's reliability and each candidate's probability, without labels;
-a logistic span classifier is then trained on these probabilities. Votes of one kind can take 81
-patterns, so the corpus is summed up in at most 324 counts, and both fits are array expressions over
-that one row.
+a logistic span classifier is then trained on these probabilities. It sees the votes and what no
+labeler looks at, the span's kind and length in that kind, and has the last word. Votes of one kind
+can take 81 patterns and lengths fall in 4 classes, so the corpus is summed up in at most 1296 counts,
+and both fits are array expressions over that one row.
 
-Spans of the base patterns that pass their check are always kept. The classifier adds candidates that
-it accepts (looser forms, or failing matches that everything else speaks for).
+Spans of the base patterns that pass their check are always kept. The classifier adds the candidates
+that it accepts (looser forms, or failing matches that everything else speaks for).
 
 Defined results: null texts are empty and have no spans. Positions are code points, ends exclusive.
 Repeated rows give repeated results, null ids are kept. Empty tables give empty tables. Of the input
@@ -49,6 +50,8 @@ GAZETTEER = {
 CONTEXT = r"(?i)(e-?mail|courriel|correo|kontakt|contact|write|mailto|\btel\b|phone|t.l.phone|telefon|call|fax|mobile|cell|handy|m.vil|\bcard\b|credit|visa|mastercard|amex|karte|carte|tarjeta|\bip\b|address|adresse|server|host|login)\W{0,4}(\w+\W{1,3}){0,3}$"
 AGAINST = r"(?i)(version|release|isbn|issn|doi|order|invoice|page|section|figure|table|chapter|serial|sku|part no|\bno\.|nr\.|#)\W{0,3}$"
 NEAR = 40
+#: Classes of a span's length, 8 characters each; the last one is open.
+LENGTHS = 4
 CHUNK = 256
 
 
@@ -108,7 +111,8 @@ def _candidate(kind: str, loose: bool):
         gazetteer = F.when(what.rlike(GAZETTEER[kind]), 2).otherwise(0)
         context = F.when(m["before"].rlike(AGAINST), 0).when(m["before"].rlike(CONTEXT), 2).otherwise(1)
         glued = m["before"].rlike(r"[\p{L}0-9@/._-]$") | m["after"].rlike(r"^[\p{L}0-9@/_-]")
-        code = F.lit(81 * k) + 27 * pattern + 9 * gazetteer + 3 * context + F.when(glued, 0).otherwise(2)
+        votes = F.lit(81 * k) + 27 * pattern + 9 * gazetteer + 3 * context + F.when(glued, 0).otherwise(2)
+        code = votes * LENGTHS + F.least(F.floor(F.char_length(what) / 8).cast("int"), F.lit(LENGTHS - 1))
         return F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.char_length(what)).alias("end"), passes.alias("base"), code.alias("code"))
 
     return make
@@ -128,19 +132,19 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _votes(code: Column) -> list[Column]:
-    return [F.pmod(F.floor(code / d).cast("int"), F.lit(3)) for d in (27, 9, 3, 1)]
+    return [F.pmod(F.floor(code / (LENGTHS * d)).cast("int"), F.lit(3)) for d in (27, 9, 3, 1)]
 
 
 def accepted(spans: DataFrame, rounds: int = 25, steps: int = 300, rate: float = 2.0) -> DataFrame:
-    """Fit on the votes of all candidates: (code, n, probability by EM, score of the classifier) of each vote pattern.
+    """Fit on the votes of all candidates: (code, n, probability by EM, score of the classifier) of each code of votes, kind and length.
 
-    The fits run over one row that holds at most 324 patterns. A theta is P(vote | truth), at place
+    The fits run over one row that holds at most 1296 codes. A theta is P(vote | truth), at place
     (labeler * 3 + vote) * 2 + truth. Pseudo-counts tie "yes" votes to true spans, so that the two
     truths cannot change places.
     """
     counts = spans.select(F.explode("spans.code").alias("code")).groupBy("code").agg(F.count("*").cast("double").alias("n"))
     v = _votes(F.col("code"))
-    one = counts.select(F.struct(F.col("code").alias("code"), F.floor(F.col("code") / 81).cast("int").alias("kind"), F.array(*v).alias("votes"), "n").alias("p")).agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    one = counts.select(F.struct(F.col("code").alias("code"), F.floor(F.col("code") / (81 * LENGTHS)).cast("int").alias("kind"), F.pmod("code", F.lit(LENGTHS)).cast("int").alias("length"), F.array(*v).alias("votes"), "n").alias("p")).agg(F.sort_array(F.collect_list("p")).alias("ps"))
     prior = [[(6.0, 1.0), (3.0, 3.0), (1.0, 6.0)], [(3.0, 1.0), (1.0, 1.0), (2.0, 4.0)], [(3.0, 1.0), (6.0, 6.0), (1.0, 3.0)], [(4.0, 2.0), (1.0, 1.0), (4.0, 6.0)]]
     flat = [x for j in prior for vote in j for x in vote]
     total = [[sum(vote[y] for vote in j) for y in (0, 1)] for j in prior]
@@ -170,9 +174,9 @@ def accepted(spans: DataFrame, rounds: int = 25, steps: int = 300, rate: float =
     start = F.struct(F.lit([0.5] * 4).cast("array<double>").alias("share"), F.lit(theta0).cast("array<double>").alias("theta"), F.transform("ps", lambda p: F.lit(0.5)).alias("r"))
     fitted = one.select("ps", F.aggregate(F.sequence(F.lit(1), F.lit(2 * rounds)), start, lambda acc, i: F.when(i % 2 == 1, expect(acc)).otherwise(maximise(acc))).alias("em"))
     fitted = fitted.select("ps", F.col("em.r").alias("r"))
-    # The span classifier: logistic regression on the votes and the kind, to the probabilities above, each pattern weighted by its share.
-    features = lambda p: F.array(F.lit(1.0), *((p["kind"] == k).cast("double") for k in range(4)), *((F.get(p["votes"], F.lit(j)) == x).cast("double") for j in range(4) for x in (0, 2)))
-    size = 13
+    # The span classifier: logistic regression on the votes, the kind and the length, to the probabilities above, each code weighted by its share.
+    features = lambda p: F.array(F.lit(1.0), *((p["kind"] == k).cast("double") for k in range(4)), *((F.get(p["votes"], F.lit(j)) == x).cast("double") for j in range(4) for x in (0, 2)), *(((p["kind"] == k) & (p["length"] == x)).cast("double") for k in range(4) for x in range(LENGTHS)))
+    size = 13 + 4 * LENGTHS
     rows = fitted.select("ps", "r", F.aggregate("ps", F.lit(0.0), lambda a, p: a + p["n"] + 1).alias("all"))
     rows = rows.select("ps", "r", F.zip_with("ps", "r", lambda p, r: F.struct(features(p).alias("x"), r.alias("r"), ((p["n"] + 1) / F.col("all")).alias("w"))).alias("xs"))
     dot = lambda w, x: F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
@@ -195,8 +199,8 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     numbers a span), read for the fit and again for the result.
     """
     found = materialize(candidates(df, id_col, text_col), "pii")
-    # At most 324 codes come to the driver.
-    codes = sorted(r.code for r in accepted(found).where((F.col("score") >= least) & (F.col("probability") >= least)).select("code").collect())
+    # At most 1296 codes come to the driver.
+    codes = sorted(r.code for r in accepted(found).where(F.col("score") >= least).select("code").collect())
     span = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     base = F.sort_array(F.transform(F.filter("spans", lambda s: s["base"]), span))
     every = F.sort_array(F.transform(F.filter("spans", lambda s: s["base"] | s["code"].isin(codes)), span))
