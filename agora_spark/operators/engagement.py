@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora_spark.functions.dates import local_day
+from agora_spark.operators.places import ranked
 
 
 def likes(events: DataFrame) -> DataFrame:
@@ -25,8 +26,7 @@ def activity(events: DataFrame, as_of: str) -> DataFrame:
 def ledger(events: DataFrame, quota: int) -> DataFrame:
     """(month, venue_id, place, within): venues by their first touch in a month; those up to the quota are within it."""
     touch = events.groupBy(F.date_trunc("month", F.from_utc_timestamp("ts", "America/Recife")).cast("date").alias("month"), "venue_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    place = F.row_number().over(Window.partitionBy("month").orderBy("first", "venue_id"))
-    return touch.withColumn("place", place).select("month", "venue_id", "place", (F.col("place") <= quota).alias("within"))
+    return ranked(touch, ["month"], F.col("first"), F.col("venue_id")).select("month", "venue_id", F.col("place").cast("int").alias("place"), (F.col("place") <= quota).alias("within"))
 
 
 def hot_sessions(likes_: DataFrame, hours: int = 6) -> DataFrame:

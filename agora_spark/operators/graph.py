@@ -1,18 +1,21 @@
-"""Connected components of an edge table by pointer jumping."""
+"""Connected components of an edge table by pointer jumping, and scratch tables for operators that work in rounds."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share, which cuts its lineage."""
+    """df written to the folder that all executors share, which cuts its lineage. It goes when drop() is given it, or when the process ends."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
@@ -22,8 +25,32 @@ def cut(df: DataFrame) -> DataFrame:
             _own.append("file://" + tempfile.mkdtemp(prefix="agora-graph-"))
         root = _own[0]
     path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    _made.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._agora_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_agora_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _made[:] = [x for x in _made if x[1] != path]
+
+
+@atexit.register
+def _at_exit() -> None:
+    for spark, path in list(_made):
+        with suppress(Exception):  # the session may have ended before the process
+            _delete(spark, path)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -32,14 +59,21 @@ def connected(edges: DataFrame) -> DataFrame:
     Every node takes the smallest label of its neighbourhood, then the label of that label, until
     nothing changes: the reach doubles with each round.
     """
-    both = cut(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = cut(edges.where("a <> b").select(ends.alias("e")).select("e.a", "e.b").distinct())
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component"))
+    hooked = labels.select("node", F.lit(None).alias("was"), "component")  # the first labels are the first hooks
+    written = None
     while True:
-        via = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
-        lowest = both.join(via, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("least"))
-        hooked = labels.join(lowest, "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("component"))
         roots = hooked.select(F.col("node").alias("root"), F.col("component").alias("further"))
         jumped = cut(hooked.join(roots, F.col("component") == F.col("root"), "left").select("node", "was", F.coalesce("further", "component").alias("component")))
-        if jumped.where("was <> component").isEmpty():
+        if written is not None:
+            drop(written)
+        written = jumped
+        if jumped.where("was IS NULL OR was <> component").isEmpty():
+            drop(both)
             return jumped.select("node", "component")
         labels = jumped.select("node", "component")
+        via = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
+        lowest = both.join(via, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("least"))
+        hooked = labels.join(lowest, "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("component"))

@@ -79,7 +79,7 @@ def _decided(spark, sf_dir):
 def nearby_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = places.within(S.venue(spark, sf_dir).where("lifecycle = 'active'"), *S.HERE, 20)
     signal = price.price_signal(F.col("price_label"), F.col("currency"), F.col("price_min"), F.col("price_max"), F.col("crowd_price"))
-    rows = near.join(S.rating(spark, sf_dir), "venue_id", "left").withColumn("p", signal)
+    rows = near.join(S.rating(spark, sf_dir, near.select("k")), "venue_id", "left").withColumn("p", signal)
     out = rows.select("venue_id", "name", F.round("km_away", 6).alias("km"), F.col("p.level").alias("level"), F.col("p.source").alias("price_source"), F.coalesce("reviews", F.lit(0)).alias("reviews"))
     return out.orderBy(F.desc("reviews"), "venue_id").limit(50)
 
@@ -193,11 +193,12 @@ def live_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.sql("venue", "live") + f"SELECT venue_id, CASE WHEN TIMESTAMP '{S.AS_OF}' - made < INTERVAL 10 MINUTE THEN busyness END AS busyness, row_number() OVER (ORDER BY l.venue_id IS NULL, busyness DESC NULLS LAST, venue_id) AS place FROM venue LEFT JOIN live l USING (venue_id) WHERE lifecycle = 'active' AND {_km(*S.HERE, 'lat', 'lng')} <= 5")
 def live_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live venues first, by raw busyness; a stale value orders but is not shown. One answer's venues fit one task."""
+    """Live venues first, by raw busyness; a stale value orders but is not shown."""
     near = places.within(S.venue(spark, sf_dir).where("lifecycle = 'active'"), *S.HERE, 5).join(S.live(spark, sf_dir), "venue_id", "left")
     fresh = dates.freshness(dates.parse_gmttime(F.col("gmttime")), F.lit(S.AS_OF).cast("timestamp"), 10) == "fresh"
-    order = Window.orderBy(F.col("gmttime").isNull(), F.desc_nulls_last("busyness"), "venue_id")
-    return near.select("venue_id", F.when(fresh, F.col("busyness")).alias("busyness"), F.row_number().over(order).cast("long").alias("place"))
+    rows = near.select("venue_id", "busyness", F.col("gmttime").isNull().alias("last"), fresh.alias("fresh"))
+    out = places.ranked(rows, [], F.col("last"), F.desc_nulls_last("busyness"), F.col("venue_id"))
+    return out.select("venue_id", F.when(F.col("fresh"), F.col("busyness")).alias("busyness"), "place")
 
 
 GRID = ", day(d) AS (SELECT unnest(range(7))), weekly AS (SELECT venue_id, k, d, list_transform(range(24), lambda h: (k * 7 + d * 3 + h * 5) % 101) AS grid FROM venue, day WHERE (k + d) % 6 <> 0)"

@@ -33,9 +33,13 @@ def venue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rating(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rating(spark: SparkSession, sf_dir: str, among: DataFrame | None = None) -> DataFrame:
+    """Ratings of all venues, or of those among (k)."""
     lines = read(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.concat(F.lit("v"), "l_partkey").alias("venue_id")).agg(F.round(F.avg("l_quantity"), 4).alias("rating"), F.count("*").alias("reviews"))
+    if among is not None:
+        lines = lines.join(among, F.col("l_partkey") == F.col("k"), "left_semi")
+    rated = lines.groupBy("l_partkey").agg(F.round(F.avg("l_quantity"), 4).alias("rating"), F.count("*").alias("reviews"))
+    return rated.select(F.concat(F.lit("v"), "l_partkey").alias("venue_id"), "rating", "reviews")
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
