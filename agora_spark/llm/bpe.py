@@ -4,7 +4,8 @@ Pre-tokenisation works on arrays: each code point gets a class, and each class i
 function on the few states that a token boundary depends on. Functions compose associatively, so a
 long text is cut into equal lanes: one pass finds each lane's function, their composition gives
 each lane's first state, and a second pass marks the boundaries in all lanes at once. The slices
-between boundaries feed a cache of merged pieces; token ids are gathered from its table.
+between boundaries feed a cache of merged pieces; token ids are gathered from its table. Pieces that
+are new are merged all at once, each step taking every piece's pair of the lowest rank.
 
 Ids are kept packed, as little-endian unsigned 32-bit integers in a binary column, the usual form of
 training shards. Decoding needs only the ids: offsets into one buffer of all tokens' bytes give the
@@ -125,6 +126,42 @@ def boundaries(symbol: np.ndarray) -> np.ndarray:
     return start
 
 
+#: More than any rank.
+NONE = 1 << 31
+
+
+class Pairs:
+    """The token that two neighbouring tokens make, looked up for many pairs at once in a table with open addressing."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        left, right, made = np.array(found, np.int64).reshape(-1, 3).T
+        self.bits = max(4, (3 * len(left)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int64)
+        key = left << 32 | right
+        at, todo = self._start(key), np.arange(len(key))
+        while len(todo):
+            free = todo[self.keys[at[todo]] < 0]
+            won = free[np.unique(at[free], return_index=True)[1]]  # of several that want one place, one gets it
+            self.keys[at[won]], self.made[at[won]] = key[won], made[won]
+            todo = todo[self.keys[at[todo]] != key[todo]]
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+
+    def _start(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The tokens, NONE where there is none."""
+        key = left << 32 | right
+        at = self._start(key)
+        odd = np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))
+        while len(odd):
+            at[odd] = (at[odd] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[odd]]
+            odd = odd[(there != key[odd]) & (there >= 0)]
+        return np.where(self.keys[at] == key, self.made[at], NONE)
+
+
 class Vocabulary:
     """Token ids by bytes, and the bytes by id in one buffer with offsets."""
 
@@ -137,6 +174,8 @@ class Vocabulary:
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pairs = Pairs(self.ranks)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All tokens' bytes after one another, and where each ends."""
@@ -145,28 +184,49 @@ class Vocabulary:
         place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - ends + size, size)
         return self.bytes[place], ends
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Merge the pair of the lowest rank, the leftmost first, until none is in the vocabulary."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        if len(piece) > 100:
-            return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        get, none = ranks.get, len(ranks) + 1
-        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs:
-            low = min(pairs)
-            if low == none:
-                break
-            i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], none)
-        return [ranks[p] for p in parts]
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces after one another, and how many each has: the pair of the lowest rank is merged, the leftmost first, until none is in the vocabulary."""
+        whole = [self.ranks.get(p) for p in pieces]
+        long = [k for k, (p, r) in enumerate(zip(pieces, whole)) if r is None and len(p) > 100]
+        few = [k for k, (p, r) in enumerate(zip(pieces, whole)) if r is None and 0 < len(p) <= 100]
+        known = [k for k, r in enumerate(whole) if r is not None]
+        made = [(np.array(known, np.int64), np.array([whole[k] for k in known], np.int64))]
+        for k in long:
+            ids = np.array(self._merge_long(pieces[k]), np.int64)
+            made.append((np.full(len(ids), k), ids))
+        if few:
+            owner, ids = self._merge_at_once([pieces[k] for k in few])
+            made.append((np.array(few, np.int64)[owner], ids))
+        owner, ids = (np.concatenate(x) for x in zip(*made))
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.bincount(owner, minlength=len(pieces))
+
+    def _merge_at_once(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, id) of each token of the pieces, a piece's tokens in order."""
+        token = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        rank = np.full(len(token), NONE, np.int64)  # of a token with the one behind it
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self.pairs.look(token[inner], token[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(token):
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            low = np.minimum.reduceat(rank << 31 | np.arange(len(token)), first)  # the lowest rank, then the leftmost
+            live = low < NONE << 31
+            goes = ~np.repeat(live, np.diff(np.concatenate((first, [len(token)]))))
+            done.append((owner[goes], token[goes]))
+            at, made = low[live] & (NONE - 1), low[live] >> 31
+            token[at] = made
+            goes[at + 1] = True  # it is part of the new token
+            at -= np.cumsum(goes)[at]
+            token, owner, rank = token[~goes], owner[~goes], rank[~goes]
+            rank[at] = NONE
+            for place in (at, at - 1):  # the new token with the one behind it, and the one before with it
+                place = place[(place >= 0) & (place + 1 < len(token))]
+                place = place[owner[place] == owner[place + 1]]
+                rank[place] = self.pairs.look(token[place], token[place + 1])
+        owner, token = (np.concatenate(x) for x in zip(*done))
+        return owner, token
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same by a heap of pairs and a linked list of parts."""
@@ -209,13 +269,10 @@ class Encoder:
         self.ids, self.size, self.used = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), 0
 
     def _learn(self, pieces: set[str]) -> None:
-        new, size = [], []
         base = len(self.index)
-        for piece in pieces:
-            ids = self.vocabulary.merge(piece.encode("utf-8", "surrogatepass"))
-            self.index[piece] = base + len(size)
-            new.extend(ids)
-            size.append(len(ids))
+        pieces = list(pieces)
+        new, size = self.vocabulary.merge_all([p.encode("utf-8", "surrogatepass") for p in pieces])
+        self.index.update(zip(pieces, range(base, base + len(pieces))))
         while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
         while base + len(size) > len(self.size):
