@@ -370,7 +370,7 @@ def caption_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unmark(x: str) -> str:
-    return f"translate(replace(lower({x}), 'ß', 'ss'), '{text.MARKED}', '{text.PLAIN}')"
+    return f"strip_accents(replace(lower({x}), 'ß', 'ss'))"
 
 
 @query(f"SELECT doc_id, md5(trim(regexp_replace({_unmark('coalesce(text, chr(0))')}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS folded FROM documents")
