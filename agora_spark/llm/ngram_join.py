@@ -209,7 +209,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     member = groups(entries_of(docs, width, percent, buckets))
     holder = member.select(F.col("u").alias("node")).distinct().join(nodes.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
     # A node of documents without ids only is read by its text, too.
-    texts = docs.where("text IS NOT NULL").join(holder.select("doc_id"), "doc_id", "left_semi")
+    texts = docs.where("text IS NOT NULL").join(holder.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")  # texts are not sorted
     texts = texts.unionByName(docs.where("doc_id IS NULL AND text IS NOT NULL"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -177,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_doc
         share = 1.0 if counts.get(1) else 0.0
         return Model(np.zeros(buckets, np.float32), 0.0, 0.0, 40.0 if share else -40.0)
     drawn = known.where(lot < int(1_000_000 * min(1.0, 0.95 * max_documents / total)))
-    # AQE decides how to join: the drawn labels are at most max_documents rows.
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(drawn, "doc_id")
+    # The drawn labels are about max_documents rows at most, two numbers each, so the texts need no shuffle.
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
     rows = rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)) == 0).alias("apart"), F.col("doc_id").cast("long").alias("doc_id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
