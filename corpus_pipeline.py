@@ -60,7 +60,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies: that with the group's smallest id. Rows without an id stay; rows with one id stay or go together."""
     linked = ngram_join.link_documents(docs, WIDTH, PERCENT)
     others = linked.where("doc_id IS NOT NULL AND component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 @_stage
