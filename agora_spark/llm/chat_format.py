@@ -6,8 +6,8 @@ Only assistant texts that the window shows for the first time are under the loss
 learnt once. Control strings inside texts are escaped reversibly; read_windows() undoes it.
 
 The turn number is the place in the conversation (0, 1, ...). A conversation is cut into segments of
-`segment` turn numbers, which are formatted apart: a segment gets the system turn and the last turns
-of the segment before, but no window spans two. So one endless conversation spreads over many tasks.
+`segment` turn numbers, which are formatted apart: a segment gets the system turn and as many turns of
+the segment before as the history can hold, but no window spans two. So one endless conversation spreads over many tasks.
 
 Defined results: null texts and roles are empty; a null turn comes first; turns with the same number
 are ordered by role and text, and repeated rows are repeated turns. A null conv_id is a conversation
@@ -26,7 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agora_spark.llm.common import lean
+
 TURN, END = "<|turn|>", "<|end|>"
+#: Tokens that a turn costs besides its text.
+TURN_TOKENS = 4
 #: Strings that models read as markup. In a text each gets a backslash after its first character.
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL))
@@ -77,13 +81,13 @@ def format_conversations(df: DataFrame, budget: int = 2048, history: int = 512,
     budget and history count tokens (runs of word characters, and other characters that are not
     blank). n_repeated counts the turns at the window's start that an earlier window has shown.
     """
-    tail = min(64, segment)
+    tail = min(history // TURN_TOKENS, segment)  # no more turns than that fit in the history
     rows = df.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     at = F.coalesce(F.floor(F.col("turn") / segment), F.lit(0)).cast("long")
-    rows = rows.withColumn("segment", at).withColumn("tokens", F.regexp_count("text", F.lit(r"\w+|[^\w\s]")).cast("long") + 4)
+    rows = rows.withColumn("segment", at).withColumn("tokens", F.regexp_count("text", F.lit(r"\w+|[^\w\s]")).cast("long") + TURN_TOKENS)
     own = rows.withColumn("kind", F.lit(2))  # 0: system turn, 1: before the segment, 2: in it
     # The end of each segment is also history of the next one, if there is one.
     ends = rows.where(F.col("turn") % segment >= segment - tail).withColumns({"segment": F.col("segment") + 1, "kind": F.lit(1)})
@@ -136,7 +140,7 @@ def format_conversations(df: DataFrame, budget: int = 2048, history: int = 512,
         if out:
             yield pack()
 
-    return dealt.mapInArrow(run, WINDOWS)
+    return dealt.mapInArrow(lean(run), WINDOWS)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -176,4 +180,4 @@ def read_back(windows: DataFrame) -> DataFrame:
 
     rows = windows.select("conv_id", "segment", "window", "text", "loss", "n_repeated")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "segment", "window").select("conv_id", "text", "loss", "n_repeated")
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -21,12 +21,14 @@ _own: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir. Where that is unset (tests on one machine), a
-    temporary folder is made once for this process.
+    The cluster names it in spark.checkpoint.dir. Where that is unset on one machine (tests), a
+    temporary folder is made once for this process; elsewhere it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="agora-"))
     return _own[0]

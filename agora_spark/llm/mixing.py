@@ -101,11 +101,8 @@ def mix(docs: DataFrame, targets: Targets | None = None, fraction: float = 0.5,
     raked = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["n"] * c["f"])
     one = one.select("cells", F.aggregate(ordered, start, descend, lambda a: a["scale"]).alias("scale"), F.when(raked > 0, F.col("total") * fraction / raked).otherwise(0.0).alias("share"))
     weights = one.select(F.explode("cells").alias("c"), "scale", "share").select(F.col("c.source").alias("_source"), F.col("c.lang").alias("_lang"), F.col("c.topic").alias("_topic"), F.col("c.f").alias("weight"), F.round(F.least(F.lit(1.0), F.col("c.f") * F.greatest(F.col("scale"), F.lit(0.0))), 9).alias("probability"), F.round(F.col("c.f") * F.col("share"), 9).alias("_expected"))
-    most = 1
-    for _, levels, _ in dims:
-        most *= len(levels)
-    weights = weights.limit(most)  # never more: one row a cell, which bounds what is broadcast
     drawn = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    # One row a cell, so at most the product of the numbers of levels.
     out = rows.join(F.broadcast(weights), ["_source", "_lang", "_topic"], "left")
     names = [F.get(F.lit(levels), F.col(f"_{name}")).alias(f"{name}_level" if name != "topic" else "topic") for name, levels, _ in dims]
     out = out.select("_kept.*", "n_tokens", *names, F.coalesce(F.col("weight"), F.lit(1.0)).alias("weight"), F.coalesce(F.col("probability"), F.lit(1.0)).alias("probability"), "_expected", drawn.alias("_drawn"))
