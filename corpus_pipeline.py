@@ -7,7 +7,7 @@ the one before has written, and works on all of it.
 Defined results: a null text is empty; empty texts are neither toxic nor copies of anything, and stay.
 Rows without an id stay in each stage that needs one to choose among copies. Repeated rows share their
 fate. An empty table gives an empty one. Further columns, whatever their names, pass through the stages
-up to the last one.
+up to the last one, but for score, n_lines and n_removed, which the stages' own results replace.
 """
 
 from __future__ import annotations
@@ -66,8 +66,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics have their target weights; what is rarer than its target is repeated."""
-    drawn = mixing.mix(docs, fraction=FRACTION, keep=docs.columns).where("copies > 0")
-    return drawn.select(*docs.columns, F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # so that no name clashes with those of mix()
+    drawn = mixing.mix(docs.select("doc_id", "text", "source", "lang", whole), fraction=FRACTION, keep=["row"]).where("copies > 0")
+    return drawn.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select("row.*")
 
 
 @_stage
