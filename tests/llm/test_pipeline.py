@@ -60,3 +60,18 @@ def test_run_and_stage_columns(spark, sf_dir):
         assert r.n_tokens == len(r.ids) // 4
         left = texts[r.doc_id].split("\n")
         assert all(line in left for line in text.split("\n"))
+
+
+def test_odd_rows_pass_the_stages(spark, sf_dir):
+    long = "word " * 40_000
+    rows = [(1, None), (2, ""), (None, "no id here, but a text of more than a few words"), (3, "the same row twice, word by word"), (3, "the same row twice, word by word"), (4, long), (5, long + "end"), (6, "\n\n"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", None, None, 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, copies int, node string").repartition(3)
+    for start in (docs, docs.limit(0)):
+        now = start
+        for _, stage in P.STAGES[:-1]:
+            now = stage(spark, now, sf_dir)
+            assert now.columns == docs.columns
+            now = spark.createDataFrame(now.collect(), docs.schema)
+        out = {(r.doc_id, r.n_tokens) for r in P.STAGES[-1][1](spark, now, sf_dir).collect()}
+        assert {d for d, _ in out} <= {None, 1, 2, 3, 4, 5, 6}  # mixing draws among them
+        assert start is not docs or {1, 2} <= {d for d, n in out if not n}
