@@ -15,6 +15,8 @@ NO_PROFILES = ("p", "reel", "reels", "explore", "stories", "tv", "s", "accounts"
 # Words of addresses that say nothing, and what a local business' following is worth.
 ADDRESS_STOP_WORDS = ("r", "rua", "av", "avenida", "n", "no", "de", "do", "da", "dos", "das", "s/n", "pe", "brazil", "brasil")
 FOLLOWERS = ((50, 0.2), (200, 0.5), (100_001, 1.0), (500_001, 0.7))
+# Words of a summary that speak for an inclusive place.
+INCLUSIVE = ("lgbtq", "lgbt", "gay", "lesbian", "queer", "pride", "drag", "inclusive", "welcoming to all", "diverse crowd", "rainbow")
 WEIGHTS = {"name": 0.30, "address": 0.20, "type": 0.10, "business": 0.10, "category": 0.10, "url": 0.10, "followers": 0.10}
 
 
@@ -71,6 +73,12 @@ def handle_as_words(handle: Column) -> Column:
     return F.translate(handle, "._", "  ")
 
 
+def inclusive(summary: Column) -> Column:
+    """Whether a summary holds one of the words."""
+    low = F.lower(F.coalesce(summary, F.lit("")))
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in INCLUSIVE))
+
+
 def run_status(aborted: Column, *undelivered: Column) -> Column:
     """error, partial or success of a run's counters."""
     return F.when(F.coalesce(aborted, F.lit(False)), "error").when(reduce(lambda a, b: a + b, (F.coalesce(x, F.lit(0)) for x in undelivered)) > 0, "partial").otherwise("success")

@@ -92,3 +92,27 @@ def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.when(k % 3 == 1, "Rua Aurora, Bloco").otherwise("Rua Aurora, 5")
     s = rules.profile_score(F.lit("Bar Conchittas"), address, user, F.lit(None).cast("string"), bio, k % 5 == 0, F.when(k % 2 == 0, 0.5).otherwise(0.0), F.lit(0.0), url, followers, ["recife", "na aurora"])
     return S.read(spark, sf_dir, "customer").withColumn("s", s).select("c_custkey", "s.confidence", "s.signals.name", "s.signals.address", "s.signals.url", "s.signals.followers")
+
+
+#: A date's text and its form.
+SHAPES = (
+    ("", "empty"), ("hoje às 22h", "relative_hoje_amanha"), ("Amanhã, 12/05", "relative_hoje_amanha"), ("toda semana", "cadence_toda_semana_or_sempre"), ("todo fim de semana", "cadence_daily_or_weekend"), ("todas as sextas", "cadence_todo_plus_weekday"), ("de segunda a sexta", "weekday_range_or_list"),
+    ("de 10 a 12 de maio", "range_de_x_a_y_de_mes"), ("10, 11 e 12/05", "range_comma_or_e_list"), ("12.05.2024", "numeric_dmy"), ("12 de março", "textual_month_name"), ("mai 12", "textual_month_name"), ("sábado", "bare_weekday"), ("em breve", "unrecognized"), (None, "empty"),
+)
+
+
+@query(f"SELECT shape, count(*) AS events FROM (SELECT {_cases(tuple(x[1] for x in SHAPES), f'o_orderkey % {len(SHAPES)}')} AS shape FROM orders) GROUP BY 1")
+def date_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts of dates have which form."""
+    shape = R.date_shape(_pick(tuple(x[0] for x in SHAPES), F.col("o_orderkey") % len(SHAPES), "string"))
+    return S.read(spark, sf_dir, "orders").groupBy(shape.alias("shape")).agg(F.count("*").alias("events"))
+
+
+SUMMARIES = (("A Gay bar", True), ("Diverse crowd, late hours", True), ("rain bow", False), ("", False), (None, False), ("PRIDE month", True))
+
+
+@query(f"SELECT c_custkey, {_cases(tuple(x[1] for x in SUMMARIES), f'c_custkey % {len(SUMMARIES)}')} AS inclusive, replace(replace(CASE c_custkey % 2 WHEN 0 THEN 'bar.do_ze' ELSE 'plain' END, '.', ' '), '_', ' ') AS words FROM customer")
+def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags by words of summaries, and handles as words."""
+    k = F.col("c_custkey")
+    return S.read(spark, sf_dir, "customer").select(k, rules.inclusive(_pick(tuple(x[0] for x in SUMMARIES), k % len(SUMMARIES), "string")).alias("inclusive"), rules.handle_as_words(F.when(k % 2 == 0, "bar.do_ze").otherwise("plain")).alias("words"))
