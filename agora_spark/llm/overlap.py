@@ -131,19 +131,21 @@ class Run:
 
 def _runs(batches: Iterator[pa.RecordBatch], decode: Decode, pivot_decode: Decode) -> Iterator[Run]:
     pivot, streams, first = None, 1, False
-    for batch in batches:
+    for batch in (whole.slice(k, 256) for whole in batches for k in range(0, len(whole), 256)):
         p, kind = (batch.column(k).to_pylist() for k in range(2))
         u, c, cp = (batch.column(k).to_numpy() for k in (2, 3, 4))
         data, at = batch.column(5), 0
+        lone = np.flatnonzero(np.array(kind))
+        sets = dict(zip(lone.tolist(), decode(data.take(pa.array(lone))) if len(lone) else ()))
         while at < len(p):
             if kind[at] == 0:
                 (pivot,), streams, first = pivot_decode(data.slice(at, 1)), int(cp[at]), True
                 at += 1
                 continue
             end = at
-            while end < len(p) and kind[end] == 1 and p[end] == p[at] and end - at < 256:
+            while end < len(p) and kind[end] == 1 and p[end] == p[at]:
                 end += 1
-            yield Run(p[at], pivot, streams, first, u[at:end], c[at:end], cp[at:end], decode(data.slice(at, end - at)))
+            yield Run(p[at], pivot, streams, first, u[at:end], c[at:end], cp[at:end], [sets[k] for k in range(at, end)])
             at, first = end, False
 
 
@@ -155,13 +157,21 @@ def link(pairs: DataFrame, sets: DataFrame, decode: Decode, percent: int) -> Dat
     """
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b"])
         for run in _runs(batches, decode, decode):
             size = np.array([len(r) for r in run.rows])
             every = np.concatenate(run.rows)
             place = np.minimum(np.searchsorted(run.pivot, every), len(run.pivot) - 1)
             overlap = np.bincount(np.repeat(np.arange(len(size)), size), run.pivot[place] == every, len(size)).astype(np.int64)
             links = 100 * overlap >= percent * (size + len(run.pivot) - overlap)
-            yield pa.RecordBatch.from_arrays([pa.array(run.c[links]), pa.array(run.cp[links])], names=["a", "b"])
+            held.append((run.c[links], run.cp[links]))
+            many += len(size)
+            if many > 10_000:
+                yield pack()
+                held, many = [], 0
+        if held:
+            yield pack()
 
     return _blocks(pairs, sets.withColumnRenamed("node", "p"), sets).mapInArrow(lean(multiply), "a long, b long")
 
@@ -315,8 +325,11 @@ def candidates(dealt: DataFrame, percent: int, block: int = 512) -> DataFrame:
 
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         last = np.concatenate((first[1:], [len(key)]))
-        some = (np.maximum.reduceat(role, first) > NEAR) & (last - first > 1)
-        for a, b in zip(first[some].tolist(), last[some].tolist()):
+        near, closer, farther = (np.add.reduceat(x.astype(np.int64), first) for x in (role == NEAR, role == CLOSER, role == FARTHER))
+        with_near = (near > 0) & (last - first > near)
+        with_closer = (closer > 0) & (closer + farther > 1)
+        some = (with_near | with_closer | (role[first] == HUB)) & (last - first > 1)
+        for a, b, has_near, has_closer in zip(*(x[some].tolist() for x in (first, last, with_near, with_closer))):
             at, kind = np.arange(a, b), role[a:b]
             if kind[0] == HUB:
                 them = row[a:b]
@@ -324,8 +337,10 @@ def candidates(dealt: DataFrame, percent: int, block: int = 512) -> DataFrame:
                 them = them[(slack[them] + slack[hub] >= 0) & (c[them] != c[hub])]
                 found.append(np.stack((them, np.broadcast_to(hub, len(them)))))
             else:
-                multiply(at[kind > NEAR], at[kind == NEAR])
-                multiply(at[kind >= FARTHER], at[kind == CLOSER])
+                if has_near:
+                    multiply(at[kind > NEAR], at[kind == NEAR])
+                if has_closer:
+                    multiply(at[kind >= FARTHER], at[kind == CLOSER])
         v, w = np.concatenate(found, axis=1)
         v, w = np.where(node[v] < node[w], v, w), np.where(node[v] < node[w], w, v)
         out = np.unique(np.stack((node[v], node[w], c[v], c[w])), axis=1)
