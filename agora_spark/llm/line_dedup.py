@@ -102,16 +102,21 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         for batch in batches:
             for a in range(0, len(batch), 500):
                 out: list[list] = [[], [], [], [], []]
+                docs_, keys, places, nodes, texts = out
                 for doc, key, t in zip(*(c.to_pylist() for c in batch.slice(a, 500).columns)):
+                    before = len(places)
                     for k, raw in enumerate(t.split("\n")):
-                        if line := normal(raw):
+                        if line := " ".join(raw.lower().split()):
                             node, data = known.get(line), None
                             if node is None:
                                 node, data = digest(line.encode("utf-8", "surrogatepass")), line
                                 if len(known) < 100_000:
                                     known[line] = node
-                            for column, value in zip(out, (doc, key, k, node, data)):
-                                column.append(value)
+                            places.append(k)
+                            nodes.append(node)
+                            texts.append(data)
+                    docs_.extend([doc] * (len(places) - before))
+                    keys.extend([key] * (len(places) - before))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string())], names=["id", "key", "place", "node", "data"])
 
     found_at = materialize(rows.select("id", "key", "text").mapInArrow(lean(read), "id long, key long, place int, node long, data string"), "places")
