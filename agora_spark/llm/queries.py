@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora_spark.llm import ann, bpe, chat_format, line_dedup, mixing, ngram_join, pii, toxicity, url_filter, winnow
+from agora_spark.llm import ann, bpe, chat_format, conversation_repair, line_dedup, mixing, ngram_join, pii, quality, spelling, toxicity, url_filter, winnow
 from agora_spark.llm.common import table
 
 
@@ -66,6 +66,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_nearest_vectors": op2_nearest_vectors,
@@ -77,6 +89,9 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {
     "op4_url_filters": url_filter.oracle(),
