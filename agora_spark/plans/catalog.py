@@ -301,17 +301,6 @@ def event_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected(pairs.select(F.col("event_id").alias("a"), F.col("other_event_id").alias("b"))).select(F.col("node").alias("event_id"), "component")
 
 
-@query(S.sql("item") + """, posted AS (SELECT event_id, handle, p_name, o_orderdate AS posted FROM item JOIN orders ON o_orderkey = event_id WHERE starts_at IS NULL)
-SELECT event_id, min(struct_pack(gap := abs(epoch_us(posted) - epoch_us(i.starts_at)), id := i.event_id2)).id AS into FROM posted p JOIN (SELECT event_id AS event_id2, handle, p_name, starts_at FROM item WHERE starts_at IS NOT NULL) i USING (handle, p_name)
-WHERE abs(epoch_us(posted) - epoch_us(i.starts_at)) <= 60 * 86400000000 GROUP BY 1""".replace("AS into", 'AS "into"'))
-def undated_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = S.post_item(spark, sf_dir)
-    posted = S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("posted"))
-    undated = items.where("starts_at IS NULL").join(posted, "event_id").select("event_id", "handle", F.col("p_name").alias("title"), "posted")
-    dated = items.where("starts_at IS NOT NULL").select("event_id", "handle", F.col("p_name").alias("title"), "starts_at")
-    return happenings.absorbed(undated, dated, 60)
-
-
 @query(S.sql("item") + f""", w AS (SELECT event_id, venue, handle, starts_at, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^0-9a-z]+'), lambda t: t <> '' AND NOT list_contains([{_list(GENERIC + STOP)}], t) AND (len(t) >= 2 OR regexp_matches(t, '^[0-9]$'))))) AS words FROM item)
 SELECT u.event_id, min(struct_pack(gap := abs(epoch_us(o_orderdate) - epoch_us(d.starts_at)), id := d.event_id)).id AS "into" FROM w u JOIN orders ON o_orderkey = u.event_id JOIN w d ON d.venue = u.venue AND d.handle = u.handle AND d.words = u.words AND len(u.words) > 0
 WHERE u.starts_at IS NULL AND d.starts_at IS NOT NULL AND abs(epoch_us(o_orderdate) - epoch_us(d.starts_at)) <= 14 * 86400000000 GROUP BY 1""")
@@ -384,13 +373,6 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read(spark, sf_dir, "documents").select("doc_id", F.md5(text.fold_ascii(t)).alias("ascii"), F.size(text.title_tokens(t)).cast("long").alias("tokens"))
 
 
-@query()
-def link_candidates_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentions = S.post_item(spark, sf_dir).select("event_id", F.col("title").alias("text"))
-    names = S.read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("place", F.col("name"))
-    return happenings.ranked_links(mentions, names)
-
-
 def _said(phrase: str) -> str:
     around = f"right(array_to_string(list_slice(string_split(t, '{phrase}'), 1, i), '{phrase}'), 40) || '{phrase}' || left(array_to_string(list_slice(string_split(t, '{phrase}'), i + 1, len(string_split(t, '{phrase}'))), '{phrase}'), 40)"
     return f"len(list_filter(range(1, len(string_split(t, '{phrase}'))), lambda i: NOT ({' OR '.join(f'contains({around}, {chr(39)}{n}{chr(39)})' for n in NEGATIONS)}))) > 0"
@@ -500,12 +482,6 @@ def dedupe_by_key_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return happenings.richest(rows, ["event_id"]).select("event_id", "source_id", "n_images")
 
 
-@query("SELECT user_id, sha256(unhex(hex('key'::BLOB)) || ''::BLOB) IS NOT NULL AS ok FROM events GROUP BY 1")
-def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = S.read(spark, sf_dir, "events").select("user_id").distinct()
-    return users.select("user_id", (F.char_length(text.hmac_sha256("key", F.col("user_id").cast("string"))) == 64).alias("ok"))
-
-
 def _hmac(key: bytes, x: str) -> str:
     inner, outer = ("".join(f"\\x{b ^ pad:02X}" for b in key.ljust(64, b"\0")) for pad in (0x36, 0x5C))
     return f"sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || encode({x}))))"
@@ -513,6 +489,6 @@ def _hmac(key: bytes, x: str) -> str:
 
 @query(f"SELECT DISTINCT user_id, {_hmac(b'key', 'user_id::VARCHAR')} AS pseudonym FROM events")
 def user_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HSH-02 with the pseudonyms themselves; pseudonyms only says that there are some."""
+    """HSH-02."""
     users = S.read(spark, sf_dir, "events").select("user_id").distinct()
     return users.select("user_id", text.hmac_sha256("key", F.col("user_id").cast("string")).alias("pseudonym"))

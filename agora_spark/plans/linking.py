@@ -2,45 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora_spark.operators import likeness
 from agora_spark.operators import resolution as R
+from agora_spark.operators.likeness import CORE_LETTERS, COVERED, GENERIC_NAME_WORDS, HELD, LOCALITIES
 from agora_spark.plans.catalog import _km, query
 from agora_spark.sources import standins as S
 
-# Events with a text about their place, the tag of a place, and a caption; venues with an address and an account.
-SPOTS = """, spot AS (SELECT k, venue_id, name, CASE WHEN k % 3 = 0 THEN 'Rua ' || (k % 11) || ', Casa Forte' ELSE 'Av. ' || (k % 7) || ', Pina' END AS address, 'h' || (k % 20) AS handle FROM venue WHERE k < 60),
-told AS (SELECT o_orderkey AS event_id, 'h' || (o_custkey % 20) AS handle, CASE o_orderkey % 6 WHEN 0 THEN 'no @spot_' || (o_orderkey % 90) WHEN 1 THEN 'CASA FORTE' WHEN 2 THEN p_name || ' club' WHEN 3 THEN p_name WHEN 4 THEN '@h' || (o_custkey % 20) || ' Pina' END AS location_text,
-  CASE WHEN o_orderkey % 7 = 0 THEN p_name END AS tag, 'hoje com @spot_' || (o_orderkey % 70) || CASE WHEN o_orderkey % 5 = 0 THEN ' e @spot_' || (o_orderkey % 50) ELSE '' END AS caption FROM orders JOIN part ON p_partkey = o_orderkey % 80)"""
-SCORE = "1 - levenshtein(lower({a}), lower({b})) / greatest(length({a}), length({b}))::DOUBLE"
+# Events with a text about their place, the tag of a place, and a caption; venues with an address and an account of about five branches.
+SPOTS = """, n AS (SELECT count(*) AS parts, greatest(1, count(*) // 5) AS accounts FROM part), spot AS (SELECT k, venue_id, name, CASE WHEN k % 3 = 0 THEN 'Rua ' || (k % 11) || ', Casa Forte' ELSE 'Av. ' || (k % 7) || ', Pina' END AS address, 'h' || (k % accounts) AS handle FROM venue, n),
+told AS (SELECT o_orderkey AS event_id, 'h' || (o_custkey % accounts) AS handle, CASE o_orderkey % 6 WHEN 0 THEN 'no @spot_' || (o_orderkey % (parts + 9)) WHEN 1 THEN 'CASA FORTE' WHEN 2 THEN p_name || ' club' WHEN 3 THEN p_name WHEN 4 THEN '@h' || (o_custkey % accounts) || ' Pina' END AS location_text,
+  CASE WHEN o_orderkey % 7 = 0 THEN p_name END AS tag, 'hoje com @spot_' || (o_orderkey % (parts + 7)) || CASE WHEN o_orderkey % 5 = 0 THEN ' e @spot_' || (o_orderkey % (parts + 5)) ELSE '' END AS caption FROM orders, n JOIN part ON p_partkey = o_orderkey % parts)"""
+_LCS = "list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(list_filter(range(1, length(a) - i + 2), lambda n: contains(b, substr(a, i, n))), lambda n: {'n': n, 'i': -i}))))"
 
 
-def _score(a: Column, b: Column) -> Column:
-    """A likeness of names that both engines have."""
-    return 1 - F.levenshtein(F.lower(a), F.lower(b)) / F.greatest(F.char_length(a), F.char_length(b)).cast("double")
+def _blocks(pairs: str) -> str:
+    """SQL tables: alike (a, b, ratio) of the texts a and b of a table of pairs, by their matching blocks: the longest common piece, then those to its left and right."""
+    cut = "instr(b, substr(a, -m.i, m.n))"
+    return f"""seg(a0, b0, a, b, m) AS (SELECT a, b, a, b, {_LCS} FROM (SELECT DISTINCT a, b FROM {pairs} WHERE a <> '' AND b <> '') UNION ALL
+  SELECT a0, b0, a, b, {_LCS} FROM (SELECT a0, b0, unnest([left(a, -m.i - 1), substr(a, m.n - m.i)]) AS a, unnest([left(b, {cut} - 1), substr(b, {cut} + m.n)]) AS b FROM seg WHERE m IS NOT NULL) WHERE a <> '' AND b <> ''),
+alike AS (SELECT a0 AS a, b0 AS b, coalesce(2.0::DOUBLE * sum(m.n) / (length(a0) + length(b0)), 0) AS ratio FROM seg GROUP BY a0, b0)"""
+
+
+def _scores(texts: str, names: str) -> str:
+    """SQL tables: scored (text, name, exact) of all texts and names, tables of one column of ASCII each."""
+    fold = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+    words = ", ".join(f"'{w}'" for w in GENERIC_NAME_WORDS)
+    low = "lower(name)"
+    for place in LOCALITIES:
+        low = f"replace({low}, '{place}', ' ')"
+    held = f"length(core) >= {CORE_LETTERS} AND (contains(tw, core) OR contains(core, tw)) AND least(length(core), length(tw)) >= {COVERED} * greatest(length(core), length(tw))"
+    return f"""said_t AS (SELECT text, lower(trim(text)) AS tp, {fold('text')} AS tw FROM (SELECT DISTINCT text FROM {texts} WHERE text IS NOT NULL)),
+named_n AS (SELECT name, np, nw, CASE WHEN own = '' THEN nw ELSE own END AS core FROM (SELECT name, lower(trim(name)) AS np, {fold('name')} AS nw, array_to_string(list_filter(list_transform(regexp_split_to_array({low}, '[\\s\\-|,/]+'), lambda w: {fold('w')}), lambda w: w <> '' AND NOT list_contains([{words}], w)), '') AS own FROM (SELECT DISTINCT name FROM {names}))),
+both_f AS MATERIALIZED (SELECT text, name, np, tp, nw, tw, core, {held} AS held FROM said_t, named_n), wanted AS (SELECT np AS a, tp AS b FROM both_f UNION SELECT nw, tw FROM both_f WHERE NOT held UNION SELECT core, tw FROM both_f WHERE NOT held),
+{_blocks('wanted')},
+scored AS (SELECT text, name, greatest(coalesce(p.ratio, 0), CASE WHEN nw = '' OR tw = '' THEN 0 WHEN held THEN {HELD} ELSE greatest(coalesce(w.ratio, 0), coalesce(c.ratio, 0)) END)::DOUBLE AS exact FROM both_f LEFT JOIN alike p ON p.a = np AND p.b = tp LEFT JOIN alike w ON w.a = nw AND w.b = tw LEFT JOIN alike c ON c.a = core AND c.b = tw)"""
 
 
 def _spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     address = F.when(k % 3 == 0, F.concat(F.lit("Rua "), k % 11, F.lit(", Casa Forte"))).otherwise(F.concat(F.lit("Av. "), k % 7, F.lit(", Pina")))
-    return S.venue(spark, sf_dir).where("k < 60").select("k", "venue_id", "name", address.alias("address"), F.concat(F.lit("h"), k % 20).alias("handle"))
+    return _counted(S.venue(spark, sf_dir), spark, sf_dir).select("k", "venue_id", "name", address.alias("address"), F.concat(F.lit("h"), k % F.col("accounts")).alias("handle"))
+
+
+def _counted(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows with the number of parts and of accounts: one more row to join."""
+    n = S.read(spark, sf_dir, "part").agg(F.count("*").alias("parts")).withColumn("accounts", F.greatest(F.lit(1), F.floor(F.col("parts") / 5)))
+    return rows.crossJoin(F.broadcast(n))
 
 
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    k, c, parts = F.col("o_orderkey"), F.col("o_custkey") % F.col("accounts"), F.col("parts")
     part = S.read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    text = F.when(k % 6 == 0, F.concat(F.lit("no @spot_"), k % 90)).when(k % 6 == 1, "CASA FORTE").when(k % 6 == 2, F.concat("p_name", F.lit(" club"))).when(k % 6 == 3, F.col("p_name")).when(k % 6 == 4, F.concat(F.lit("@h"), c % 20, F.lit(" Pina")))
-    caption = F.concat(F.lit("hoje com @spot_"), k % 70, F.when(k % 5 == 0, F.concat(F.lit(" e @spot_"), k % 50)).otherwise(""))
-    rows = S.read(spark, sf_dir, "orders").withColumn("p_partkey", k % 80).join(part, "p_partkey")
-    return rows.select(k.alias("event_id"), F.concat(F.lit("h"), c % 20).alias("handle"), text.alias("location_text"), F.when(k % 7 == 0, F.col("p_name")).alias("tag"), caption.alias("caption"))
+    text = F.when(k % 6 == 0, F.concat(F.lit("no @spot_"), k % (parts + 9))).when(k % 6 == 1, "CASA FORTE").when(k % 6 == 2, F.concat("p_name", F.lit(" club"))).when(k % 6 == 3, F.col("p_name")).when(k % 6 == 4, F.concat(F.lit("@h"), c, F.lit(" Pina")))
+    caption = F.concat(F.lit("hoje com @spot_"), k % (parts + 7), F.when(k % 5 == 0, F.concat(F.lit(" e @spot_"), k % (parts + 5))).otherwise(""))
+    rows = _counted(S.read(spark, sf_dir, "orders"), spark, sf_dir).withColumn("p_partkey", k % parts).join(part, "p_partkey")
+    return rows.select(k.alias("event_id"), F.concat(F.lit("h"), c).alias("handle"), text.alias("location_text"), F.when(k % 7 == 0, F.col("p_name")).alias("tag"), caption.alias("caption"))
 
 
 def _scored(events: DataFrame, column: str, venues: DataFrame) -> DataFrame:
-    """(event_id, venue_id, score): every different text scored against every different name once; the names are a bounded table of venues."""
-    texts = events.select(F.col(column).alias("said")).where("said IS NOT NULL").distinct()
-    pairs = texts.crossJoin(venues.select("name").distinct()).withColumn("score", _score(F.col("name"), F.col("said"))).where("score > 0")
-    return events.select("event_id", F.col(column).alias("said")).join(pairs, "said").join(venues.select("venue_id", "name"), "name").select("event_id", "venue_id", "score")
+    """(event_id, venue_id, score) of the two venues whose names are most like an event's text (ties: the smaller id)."""
+    said = events.select("event_id", F.col(column).alias("text"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
+    places = venues.select(F.col("venue_id").alias("place"), "name", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
+    return likeness.ranked_links(said, places).select("event_id", F.col("place").alias("venue_id"), "score")
+
+
+LINKS = """, place AS (SELECT k, venue_id AS place, CASE WHEN k % 2 = 0 THEN 'Bar ' || name ELSE name END AS name, lat, lng FROM venue), heard AS (SELECT event_id, CASE WHEN event_id % 8 = 0 THEN '@' || title ELSE title END AS text, CASE WHEN event_id % 7 = 0 THEN -8.05 + (event_id % 100) / 500.0 END::DOUBLE AS lat, CASE WHEN event_id % 7 = 0 THEN -34.9 + (event_id % 90) / 500.0 END::DOUBLE AS lng FROM item)"""
+
+
+@query("WITH RECURSIVE " + S.SQL["item"] + ", " + S.SQL["venue"] + LINKS + ", clean AS (SELECT * FROM heard WHERE text NOT LIKE '@%'), " + _scores("clean", "place") + f""",
+found AS (SELECT event_id, place, exact, CASE WHEN clean.lat IS NOT NULL AND place.lat IS NOT NULL THEN round({_km('clean.lat', 'clean.lng', 'place.lat', 'place.lng')}, 9) END AS km FROM clean JOIN (SELECT * FROM scored WHERE exact > 0 QUALIFY dense_rank() OVER (PARTITION BY text ORDER BY exact DESC) <= 2) USING (text) JOIN place USING (name)),
+top AS (SELECT *, row_number() OVER w AS rank, round(lead(exact) OVER w, 4) AS next FROM found WINDOW w AS (PARTITION BY event_id ORDER BY exact DESC, km NULLS LAST, place) QUALIFY rank <= 2)
+SELECT event_id, place, round(exact, 4) AS score, rank::INT AS rank, rank = 1 AND round(exact, 4) >= 0.55 AND (next IS NULL OR round(exact, 4) - next >= 0.08) AS linked FROM top""")
+def link_candidates_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-20 and WIN-02: of all places, the two whose names are most like an event's title; points break ties."""
+    k = F.col("event_id")
+    title = F.when(k % 8 == 0, F.concat(F.lit("@"), "title")).otherwise(F.col("title"))
+    point = lambda base, n: F.when(k % 7 == 0, F.lit(base) + (k % n) / 500.0)
+    heard = S.post_item(spark, sf_dir).select("event_id", title.alias("text"), point(-8.05, 100).alias("lat"), point(-34.9, 90).alias("lng"))
+    name = F.when(F.col("k") % 2 == 0, F.concat(F.lit("Bar "), "name")).otherwise(F.col("name"))
+    return likeness.ranked_links(heard, S.venue(spark, sf_dir).select(F.col("venue_id").alias("place"), name.alias("name"), "lat", "lng"))
 
 
 def _index(spots: DataFrame) -> DataFrame:
@@ -71,8 +114,11 @@ def texts_without_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(spark, sf_dir).select("event_id", R.without_handles(F.col("location_text")).alias("text"))
 
 
-@query(S.sql("venue") + SPOTS + HEARD + f""", tag AS (SELECT event_id, venue_id, {SCORE.format(a='name', b='tag')} AS score FROM told JOIN spot ON tag IS NOT NULL), clean AS (SELECT event_id, trim(regexp_replace(regexp_replace(location_text, '(^|[^\\w.])@[A-Za-z0-9_.]{{1,30}}', '\\1', 'g'), '\\s+', ' ', 'g')) AS t FROM told),
-named AS MATERIALIZED (SELECT event_id, venue_id, round({SCORE.format(a='name', b='t')}, 4) AS score, {SCORE.format(a='name', b='t')} AS exact FROM clean JOIN spot ON regexp_matches(t, '[A-Za-z]') WHERE exact > 0),
+CLEAN = """, clean AS (SELECT event_id, trim(regexp_replace(regexp_replace(location_text, '(^|[^\\w.])@[A-Za-z0-9_.]{1,30}', '\\1', 'g'), '\\s+', ' ', 'g')) AS t FROM told), asked AS (SELECT tag AS text FROM told UNION SELECT t FROM clean WHERE regexp_matches(t, '[A-Za-z]')), """
+
+
+@query("WITH RECURSIVE " + S.SQL["venue"] + SPOTS + HEARD + CLEAN + _scores("asked", "spot") + f""", tag AS (SELECT event_id, venue_id, exact AS score FROM told JOIN scored ON text = tag JOIN spot USING (name)),
+named AS MATERIALIZED (SELECT event_id, venue_id, round(exact, 4) AS score, exact FROM clean JOIN (SELECT * FROM scored WHERE exact > 0 QUALIFY dense_rank() OVER (PARTITION BY text ORDER BY exact DESC) <= 2) ON text = t JOIN spot USING (name)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY exact DESC, venue_id) AS r, lead(score) OVER (PARTITION BY event_id ORDER BY exact DESC, venue_id) AS next FROM named),
 hood AS (SELECT event_id, min(venue_id) AS venue_id FROM told JOIN spot USING (handle) WHERE length(location_text) >= 3 AND contains(lower(address), lower(trim(location_text))) AND (SELECT count(*) FROM spot s WHERE s.handle = told.handle) >= 2 GROUP BY 1 HAVING count(*) = 1),
 told5 AS (SELECT event_id, count(DISTINCT venue_id) AS n, min(venue_id) AS venue_id FROM heard WHERE src = 5 AND venue_id IS NOT NULL GROUP BY 1),
@@ -84,7 +130,7 @@ SELECT t.event_id, CASE WHEN w.rung IS NOT NULL THEN 'auto' WHEN NOT unknown AND
   CASE WHEN w.rung IS NOT NULL THEN [{', '.join(f"'{x}'" for x in R.RUNGS)}][w.rung + 1] WHEN unknown THEN 'venue_not_in_catalog' WHEN n > 1 THEN 'ambiguous_caption' END AS method, w.score
 FROM (SELECT told.event_id, EXISTS (SELECT 1 FROM heard h WHERE h.event_id = told.event_id AND src = 1 AND h.venue_id IS NULL) AS unknown FROM told) t LEFT JOIN won w USING (event_id) LEFT JOIN told5 USING (event_id) LEFT JOIN (SELECT event_id, score AS best FROM ranked WHERE r = 1) USING (event_id)""")
 def venue_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole ladder over all events; likeness of names by edit distance here, as SQL has no other."""
+    """The whole ladder over all events and venues."""
     events, spots = _told(spark, sf_dir), _spots(spark, sf_dir)
     names = _scored(events.withColumn("clean", R.without_handles(F.col("location_text"))), "clean", spots)
     return R.resolve(events, spots, _index(spots), _scored(events, "tag", spots), names)
@@ -100,20 +146,20 @@ def stored_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stored_duplicates(v.where("k % 5 = 0"), v)
 
 
-@query(S.sql("venue") + ", w AS (SELECT DISTINCT CASE WHEN k % 3 = 0 THEN upper(name) WHEN k % 3 = 1 THEN left(name, 5) ELSE name || ' bar' END AS name FROM venue WHERE k < 40), a AS (SELECT name, trim(lower(name)) AS f FROM w), b AS (SELECT k AS id, trim(lower(name)) AS f FROM venue WHERE k % 4 = 0) SELECT a.name, arg_min(id, struct_pack(u := a.f <> b.f, n := -len(list_intersect(string_split(a.f, ' '), string_split(b.f, ' '))), i := id)) AS id FROM a JOIN b ON a.f <> '' AND b.f <> '' AND (contains(a.f, b.f) OR contains(b.f, a.f)) GROUP BY 1")
+@query(S.sql("venue") + ", w AS (SELECT DISTINCT CASE WHEN k % 3 = 0 THEN upper(name) WHEN k % 3 = 1 THEN left(name, 5) ELSE name || ' bar' END AS name FROM venue), a AS (SELECT name, trim(lower(name)) AS f FROM w), b AS (SELECT k AS id, trim(lower(name)) AS f FROM venue WHERE k % 4 = 0) SELECT a.name, arg_min(id, struct_pack(u := a.f <> b.f, n := -len(list_intersect(string_split(a.f, ' '), string_split(b.f, ' '))), i := id)) AS id FROM a JOIN b ON a.f <> '' AND b.f <> '' AND (contains(a.f, b.f) OR contains(b.f, a.f)) GROUP BY 1")
 def inventory_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names looked up in an account's inventory: equal before alike, then most shared words."""
     v, k = S.venue(spark, sf_dir), F.col("k")
     name = F.when(k % 3 == 0, F.upper("name")).when(k % 3 == 1, F.left("name", F.lit(5))).otherwise(F.concat("name", F.lit(" bar")))
-    return R.inventory_matches(v.where("k < 40").select(name.alias("name")), v.where("k % 4 = 0").select(k.alias("id"), F.col("name").alias("title")))
+    return R.inventory_matches(v.select(name.alias("name")), v.where("k % 4 = 0").select(k.alias("id"), F.col("name").alias("title")))
 
 
-@query(S.sql("venue") + """, c AS (SELECT v.k AS key, r.i AS place, trim(v.name) AS name, trim(o.name) AS candidate FROM venue v CROSS JOIN range(7) r(i) JOIN venue o ON o.k = (v.k + r.i * r.i * 3) % 60 WHERE v.k < 60)
+@query(S.sql("venue") + """, c AS (SELECT v.k AS key, r.i AS place, trim(v.name) AS name, trim(o.name) AS candidate FROM venue v CROSS JOIN range(7) r(i) JOIN venue o ON o.k = (v.k + r.i * r.i * 3) % (SELECT count(*) FROM part))
 SELECT key, min(place) AS place, arg_min(candidate, place) AS candidate FROM c WHERE place < 5 AND (name = candidate AND name <> '' OR least(length(name), length(candidate)) >= 5 AND (contains(name, candidate) OR contains(candidate, name))) AND place > 0 GROUP BY 1""")
 def place_candidate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the candidates that a search returned, the first whose name fits."""
-    v = S.venue(spark, sf_dir).where("k < 60").select("k", F.trim("name").alias("name"))
-    asked = v.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("other", (F.col("k") + F.col("place") * F.col("place") * 3) % 60)
+    v = S.venue(spark, sf_dir).select("k", F.trim("name").alias("name"))
+    asked = _counted(v, spark, sf_dir).withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("other", (F.col("k") + F.col("place") * F.col("place") * 3) % F.col("parts"))
     rows = asked.join(v.select(F.col("k").alias("other"), F.col("name").alias("candidate")), "other")
     return R.first_matching(rows.select(F.col("k").alias("key"), F.col("place").cast("long").alias("place"), "name", "candidate"))
 
