@@ -71,43 +71,7 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int")), "yyyy-MM-dd")
 
 
-def _among(name: Column, names: tuple[str, ...], first: int) -> Column:
-    """The place of a name among names; null for any other."""
-    return F.nullif(F.array_position(F.lit(list(names)), name), F.lit(0)).cast("int") - 1 + first
-
-
-def told_date(text: Column, posted: Column) -> Column:
-    """struct<day, inferred, clock, time_known> of a text, seen from the day it was posted.
-
-    A numeric day (day first, the first of a range) or one with a month's name is explicit and decides;
-    without a year it is the post's year or, where that is over by more than the grace, the next. Then a
-    weekday (the next one), then today and tomorrow. A day that the calendar does not have gives null
-    and no second guess. Without a stated time the clock is midnight and time_known is false.
-    """
-    from agora_spark.functions.text import unmark
-
-    low = unmark(F.coalesce(text, F.lit("")))
-    part = lambda pattern, k: F.nullif(F.regexp_extract(low, pattern, k), F.lit(""))
-    numeric = r"(?<![\d/.])(\d{1,2})(?:\s*(?:a|e|-)\s*\d{1,2})?[/.](\d{1,2})(?:[/.](\d{4}|\d{2}))?(?![\d/])"
-    named = r"(?<!\d)(\d{1,2})(?:\s*(?:a|e|-)\s*\d{1,2})?\s*(?:de\s+)?(" + "|".join(MONTH_NAMES) + r")(?:\s*(?:de\s+)?(\d{4}))?"
-    weekday = part(r"\b(" + "|".join(WEEKDAY_NAMES) + r")(?:-feira)?\b", 1)
-    relative = F.when(low.rlike(r"\bamanha\b"), F.date_add(posted, 1)).when(low.rlike(r"\b(?:hoje|hj)\b"), posted)
-
-    def explicit(day: Column, month: Column, year: Column) -> Column:
-        full = F.when(F.char_length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-        stated = F.struct(_day(full, month, day).alias("day"), F.lit(False).alias("inferred"))
-        this, following = _day(F.year(posted), month, day), _day(F.year(posted) + 1, month, day)
-        rolled = F.when(this.isNull(), F.struct(following.alias("day"), following.isNotNull().alias("inferred"))).otherwise(roll_forward(this, posted))
-        return F.when(full.isNotNull(), stated).otherwise(rolled)
-
-    inferred = lambda day: F.struct(day.alias("day"), F.lit(True).alias("inferred"))
-    found = (
-        F.when(part(numeric, 1).isNotNull(), explicit(part(numeric, 1), part(numeric, 2), part(numeric, 3)))
-        .when(part(named, 1).isNotNull(), explicit(part(named, 1), _among(part(named, 2), MONTH_NAMES, 1), part(named, 3)))
-        .when(weekday.isNotNull() & ~low.rlike(r"\b(?:hoje|hj|amanha)\b"), inferred(weekday_on_or_after(posted, _among(weekday, WEEKDAY_NAMES, 0))))
-        .when(relative.isNotNull(), inferred(relative))
-    )
-    clock = r"(?<![\d/.:])([01]?\d|2[0-3])(?:h([0-5]\d)?|:([0-5]\d))(?![\d/])"
-    hour = part(clock, 1)
-    told = F.format_string("%02d:%02d", hour.cast("int"), F.coalesce(part(clock, 2), part(clock, 3), F.lit("0")).cast("int"))
-    return F.struct(found["day"].alias("day"), found["inferred"].alias("inferred"), F.when(hour.isNotNull(), told).otherwise("00:00").alias("clock"), hour.isNotNull().alias("time_known"))
+def stated_clock(text: Column) -> Column:
+    """The first time of day with an h or a colon in a text, as HH:MM; null if there is none."""
+    part = lambda k: F.nullif(F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), r"(?<![\d/.:])([01]?\d|2[0-3])(?:h([0-5]\d)?|:([0-5]\d))(?![\d/])", k), F.lit(""))
+    return F.when(part(1).isNotNull(), F.format_string("%02d:%02d", part(1).cast("int"), F.coalesce(part(2), part(3), F.lit("0")).cast("int")))

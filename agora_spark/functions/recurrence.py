@@ -5,63 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora_spark.functions.dates import MONTH_NAMES, WEEKDAY_NAMES, _day, roll_forward, told_date, weekday_on_or_after
-from agora_spark.functions.text import unmark
-
-_NAMES = "|".join(WEEKDAY_NAMES)
-# Phrases of a daily, a weekend and an endless cadence, unmarked.
-DAILY = r"\btodo\s+santo\s+dia\b|\btodos?\s+os\s+dias\b|\bdiariamente\b|\btodo\s+dia\b"
-WEEKEND = r"\btodo\s+final\s+de\s+semana\b|\btodo\s+fim\s+de\s+semana\b|\bfins?\s+de\s+semana\b"
-ENDLESS = r"\btoda\s+semana\b|\bsempre\b"
-SHORT_MONTHS = ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez")
-#: A time: hours, then minutes after a colon or an h, then am or pm.
-CLOCK = r"(\d{1,2})(?::(\d{2})|h(\d{2})?)?\s*(am|pm)?"
-
-
-def _low(text: Column) -> Column:
-    return unmark(F.trim(F.coalesce(text, F.lit(""))))
-
-
-def _number(name: Column) -> Column:
-    """0 (Monday) to 6 of a weekday's unmarked name; null for any other."""
-    return F.nullif(F.array_position(F.lit(list(WEEKDAY_NAMES)), name), F.lit(0)).cast("int") - 1
+from agora_spark.functions.dates import _day, roll_forward, weekday_on_or_after
+from agora_spark.functions.told import endless, let, read, recurring_weekdays, told_day, weekday_in
 
-
-def recurring_weekdays(date_text: Column, is_recurring: Column, recurrence_text: Column) -> Column:
-    """array<int> of the weekdays (0: Monday) on which an event recurs, in order; null if it does not.
-
-    'toda' or 'todo' and a weekday in the date's text always count. Daily and weekend cadences, ranges
-    ('de sexta a domingo', over the week's end too) and lists count only if the event is said to recur,
-    in the recurrence's text first.
-    """
-    low = _low(date_text)
-    first = F.regexp_extract(low, rf"({_NAMES})", 1)
-    marked = F.when(low.rlike(r"\b(?:toda|todo)s?\b") & (first != ""), F.array(_number(first)))
-
-    def named(text: Column) -> Column:
-        span = rf"\bde\s+({_NAMES})(?:-feira)?\s+a\s+({_NAMES})(?:-feira)?\b"
-        a, b = (_number(F.nullif(F.regexp_extract(text, span, k), F.lit(""))) for k in (1, 2))
-        week = F.sequence(F.lit(0), F.lit(6))
-        within = F.filter(week, lambda d: F.when(b >= a, (d >= a) & (d <= b)).otherwise((d >= a) | (d <= b)))
-        listed = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"\b({_NAMES})(?:-feira)?s?\b"), F.lit(1)), _number)))
-        some = lambda days: F.when(F.size(days) > 0, days)
-        return F.when(text.rlike(DAILY), week).when(text.rlike(WEEKEND), F.array(F.lit(5), F.lit(6))).when(a.isNotNull() & b.isNotNull(), within).otherwise(some(listed))
-
-    return F.coalesce(marked, F.when(F.coalesce(is_recurring, F.lit(False)), F.coalesce(named(_low(recurrence_text)), named(low))))
-
-
-def date_shape(text: Column) -> Column:
-    """Which of twelve forms a date's text has; the first that fits counts."""
-    low = _low(text)
-    months = "|".join(sorted(SHORT_MONTHS + MONTH_NAMES, key=len, reverse=True))
-    weekday = rf"({_NAMES})"
-    return (
-        F.when(low == "", "empty").when(low.rlike(r"\bhoje\b|\bamanha\b"), "relative_hoje_amanha").when(low.rlike(ENDLESS), "cadence_toda_semana_or_sempre").when(low.rlike(DAILY + "|" + WEEKEND), "cadence_daily_or_weekend")
-        .when(low.rlike(r"\b(?:toda|todo)s?\b") & low.rlike(weekday), "cadence_todo_plus_weekday").when(low.rlike(rf"\bde\s+{weekday}(?:-feira)?\s+a\s+{weekday}(?:-feira)?\b"), "weekday_range_or_list")
-        .when(low.rlike(rf"\bde\s+\d{{1,2}}\s+a\s+\d{{1,2}}\s*(?:de\s*|[/.\-]\s*)(?:{months})\b"), "range_de_x_a_y_de_mes").when(low.rlike(r"\b\d{1,2}(?:\s*(?:,|e)\s*\d{1,2})*\s*(?:,|e)\s*(?=\d{1,2}\s*(?:de\s*|[/.\-]\s*|\s+))"), "range_comma_or_e_list")
-        .when(low.rlike(r"\b\d{1,2}[/.\-]\d{1,2}(?:[/.\-]\d{2,4})?\b"), "numeric_dmy").when(low.rlike(rf"\b\d{{1,2}}(?:\s*de\s*|\s*[/.\-]\s*|\s+)?(?:{months})\b|\b(?:{'|'.join(SHORT_MONTHS)})(?:\s*[/.\-]\s*|\s+)\d{{1,2}}\b"), "textual_month_name")
-        .when(low.rlike(weekday), "bare_weekday").otherwise("unrecognized")
-    )
+# Fixed value: a time is hours, then minutes after a colon or an h, then am or pm.
+CLOCK = r"(\d{1,2})(?::(\d{2})|h(\d{2})?)?\s*(am|pm)?"
 
 
 def next_of(day: Column, weekdays: Column) -> Column:
@@ -95,7 +43,7 @@ def read_interpretation(reading: Column, anchor: Column, grace_days: int = 60) -
     stated = _day(reading["year"], month, day)
     this = _day(F.year(anchor), month, day)
     rolled = F.when(this.isNotNull(), roll_forward(this, anchor, grace_days))
-    weekday = _number(F.regexp_replace(_low(reading["weekday"]), "-feira$", ""))
+    weekday = let(read(reading["weekday"]), lambda r: F.when(r["classes"].rlike("^w(?:Pq)?$"), weekday_in(F.get(r["tokens"], F.lit(0)))))
     # The day of a month: the first month from the anchor's on that has it at or after the anchor; four months always hold one.
     months = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.add_months(F.trunc(anchor, "month"), i))
     coming = F.array_min(F.filter(F.transform(months, lambda m: _day(F.year(m), F.month(m), day)), lambda d: d >= anchor))
@@ -115,28 +63,34 @@ def reusable(fresh_text: Column, fresh: Column, stored_text: Column, stored: Col
     return F.when((fresh_text == stored_text) & stored.isNotNull(), stored).otherwise(fresh)
 
 
-def resolve(rows: DataFrame, date_text: Column, time_text: Column, posted: Column, is_recurring: Column, recurrence_text: Column, reading: Column) -> DataFrame:
-    """rows with starts_at, ends_at (local time), recurring, reason, time_known and source, seen from the day of the post.
+def resolve(rows: DataFrame, date_text: Column, time_text: Column, posted: Column, is_recurring: Column, recurrence_text: Column, reading: Column, grace_days: int = 60) -> DataFrame:
+    """rows with starts_at, ends_at (local time), recurring, reason, year_inferred, date_range, time_known, needs_review and source, seen from the day of the post.
 
     A told date decides; for a recurring event without one the next of its weekdays; else the structured
-    reading. A weekday beside a told date only confirms it, or is flagged. Without a time the clock is
-    midnight; an end that is not after the start is on the next day. An endless cadence needs no date.
+    reading. A weekday beside a told date only confirms it, or is flagged; so is a year that had to be
+    chosen, and a span of days of which the first counts. Without a time the clock is midnight; an end
+    that is not after the start is on the next day. An endless cadence needs no date.
     """
-    low = _low(date_text)
-    endless = F.coalesce(is_recurring, F.lit(False)) & (low.rlike(ENDLESS) | _low(recurrence_text).rlike(ENDLESS))
-    explicit = low.rlike(r"\d{1,2}[/.]\d{1,2}|\d{1,2}\s*(?:de\s+)?(?:" + "|".join(SHORT_MONTHS) + ")")
-    stated = _number(F.nullif(F.regexp_extract(low, rf"({_NAMES})", 1), F.lit("")))
+    claimed = F.coalesce(is_recurring, F.lit(False))
     # In steps, each a column of its own, so that no expression is repeated inside another.
-    out = rows.withColumns({"_weekdays": recurring_weekdays(date_text, is_recurring, recurrence_text), "_told": told_date(date_text, posted)["day"], "_read": read_interpretation(reading, posted), "_times": clocks(time_text), "_explicit": explicit, "_stated": stated, "_endless": endless, "_posted": posted})
-    own, none = F.when(F.col("_explicit") | F.col("_weekdays").isNull(), F.col("_told")), F.col("_weekdays").isNull()
-    out = out.withColumn("_own", own).withColumn("_day", F.coalesce("_own", F.when(none, F.col("_read.day")).otherwise(next_of(F.col("_posted"), F.col("_weekdays")))))
-    day, start, end = F.col("_day"), F.get("_times", F.lit(0)), F.get("_times", F.lit(1))
+    out = rows.withColumns({"_weekdays": recurring_weekdays(date_text, is_recurring, recurrence_text), "_told": told_day(date_text, posted, grace_days), "_read": read_interpretation(reading, posted, grace_days), "_times": clocks(time_text), "_endless": claimed & (endless(date_text) | endless(recurrence_text)), "_posted": posted})
+    recurs, told, said = F.col("_weekdays").isNotNull(), F.col("_told.day").isNotNull(), F.col("_read.day").isNotNull()
+    none = lambda kind: F.lit(None).cast(kind)
+    made = lambda day, reason, inferred, ranged, source: F.struct(day.alias("day"), reason.alias("reason"), inferred.alias("inferred"), ranged.alias("ranged"), source.alias("source"))
+    no = F.lit(False)
+    chosen = (
+        F.when(told, made(F.col("_told.day"), F.col("_told.reason"), F.col("_told.inferred"), F.col("_told.ranged"), F.lit("deterministic")))
+        .when(recurs, made(next_of(F.col("_posted"), F.col("_weekdays")), none("string"), no, no, F.lit("deterministic")))
+        .when(said, made(F.col("_read.day"), F.col("_read.reason"), F.col("_read.inferred"), F.col("_read.ranged"), F.lit("structured_fallback")))
+        .when(F.col("_endless"), made(none("date"), none("string"), no, no, F.lit("unresolved")))
+        .otherwise(made(none("date"), F.lit("missing_date"), no, F.col("_told.ranged"), F.lit("unresolved")))
+    )
+    out = out.withColumn("_c", chosen)
+    day, start, end = F.col("_c.day"), F.get("_times", F.lit(0)), F.get("_times", F.lit(1))
     at = lambda d, t: F.when(d.isNotNull(), F.make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), F.coalesce(t["hour"], F.lit(0)), F.coalesce(t["minute"], F.lit(0)), F.lit(0)))
     later = (end["hour"] * 60 + end["minute"]) <= (start["hour"] * 60 + start["minute"])
-    mismatch = F.when(F.col("_explicit") & F.col("_stated").isNotNull() & (F.weekday("_own") != F.col("_stated")), "weekday_mismatch")
-    reason = F.when(day.isNull(), F.when(~F.col("_endless"), "missing_date")).when(F.col("_own").isNotNull(), mismatch).when(none, F.col("_read.reason"))
     out = out.withColumns({
-        "starts_at": at(day, start), "ends_at": F.when(end.isNotNull(), at(F.date_add(day, F.when(later, 1).otherwise(0)), end)), "recurring": ~none, "reason": reason, "time_known": day.isNotNull() & start.isNotNull(),
-        "source": F.when(day.isNull(), "unresolved").when(F.col("_own").isNull() & none, "structured_fallback").otherwise("deterministic"),
+        "starts_at": at(day, start), "ends_at": F.when(end.isNotNull(), at(F.date_add(day, F.when(later, 1).otherwise(0)), end)), "recurring": recurs | (day.isNull() & F.col("_endless")), "reason": F.col("_c.reason"), "year_inferred": F.col("_c.inferred"), "date_range": F.col("_c.ranged"),
+        "time_known": day.isNotNull() & start.isNotNull(), "needs_review": F.col("_c.reason").isNotNull() | F.col("_c.inferred"), "source": F.col("_c.source"),
     })
-    return out.drop("_weekdays", "_told", "_read", "_times", "_explicit", "_stated", "_endless", "_posted", "_own", "_day")
+    return out.drop("_weekdays", "_told", "_read", "_times", "_endless", "_posted", "_c")

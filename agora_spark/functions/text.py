@@ -17,6 +17,9 @@ PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in MARKED)
 MONTHS = ("janeiro", "fevereiro", "março", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
 WEEKDAYS = ("segunda", "terça", "terca", "quarta", "quinta", "sexta", "sábado", "sabado", "domingo")
 TICKET_TERMS = ("ingressos", "ingresso", "line-up", "lineup", "open bar", "sympla", "shotgun", "pré-venda", "pre-venda", "pista", "camarote")
+# Forms of dates and of times after weekdays in captions.
+CAPTION_DATE = r"\b\d{1,2}[/.\-]\d{1,2}(?:[/.\-]\d{2,4})?\b|\b\d{1,2}\s*(?:de)?\s*(?:" + "|".join(MONTHS) + r")\b"
+CAPTION_TIME = r"(?U)\b(?:" + "|".join(WEEKDAYS) + r")\b[\w\-,.!\s]{0,40}?\d{1,2}[:h]\d{0,2}\b"
 # Parameter names that are secret, the shapes of secret values, and the mask.
 SECRET_NAMES = ("api_key", "api_key_private", "api_key_public", "apikey", "access_token", "key", "password", "secret", "token")
 SECRET_SHAPES = (r"\bpri_[0-9a-fA-F]{16,}\b", r"\bpub_[0-9a-fA-F]{16,}\b", r"\bAIza[0-9A-Za-z_\-]{20,}\b")
@@ -93,9 +96,7 @@ def mentions(caption: Column) -> Column:
 def event_markers(caption: Column) -> Column:
     """Labels of what makes a caption look like an event: date, weekday_time, term:*."""
     text = F.lower(F.coalesce(caption, F.lit("")))
-    date = text.rlike(r"\b\d{1,2}[/.\-]\d{1,2}(?:[/.\-]\d{2,4})?\b") | text.rlike(r"\b\d{1,2}\s*(?:de)?\s*(?:" + "|".join(MONTHS) + r")\b")
-    clock = text.rlike(r"(?U)\b(?:" + "|".join(WEEKDAYS) + r")\b[\w\-,.!\s]{0,40}?\d{1,2}[:h]\d{0,2}\b")
-    return F.array_compact(F.array(F.when(date, "date"), F.when(clock, "weekday_time"), *(F.when(F.contains(text, F.lit(t)), f"term:{t}") for t in TICKET_TERMS)))
+    return F.array_compact(F.array(F.when(text.rlike(CAPTION_DATE), "date"), F.when(text.rlike(CAPTION_TIME), "weekday_time"), *(F.when(F.contains(text, F.lit(t)), f"term:{t}") for t in TICKET_TERMS)))
 
 
 def redact(params: Column) -> Column:

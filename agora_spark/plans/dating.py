@@ -1,4 +1,4 @@
-"""Named queries on dates: recurrence, times, structured readings, and all of them together. Texts come from short lists; the SQL states what they mean."""
+"""Named queries on dates: recurrence, times, structured readings, and all of them together. Texts are made of many parts; the SQL states the rules over them."""
 
 from __future__ import annotations
 
@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 from agora_spark.functions import recurrence as R
 from agora_spark.functions import rules
+from agora_spark.functions import told as T
 from agora_spark.plans.catalog import query
 from agora_spark.sources import standins as S
 
-#: A date's text, whether it is said to recur, the recurrence's text, and the weekdays that this means.
-CADENCES = (
-    ("toda sexta", False, None, "4"), ("todas as terças-feiras", None, None, "1"), ("sextas e sábados", True, None, "4,5"), ("sextas e sábados", False, None, None), ("de segunda a sexta", True, None, "0,1,2,3,4"), ("12/05", True, "de sexta a domingo", "4,5,6"),
-    ("de sábado a segunda", True, None, "0,5,6"), ("todo dia", True, None, "0,1,2,3,4,5,6"), ("x", True, "Todo fim de semana", "5,6"), ("toda semana", True, None, None), (None, True, "quartas", "2"), ("toda", False, "domingo", None),
-)
-#: A text, and its first and second time.
-TIMES = (("22h", "22:00", None), ("22h30 às 04h", "22:30", "04:00"), ("10pm", "22:00", None), ("12 am", "00:00", None), ("das 19:00 até 23:45", "19:00", "23:45"), ("às 99h e 8h", "08:00", None), ("", None, None), (None, None, None), ("7:05 PM - 2am", "19:05", "02:00"), ("em breve", None, None))
-
-
 def _sql(x: object) -> str:
     return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
@@ -31,18 +23,90 @@ def _cases(values: tuple, key: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN {i} THEN {_sql(v)}" for i, v in enumerate(values)) + " END"
 
 
-@query(f"SELECT o_orderkey AS event_id, {_cases(tuple(c[3] for c in CADENCES), f'o_orderkey % {len(CADENCES)}')} AS weekdays FROM orders")
+# Texts of dates, made of a beginning, a date in one of thirteen forms, and an end, by the keys of orders.
+DAYS = ("segunda", "terça", "quarta", "quinta", "sexta", "sábado", "domingo")
+MONTHS = ("janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
+SHORT = tuple(m[:3].upper().replace("Ç", "C") for m in MONTHS)
+BEGINS, ENDS = ("", "Sexta, ", "SÁBADO • ", "este domingo ", "É hoje! "), ("", " às 22h", " no Pina")
+_ARRAY = lambda values: "[" + ", ".join(_sql(v) for v in values) + "]"
+NOTICE = f"""notice AS (SELECT event_id, posted, {_ARRAY(BEGINS)}[k % 5 + 1] || CASE k // 5 % 13 WHEN 0 THEN printf('%02d/%02d', d, m) WHEN 1 THEN d || '-' || m WHEN 2 THEN printf('%02d.%02d.2025', d, m) WHEN 3 THEN d || '/' || m || '/26' WHEN 4 THEN d || ' de ' || full_m WHEN 5 THEN printf('%02d', d) || '/' || short_m WHEN 6 THEN short_m || ' ' || d
+  WHEN 7 THEN d || ', ' || (d + 1) || ' e ' || (d + 2) || ' de ' || full_m WHEN 8 THEN d || ' e ' || (d + 1) || '/' || m WHEN 9 THEN 'De ' || d || ' a ' || (d + 3) || ' de ' || full_m WHEN 10 THEN '' WHEN 11 THEN 'amanhã' ELSE d::VARCHAR END || {_ARRAY(ENDS)}[k // 65 % 3 + 1] AS date_text
+  FROM (SELECT o_orderkey AS event_id, o_orderdate::DATE AS posted, o_orderkey AS k, o_orderkey // 7 % 31 + 1 AS d, o_orderkey // 11 % 12 + 1 AS m, {_ARRAY(MONTHS)}[o_orderkey // 11 % 12 + 1] AS full_m, {_ARRAY(SHORT)}[o_orderkey // 11 % 12 + 1] AS short_m FROM orders))"""
+_WEEK, _MONTH = "segunda|terca|quarta|quinta|sexta|sabado|domingo", "janeiro|fevereiro|marco|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro|jan|fev|mar|abr|mai|jun|jul|ago|set|out|nov|dez"
+_M = lambda x: f"list_position({_ARRAY(tuple(_MONTH.split('|'))[12:])}, left({x}, 3))"
+_SPAN, _NUMERIC = rf"\bde\s+(\d{{1,2}})\s+a\s+\d{{1,2}}\s*(?:de\s*|[/.\-]\s*)({_MONTH})\b", r"\b(\d{1,2})[/.\-](\d{1,2})(?:[/.\-](\d{2,4}))?\b"
+_LIST = r"\b(\d{1,2})(?:\s*(?:,|e)\s*\d{1,2})*\s*(?:,|e)\s*\d{1,2}(?:[/.\-](\d{1,2})\b|(?:\s*de\s*|\s*[/.\-]\s*|\s+)" + f"({_MONTH})\\b)"
+_NAMED, _TURNED = rf"\b(\d{{1,2}})(?:\s*de\s*|\s*[/.\-]\s*|\s+)?({_MONTH})\b", r"\b(jan|fev|mar|abr|mai|jun|jul|ago|set|out|nov|dez)(?:\s*[/.\-]\s*|\s+)(\d{1,2})\b"
+_ROLL = "CASE WHEN this >= posted OR date_diff('day', this, posted) <= 60 THEN this ELSE try_strptime(printf('%04d-', year(posted) + 1) || strftime(this, '%m-%d'), '%Y-%m-%d')::DATE END"
+_DATE = lambda y, m, d: f"try_strptime(printf('%04d-%02d-%02d', ({y})::INT, ({m})::INT, ({d})::INT), '%Y-%m-%d')::DATE"
+#: What the rule makes of notices, written with regular expressions over the texts.
+TOLD = rf"""{NOTICE}, low AS (SELECT *, strip_accents(lower(trim(date_text))) AS t FROM notice),
+form AS (SELECT *, CASE WHEN regexp_matches(t, '\bhoje\b') THEN posted WHEN regexp_matches(t, '\bamanha\b') THEN posted + 1 END AS relative, list_position({_ARRAY(tuple(_WEEK.split('|')))}, nullif(regexp_extract(t, '{_WEEK}'), '')) - 1 AS weekday, regexp_matches(t, '\d') AS digits,
+  CASE WHEN regexp_matches(t, '{_SPAN}') THEN 1 WHEN regexp_matches(t, '{_LIST}') THEN 2 WHEN regexp_matches(t, '{_NUMERIC}') THEN 3 WHEN regexp_matches(t, '{_NAMED}') THEN 4 WHEN regexp_matches(t, '{_TURNED}') THEN 5 ELSE 0 END AS form FROM low),
+parts AS (SELECT *, nullif(CASE form WHEN 1 THEN regexp_extract(t, '{_SPAN}', 1) WHEN 2 THEN regexp_extract(t, '{_LIST}', 1) WHEN 3 THEN regexp_extract(t, '{_NUMERIC}', 1) WHEN 4 THEN regexp_extract(t, '{_NAMED}', 1) WHEN 5 THEN regexp_extract(t, '{_TURNED}', 2) END, '')::INT AS d,
+  CASE form WHEN 1 THEN {_M(f"regexp_extract(t, '{_SPAN}', 2)")} WHEN 2 THEN coalesce(nullif(regexp_extract(t, '{_LIST}', 2), '')::INT, {_M(f"regexp_extract(t, '{_LIST}', 3)")}) WHEN 3 THEN regexp_extract(t, '{_NUMERIC}', 2)::INT WHEN 4 THEN {_M(f"regexp_extract(t, '{_NAMED}', 2)")} WHEN 5 THEN {_M(f"regexp_extract(t, '{_TURNED}', 1)")} END AS m,
+  CASE WHEN form = 3 THEN nullif(regexp_extract(t, '{_NUMERIC}', 3), '')::INT END AS y FROM form),
+dated AS (SELECT *, {_DATE('year(posted)', 'm', 'd')} AS this FROM parts),
+told AS (SELECT *, CASE WHEN relative IS NOT NULL AND NOT digits AND weekday IS NULL THEN relative WHEN form > 0 THEN CASE WHEN y IS NOT NULL THEN {_DATE('CASE WHEN y < 100 THEN y + 2000 ELSE y END', 'm', 'd')} WHEN this IS NOT NULL THEN {_ROLL} END
+  WHEN weekday IS NOT NULL THEN CASE WHEN NOT regexp_matches(t, '\b\d{{1,2}}\b') THEN posted + ((weekday - (isodow(posted) - 1) + 7) % 7)::INT END ELSE relative END AS day,
+  form > 0 AND NOT (relative IS NOT NULL AND NOT digits AND weekday IS NULL) AS explicit FROM dated),
+judged AS (SELECT *, CASE WHEN explicit AND isodow(day) - 1 <> weekday THEN 'weekday_mismatch' END AS told_reason, explicit AND y IS NULL AND day IS NOT NULL AND this < posted AS inferred, explicit AND form <= 2 AS ranged FROM told)"""
+
+
+def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    d, m = F.floor(k / 7) % 31 + 1, F.floor(k / 11) % 12
+    of = lambda values, at: _pick(values, at, "string")
+    two = lambda x: F.format_string("%02d", x.cast("int"))
+    full, short, n = of(MONTHS, m), of(SHORT, m), m + 1
+    said = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    forms = (
+        said(two(d), "/", two(n)), said(d, "-", n), said(two(d), ".", two(n), ".2025"), said(d, "/", n, "/26"), said(d, " de ", full), said(two(d), "/", short), said(short, " ", d), said(d, ", ", d + 1, " e ", d + 2, " de ", full),
+        said(d, " e ", d + 1, "/", n), said("De ", d, " a ", d + 3, " de ", full), F.lit(""), F.lit("amanhã"), said(d),
+    )
+    text = F.concat(of(BEGINS, k % 5), F.get(F.array(*forms), (F.floor(k / 5) % 13).cast("int")), of(ENDS, F.floor(k / 65) % 3))
+    return S.read(spark, sf_dir, "orders").select(k.alias("event_id"), F.to_date("o_orderdate").alias("posted"), text.alias("date_text"))
+
+
+@query(f"WITH {TOLD} SELECT event_id, day, told_reason AS reason, inferred, ranged FROM judged")
+def told_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that texts tell, seen from the day of their post."""
+    return _notices(spark, sf_dir).withColumn("t", T.told_day(F.col("date_text"), F.col("posted"))).select("event_id", "t.day", "t.reason", "t.inferred", "t.ranged")
+
+
+@query(rf"WITH {NOTICE}, low AS (SELECT strip_accents(lower(trim(date_text))) AS t FROM notice) SELECT CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '\bhoje\b|\bamanha\b') THEN 'relative_hoje_amanha' WHEN regexp_matches(t, '{_SPAN}') THEN 'range_de_x_a_y_de_mes' WHEN regexp_matches(t, '{_LIST}') THEN 'range_comma_or_e_list' WHEN regexp_matches(t, '{_NUMERIC}') THEN 'numeric_dmy' WHEN regexp_matches(t, '{_NAMED}|{_TURNED}') THEN 'textual_month_name' WHEN regexp_matches(t, '{_WEEK}') THEN 'bare_weekday' ELSE 'unrecognized' END AS shape, count(*) AS events FROM low GROUP BY 1")
+def date_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts of dates have which form."""
+    return _notices(spark, sf_dir).groupBy(T.date_shape(F.col("date_text")).alias("shape")).agg(F.count("*").alias("events"))
+
+
+@query(f"""WITH c AS (SELECT o_orderkey AS event_id, o_orderkey % 6 AS form, o_orderkey // 6 % 7 AS a, o_orderkey // 42 % 7 AS b, o_orderkey % 4 <> 0 AS recurs FROM orders)
+SELECT event_id, array_to_string(CASE WHEN form = 0 THEN [a] WHEN NOT recurs THEN NULL WHEN form = 1 THEN list_sort(list_distinct([a, b])) WHEN form = 2 THEN CASE WHEN a <= b THEN range(a, b + 1) ELSE list_concat(range(0, b + 1), range(a, 7)) END WHEN form = 3 THEN range(0, 7) WHEN form = 4 THEN [5, 6] END, ',') AS weekdays FROM c""")
 def recurring_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weekdays that a text makes an event recur on."""
-    at = F.col("o_orderkey") % len(CADENCES)
-    days = R.recurring_weekdays(_pick(tuple(c[0] for c in CADENCES), at, "string"), _pick(tuple(c[1] for c in CADENCES), at, "boolean"), _pick(tuple(c[2] for c in CADENCES), at, "string"))
-    return S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.array_join(days, ",").alias("weekdays"))
+    """The weekdays that texts make events recur on: a marked one, a list, a span, all days, weekends, or none that can be told."""
+    k = F.col("o_orderkey")
+    a, b = (_pick(DAYS, F.floor(k / n) % 7, "string") for n in (6, 42))
+    text = F.get(F.array(F.concat(F.lit("TODA "), a), F.concat(a, F.lit("s e "), b, F.lit("s")), F.concat(F.lit("de "), F.upper(a), F.lit(" a "), b), F.lit("todo  dia"), F.lit("Todo fim de semana"), F.lit("toda semana")), (k % 6).cast("int"))
+    own = k % 2 == 0  # else it is the recurrence's text
+    days = T.recurring_weekdays(F.when(own | (k % 6 == 0), text).otherwise("12/05"), k % 4 != 0, F.when(~own, text))
+    return S.read(spark, sf_dir, "orders").select(k.alias("event_id"), F.array_join(days, ",").alias("weekdays"))
+
 
+CLOCKS = """clock AS (SELECT o_orderkey AS event_id, o_orderkey % 6 AS form, o_orderkey // 6 % 27 AS h, o_orderkey // 13 % 60 AS m, o_orderkey // 5 % 24 AS h2 FROM orders),
+times AS (SELECT event_id, list_filter(CASE form WHEN 0 THEN [[h, 0]] WHEN 1 THEN [[h, m], [h2, 0]] WHEN 2 THEN [[h, m], [h2, m]] WHEN 3 THEN [[CASE WHEN h < 12 THEN h + 12 ELSE h END, 0]] WHEN 4 THEN [[CASE WHEN h = 12 THEN 0 ELSE h END, m]] ELSE [] END, lambda x: x[1] <= 23) AS c FROM clock)"""
 
-@query(f"SELECT o_orderkey AS event_id, {_cases(tuple(t[1] for t in TIMES), f'o_orderkey % {len(TIMES)}')} AS starts, {_cases(tuple(t[2] for t in TIMES), f'o_orderkey % {len(TIMES)}')} AS ends FROM orders")
+
+def _times(key: Column) -> Column:
+    """Texts of times, by keys."""
+    h, m, h2 = F.floor(key / 6) % 27, F.floor(key / 13) % 60, F.floor(key / 5) % 24
+    two = lambda x: F.format_string("%02d", x.cast("int"))
+    return F.get(F.array(F.concat(h, F.lit("h")), F.concat(h, F.lit("h"), two(m), F.lit(" às "), h2, F.lit("H")), F.concat(F.lit("das "), two(h), F.lit(":"), two(m), F.lit(" até "), h2, F.lit("h"), two(m)), F.concat(h, F.lit(" PM")), F.concat(h, F.lit(":"), two(m), F.lit("am")), F.lit("em breve")), (key % 6).cast("int"))
+
+
+@query(f"WITH {CLOCKS} SELECT event_id, printf('%02d:%02d', c[1][1], c[1][2]) AS starts, printf('%02d:%02d', c[2][1], c[2][2]) AS ends FROM times".replace("printf('%02d:%02d', c[1][1], c[1][2])", "CASE WHEN len(c) > 0 THEN printf('%02d:%02d', c[1][1], c[1][2]) END").replace("printf('%02d:%02d', c[2][1], c[2][2])", "CASE WHEN len(c) > 1 THEN printf('%02d:%02d', c[2][1], c[2][2]) END"))
 def told_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and the second time that a text tells."""
-    times = R.clocks(_pick(tuple(t[0] for t in TIMES), F.col("o_orderkey") % len(TIMES), "string"))
+    times = R.clocks(_times(F.col("o_orderkey")))
     say = lambda t: F.when(t.isNotNull(), F.format_string("%02d:%02d", t["hour"], t["minute"]))
     return S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), say(F.get(times, F.lit(0))).alias("starts"), say(F.get(times, F.lit(1))).alias("ends"))
 
@@ -69,16 +133,19 @@ def structured_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "r.day", "r.reason", "r.inferred")
 
 
-@query(f"""WITH {READINGS}, c AS (SELECT event_id, kind, meant, d, event_id % 5 AS form FROM meant), x AS (SELECT *, CASE form WHEN 0 THEN {NEXT} WHEN 1 THEN DATE '2030-05-12' WHEN 2 THEN DATE '2030-05-12' WHEN 3 THEN meant END AS night FROM c)
-SELECT event_id, night + INTERVAL 22 HOUR AS starts_at, night + INTERVAL 28 HOUR AS ends_at, form = 0 AS recurring, CASE WHEN form = 2 THEN 'weekday_mismatch' WHEN form = 3 THEN CASE WHEN night IS NULL THEN 'missing_date' WHEN kind = 6 AND isodow(night) <> 5 THEN 'weekday_mismatch' END END AS reason,
-  night IS NOT NULL AS time_known, CASE WHEN night IS NULL THEN 'unresolved' WHEN form = 3 THEN 'structured_fallback' ELSE 'deterministic' END AS source FROM x""")
+@query(f"""WITH {TOLD}, {READINGS.replace('told AS', 'told_r AS').replace('FROM told)', 'FROM told_r)')}, {CLOCKS}, x AS (SELECT j.event_id, j.posted, CASE WHEN j.event_id % 8 <> 0 THEN j.day END AS told, CASE WHEN j.event_id % 8 <> 0 THEN j.told_reason END AS told_reason, j.event_id % 8 <> 0 AND j.inferred AS told_inferred, j.event_id % 8 <> 0 AND j.ranged AS told_ranged, j.event_id % 3 = 0 AND j.event_id % 5 = 0 AS weekends, CASE WHEN j.event_id % 3 = 0 AND j.event_id % 5 <> 0 AND j.event_id % 8 <> 0 THEN j.weekday END AS named,
+  j.event_id % 3 = 0 AND j.event_id % 5 = 1 AS endless, CASE WHEN j.event_id % 2 = 0 THEN r.meant END AS meant, CASE WHEN r.kind = 6 AND isodow(r.meant) <> 5 THEN 'weekday_mismatch' END AS read_reason, r.kind IN (2, 4) AND r.this < r.d AS read_inferred, r.kind = 4 AS read_ranged, c FROM judged j JOIN meant r USING (event_id) JOIN times USING (event_id)),
+n AS (SELECT *, CASE WHEN told IS NOT NULL THEN 1 WHEN weekends OR named IS NOT NULL THEN 2 WHEN meant IS NOT NULL THEN 3 WHEN endless THEN 4 ELSE 5 END AS way FROM x),
+w AS (SELECT *, CASE way WHEN 1 THEN told WHEN 2 THEN posted + CASE WHEN NOT weekends THEN (named - (isodow(posted) - 1) + 7) % 7 WHEN isodow(posted) >= 6 THEN 0 ELSE 6 - isodow(posted) END::INT WHEN 3 THEN meant END AS day FROM n)
+SELECT event_id, day + coalesce(to_minutes((c[1][1] * 60 + c[1][2])::INT), INTERVAL 0 MINUTE) AS starts_at, CASE WHEN len(c) > 1 THEN day + to_minutes((c[2][1] * 60 + c[2][2] + CASE WHEN c[2][1] * 60 + c[2][2] <= c[1][1] * 60 + c[1][2] THEN 1440 ELSE 0 END)::INT) END AS ends_at, weekends OR named IS NOT NULL OR way = 4 AS recurring,
+  CASE way WHEN 1 THEN told_reason WHEN 3 THEN read_reason WHEN 5 THEN 'missing_date' END AS reason, CASE way WHEN 1 THEN told_inferred WHEN 3 THEN read_inferred ELSE false END AS year_inferred, CASE way WHEN 1 THEN told_ranged WHEN 3 THEN read_ranged WHEN 5 THEN told_ranged ELSE false END AS date_range, day IS NOT NULL AND len(c) > 0 AS time_known, ['deterministic', 'deterministic', 'structured_fallback', 'unresolved', 'unresolved'][way] AS source FROM w""")
 def resolved_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start, end and flags of events whose dates are told in one of five ways."""
+    """Start, end and flags of events: told dates, cadences, readings of a model, and times, in all mixtures."""
     k = F.col("event_id")
-    text = _pick(("toda sexta", "domingo 12/05/2030", "sexta 12/05/2030", None, None), k % 5, "string")
-    empty = F.when(k % 5 == 3, F.col("reading"))
-    out = R.resolve(_readings(spark, sf_dir), text, F.lit("22h às 4h"), F.col("posted"), k % 5 == 4, F.when(k % 5 == 4, "sempre"), empty)
-    return out.select("event_id", "starts_at", "ends_at", "recurring", "reason", "time_known", "source")
+    rows = _notices(spark, sf_dir).join(_readings(spark, sf_dir).select("event_id", "reading"), "event_id")
+    cadence = F.when(k % 5 == 0, "aos fins de semana").when(k % 5 == 1, "sempre")
+    out = R.resolve(rows, F.when(k % 8 != 0, F.col("date_text")), _times(k), F.col("posted"), k % 3 == 0, F.when(k % 3 == 0, cadence), F.when(k % 2 == 0, F.col("reading")))
+    return out.select("event_id", "starts_at", "ends_at", "recurring", "reason", "year_inferred", "date_range", "time_known", "source")
 
 
 @query("SELECT c_custkey, round(0.3 * n + 0.2 * a + 0.1 * t + 0.1 * b + 0.1 * c + 0.1 * u + 0.1 * f, 4) AS confidence, n AS name, a AS address, u AS url, f AS followers FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.0 END AS n, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.0 END AS a, CASE WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 0.0 END AS t, CASE WHEN c_custkey % 5 = 0 THEN 1.0 ELSE 0.0 END AS b, 0.0 AS c, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS u, CASE c_custkey % 6 WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.7 WHEN 4 THEN 0.3 ELSE 0.5 END AS f FROM customer)")
@@ -94,25 +161,13 @@ def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read(spark, sf_dir, "customer").withColumn("s", s).select("c_custkey", "s.confidence", "s.signals.name", "s.signals.address", "s.signals.url", "s.signals.followers")
 
 
-#: A date's text and its form.
-SHAPES = (
-    ("", "empty"), ("hoje às 22h", "relative_hoje_amanha"), ("Amanhã, 12/05", "relative_hoje_amanha"), ("toda semana", "cadence_toda_semana_or_sempre"), ("todo fim de semana", "cadence_daily_or_weekend"), ("todas as sextas", "cadence_todo_plus_weekday"), ("de segunda a sexta", "weekday_range_or_list"),
-    ("de 10 a 12 de maio", "range_de_x_a_y_de_mes"), ("10, 11 e 12/05", "range_comma_or_e_list"), ("12.05.2024", "numeric_dmy"), ("12 de março", "textual_month_name"), ("mai 12", "textual_month_name"), ("sábado", "bare_weekday"), ("em breve", "unrecognized"), (None, "empty"),
-)
-
-
-@query(f"SELECT shape, count(*) AS events FROM (SELECT {_cases(tuple(x[1] for x in SHAPES), f'o_orderkey % {len(SHAPES)}')} AS shape FROM orders) GROUP BY 1")
-def date_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many texts of dates have which form."""
-    shape = R.date_shape(_pick(tuple(x[0] for x in SHAPES), F.col("o_orderkey") % len(SHAPES), "string"))
-    return S.read(spark, sf_dir, "orders").groupBy(shape.alias("shape")).agg(F.count("*").alias("events"))
-
-
-SUMMARIES = (("A Gay bar", True), ("Diverse crowd, late hours", True), ("rain bow", False), ("", False), (None, False), ("PRIDE month", True))
+WORDS = ("gay", "diverse", "pride", "bar", "rain", "late", "queer friendly", "crowd")
 
 
-@query(f"SELECT c_custkey, {_cases(tuple(x[1] for x in SUMMARIES), f'c_custkey % {len(SUMMARIES)}')} AS inclusive, replace(replace(CASE c_custkey % 2 WHEN 0 THEN 'bar.do_ze' ELSE 'plain' END, '.', ' '), '_', ' ') AS words FROM customer")
+@query(f"SELECT k AS c_custkey, len(list_filter({_ARRAY(rules.INCLUSIVE)}, lambda w: contains(lower(a || ' ' || b || ', ' || c), w))) > 0 AS inclusive, replace(replace(handle, '.', ' '), '_', ' ') AS words FROM (SELECT c_custkey AS k, {_ARRAY(WORDS)}[c_custkey % 8 + 1] AS a, {_ARRAY(WORDS)}[c_custkey // 8 % 8 + 1] AS b, c_name AS c, lower(replace(c_name, '#', '.')) || '_' || c_nationkey AS handle FROM customer)")
 def keyword_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags by words of summaries, and handles as words."""
     k = F.col("c_custkey")
-    return S.read(spark, sf_dir, "customer").select(k, rules.inclusive(_pick(tuple(x[0] for x in SUMMARIES), k % len(SUMMARIES), "string")).alias("inclusive"), rules.handle_as_words(F.when(k % 2 == 0, "bar.do_ze").otherwise("plain")).alias("words"))
+    summary = F.concat(_pick(WORDS, k % 8, "string"), F.lit(" "), _pick(WORDS, F.floor(k / 8) % 8, "string"), F.lit(", "), "c_name")
+    handle = F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("_"), "c_nationkey")
+    return S.read(spark, sf_dir, "customer").select(k, rules.inclusive(summary).alias("inclusive"), rules.handle_as_words(handle).alias("words"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agora_spark.functions import dates, text
+from agora_spark.functions import dates, told, text
 from agora_spark.functions.geo import haversine_km
 from agora_spark.operators import eligibility as E
 from agora_spark.operators import happenings, places
@@ -139,13 +139,14 @@ def venues_by_handle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("handle", F.size("v").cast("long").alias("venues"), F.array_join("v", ",").alias("venue_list"))
 
 
-@query(S.sql("item", "caption") + """SELECT c.event_id, CASE WHEN starts_at IS NULL THEN o_orderdate::DATE ELSE (SELECT min(d) FROM (SELECT try_strptime(strftime(starts_at, '%d/%m') || '/' || (year(o_orderdate) + y), '%d/%m/%Y')::DATE AS d FROM range(2) r(y)) WHERE d IS NOT NULL AND date_diff('day', d, o_orderdate::DATE) <= 60) END AS day,
-  CASE WHEN c.event_id % 4 = 0 THEN '22:00' ELSE '00:00' END AS clock, c.event_id % 4 = 0 AS time_known FROM caption c JOIN orders ON o_orderkey = c.event_id""")
+@query(S.sql("item", "caption") + """, c AS (SELECT c.event_id, starts_at, o_orderdate::DATE AS posted, CASE WHEN c.event_id % 4 = 0 THEN 4 END AS weekday FROM caption c JOIN orders ON o_orderkey = c.event_id),
+d AS (SELECT *, CASE WHEN starts_at IS NULL AND weekday IS NULL THEN posted WHEN starts_at IS NULL THEN posted + ((weekday - (isodow(posted) - 1) + 7) % 7)::INT ELSE (SELECT min(d) FROM (SELECT try_strptime(strftime(starts_at, '%d/%m') || '/' || (year(posted) + y), '%d/%m/%Y')::DATE AS d FROM range(2) r(y)) WHERE d IS NOT NULL AND date_diff('day', d, posted) <= 60) END AS day FROM c)
+SELECT event_id, day, CASE WHEN starts_at IS NOT NULL AND isodow(day) - 1 <> weekday THEN 'weekday_mismatch' END AS reason, CASE WHEN weekday IS NOT NULL THEN '22:00' END AS clock FROM d""")
 def resolved_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The date and the time that a caption tells, seen from the day of its post."""
     posted = S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("posted"))
-    rows = S.caption(spark, sf_dir).join(posted, "event_id").withColumn("when", dates.told_date(F.col("caption"), F.col("posted")))
-    return rows.select("event_id", "when.day", "when.clock", "when.time_known")
+    rows = S.caption(spark, sf_dir).join(posted, "event_id").withColumn("t", told.told_day(F.col("caption"), F.col("posted")))
+    return rows.select("event_id", "t.day", "t.reason", dates.stated_clock(F.col("caption")).alias("clock"))
 
 
 @query(S.sql("venue", "live") + """, h AS (SELECT venue_id, busyness, ntile(1) OVER () AS one FROM live) SELECT btype AS kind, count(*) AS venues, count(busyness) AS with_live, round(100.0 * count(busyness) / count(*), 4) AS percent FROM venue LEFT JOIN h USING (venue_id) GROUP BY 1""")
