@@ -152,7 +152,8 @@ def shards(vocabulary: DataFrame, parts: int) -> DataFrame:
         if words:
             yield pack()
 
-    ranged = vocabulary.select("word", "n").repartitionByRange(parts, "word").sortWithinPartitions("word")
+    # As few shards as their bounds allow, in however many partitions the ranges come: each shard is a pass over the words.
+    ranged = vocabulary.select("word", "n").repartitionByRange(parts, "word").coalesce(parts).sortWithinPartitions("word")
     return ranged.mapInArrow(lean(run), "trie binary").withColumn("shard", F.monotonically_increasing_id())
 
 
