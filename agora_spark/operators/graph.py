@@ -1,12 +1,15 @@
-"""Connected components of an edge table by pointer jumping, and scratch tables for operators that work in rounds."""
+"""Connected components of an edge table by contraction, choices in order within them, and scratch tables for operators that work in rounds."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import suppress
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,27 +56,63 @@ def _at_exit() -> None:
             _delete(spark, path)
 
 
+def _rooted(pointers: DataFrame) -> DataFrame:
+    """Pointers (node, to), of which roots point to themselves, followed to their roots: each round doubles the reach."""
+    while True:
+        further = pointers.select(F.col("node").alias("via"), F.col("to").alias("next"))
+        jumped = cut(pointers.join(further, F.col("to") == F.col("via")).select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+        drop(pointers)
+        pointers = jumped.select("node", "to")
+        pointers._agora_path = jumped._agora_path
+        if jumped.where("moved").isEmpty():
+            return pointers
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b): the smallest node reachable.
 
-    Every node takes the smallest label of its neighbourhood, then the label of that label, until
-    nothing changes: the reach doubles with each round.
+    Each round points every node to its smallest neighbour, follows the pointers to their roots, and
+    contracts the edges to the roots: what is settled takes no part in the next round, which has half
+    the nodes at most. Ends of any one type will do, if it has an order.
     """
-    ends = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    both = cut(edges.where("a <> b").select(ends.alias("e")).select("e.a", "e.b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component"))
-    hooked = labels.select("node", F.lit(None).alias("was"), "component")  # the first labels are the first hooks
-    written = None
-    while True:
-        roots = hooked.select(F.col("node").alias("root"), F.col("component").alias("further"))
-        jumped = cut(hooked.join(roots, F.col("component") == F.col("root"), "left").select("node", "was", F.coalesce("further", "component").alias("component")))
-        if written is not None:
-            drop(written)
-        written = jumped
-        if jumped.where("was IS NULL OR was <> component").isEmpty():
-            drop(both)
-            return jumped.select("node", "component")
-        labels = jumped.select("node", "component")
-        via = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
-        lowest = both.join(via, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("least"))
-        hooked = labels.join(lowest, "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("component"))
+    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
+    while not edges.isEmpty() or labels is None:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.node", "e.other")
+        roots = _rooted(cut(ends.groupBy("node").agg(F.least("node", F.min("other")).alias("to"))))
+        was, now = (roots.select(F.col("node").alias(f"n{x}"), F.col("to").alias(f"r{x}")) for x in "ab")
+        fewer = cut(edges.join(was, F.col("a") == F.col("na")).join(now, F.col("b") == F.col("nb")).where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        if labels is None:
+            labels = roots
+        else:
+            after = cut(labels.join(was, F.col("to") == F.col("na"), "left").select("node", F.coalesce("ra", "to").alias("to")))
+            drop(labels, roots)
+            labels = after
+        drop(edges)
+        edges = fewer
+    drop(edges)
+    out = labels.select("node", F.col("to").alias("component"))
+    out._agora_path = labels._agora_path
+    return out
+
+
+def in_order(rows: DataFrame, component: str, order: list[str], work, schema: str) -> DataFrame:
+    """work(rows) -> rows over the rows of each component in their order, for choices that depend on those before.
+
+    Rows pass in a stream, as dicts; work is a generator that gets the rows of one component. Components
+    are worked on apart, so the data's longest chain costs no more rounds than another.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for batch in batches for row in batch.to_pylist())
+        out: list[dict] = []
+        for _, group in groupby(stream, key=lambda r: r[component]):
+            for row in work(group):
+                out.append(row)
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_pylist(out)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out)
+
+    return rows.repartition(component).sortWithinPartitions(component, *order).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,34 +47,57 @@ def duplicate_pairs(venues: DataFrame, metres: float = 50) -> DataFrame:
     return pairs.where((F.col("k") < F.col("other_k")) & names_match(F.col("folded"), F.col("other_folded")))
 
 
-def duplicate_groups(venues: DataFrame, metres: float = 50) -> DataFrame:
-    """(head, venue_id) of greedy groups: in key order, each venue joins the first head it matches, else it heads a group.
+def _named_pairs(nodes: DataFrame, km: float, radius: float) -> DataFrame:
+    """(a, b) keys, a < b, of nodes (k, lat, lng, folded) within km of each other whose names match.
 
-    In rounds of joins: a venue whose smaller neighbours are all settled joins the smallest head among
-    them, or heads a group if none is one. So a head's neighbours never make each other heads.
+    Nodes meet by cell and name at once: a name that equals another or stands within it begins with five
+    letters that the other holds. So many places at one spot meet only those of like names.
     """
-    from agora_spark.operators.graph import cut
+    near = nodes.where("lat IS NOT NULL AND lng IS NOT NULL AND folded <> ''")
+    inner = _cells(near, km, True).withColumn("gram", F.left("folded", F.lit(5)))
+    size = F.char_length("folded")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - 4, F.lit(1))), lambda i: F.substring(F.col("folded"), i, F.lit(5)))
+    outer = _cells(near, km, False).withColumn("gram", F.explode(F.array_distinct(grams)))
+    outer = outer.select(*(F.col(c).alias(f"other_{c}") if c in ("k", "lat", "lng", "folded") else F.col(c) for c in outer.columns))
+    shorter = (F.col("folded") != F.col("other_folded")) | (F.col("k") < F.col("other_k"))
+    met = inner.join(outer, ["_row", "_col", "gram"]).where(shorter & F.contains("other_folded", F.col("folded")) & names_match(F.col("folded"), F.col("other_folded")))
+    first = F.col("k") < F.col("other_k")
+    pick = lambda c, a: F.when(first == a, F.col(c)).otherwise(F.col(f"other_{c}"))
+    away = haversine_km(pick("lat", True), pick("lng", True), pick("lat", False), pick("lng", False), radius)
+    return met.where(away <= km).select(F.least("k", "other_k").alias("a"), F.greatest("k", "other_k").alias("b")).distinct()
+
 
-    pairs = cut(duplicate_pairs(venues, metres).select(F.col("k").alias("a"), F.col("other_k").alias("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    settled, left = None, cut(nodes)
-    while not left.isEmpty():
-        below = pairs.join(left, F.col("b") == F.col("k"), "left_semi")
-        waits = below.join(left.select(F.col("k").alias("a")), "a", "left_semi").select(F.col("b").alias("k")).distinct()
-        ready = left.join(waits, "k", "left_anti")
-        if settled is None:
-            now = ready.select(F.col("k").alias("head"), "k")
-        else:
-            heads = settled.where("head = k").select(F.col("head").alias("a"))
-            first = below.join(heads, "a").groupBy(F.col("b").alias("k")).agg(F.min("a").alias("head"))
-            now = ready.join(first, "k", "left").select(F.coalesce("head", "k").alias("head"), "k")
-        now = cut(now)
-        settled = now if settled is None else cut(settled.unionByName(now))
-        left = cut(left.join(now.select("k"), "k", "left_anti"))
-    if settled is None:
-        return nodes.select(F.col("k").alias("head"), "k")
-    many = settled.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
-    return settled.join(many, "head", "left_semi").select("head", "k")
+def duplicate_groups(venues: DataFrame, metres: float = 50) -> DataFrame:
+    """(head, k) of greedy groups of two at least: in key order, each venue joins the first head it matches, else it heads a group.
+
+    Venues of one name at one point are one node, with the smallest of their keys: they all share its
+    head. The nodes' matches make components, each of which is gone through in order; what is kept
+    there are the heads so far.
+    """
+    from agora_spark.operators.graph import connected, cut, drop, in_order
+
+    named = venues.where("lat IS NOT NULL AND lng IS NOT NULL").select("k", "lat", "lng", fold_text(F.col("name")).alias("folded")).where("folded <> ''")
+    nodes = cut(named.groupBy("lat", "lng", "folded").agg(F.min("k").alias("k"), F.count("*").alias("n")))
+    pairs = cut(_named_pairs(nodes.select("k", "lat", "lng", "folded"), metres / 1000, EARTH_KM_DUPLICATES))
+    parts = connected(pairs)
+    # Each node once without, and once for each of its smaller neighbours.
+    edges = parts.select("component", F.col("node").alias("b"), F.lit(None).cast(dict(pairs.dtypes)["a"]).alias("a")).unionByName(pairs.join(parts, F.col("b") == F.col("node")).select("component", "b", "a"))
+    kind = dict(venues.dtypes)["k"]
+
+    def choose(rows):
+        heads = set()
+        for b, near in groupby(rows, key=lambda r: r["b"]):
+            head = next((row["a"] for row in near if row["a"] in heads), b)
+            if head == b:
+                heads.add(b)
+            yield {"k": b, "head": head}
+
+    chosen = cut(in_order(edges, "component", ["b", "a"], choose, f"k {kind}, head {kind}"))
+    headed = nodes.join(chosen, "k", "left").select("lat", "lng", "folded", F.coalesce("head", "k").alias("head"))
+    every = cut(named.join(headed, ["lat", "lng", "folded"]).select("head", "k"))
+    drop(nodes, pairs, parts, chosen)
+    many = every.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
+    return every.join(many, "head", "left_semi")
 
 
 def keyed_latest(base: DataFrame, delta: DataFrame, keys: list[str], version: str) -> DataFrame:

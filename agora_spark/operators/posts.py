@@ -73,25 +73,28 @@ def qualifies(flyer_key: Column, confidence: Column, markers: Column, floor: flo
 def discovered(batch: DataFrame) -> DataFrame:
     """The rows of a batch (place, venue_id, name) that are new, taken in order of place: neither their id nor their name belongs to a row taken before.
 
-    A row without id and name goes; one that goes reserves neither id nor name. In rounds: a row that is
-    the first of its id and of its name is taken, the other rows of that id or name go.
+    A row without id and name goes; one that goes reserves neither id nor name. Ids and names that rows
+    share make components; each is gone through in order, and what is kept there are the ids and names
+    taken.
     """
-    from agora_spark.operators.graph import cut
+    from agora_spark.operators.graph import connected, in_order
 
     id_, name = F.nullif(F.col("venue_id"), F.lit("")), F.nullif(F.col("name"), F.lit(""))
-    left = cut(batch.where(id_.isNotNull() | name.isNotNull()).select("place", id_.alias("_id"), name.alias("_name")))
-    taken = None
-    while not left.isEmpty():
-        first = lambda key: left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("place").alias(f"first{key}"))  # noqa: E731, B023
-        seen = left.join(first("_id"), "_id", "left").join(first("_name"), "_name", "left")
-        ours = lambda c: F.coalesce(F.col(c) == F.col("place"), F.lit(True))
-        won = cut(seen.where(ours("first_id") & ours("first_name")).select("place", "_id", "_name"))
-        taken = won if taken is None else taken.unionByName(won)
-        rest = left.join(won.select("place"), "place", "left_anti")
-        for key in ("_id", "_name"):
-            rest = rest.join(won.where(F.col(key).isNotNull()).select(key), key, "left_anti")
-        left = cut(rest.select("place", "_id", "_name"))
-    return batch.join(taken.select("place"), "place", "left_semi") if taken is not None else batch.limit(0)
+    rows = batch.select("place", F.concat(F.lit("i"), id_).alias("_id"), F.concat(F.lit("n"), name).alias("_name")).where("_id IS NOT NULL OR _name IS NOT NULL")
+    parts = connected(rows.where("_id IS NOT NULL AND _name IS NOT NULL").select(F.col("_id").alias("a"), F.col("_name").alias("b")))
+    key = F.coalesce("_id", "_name")
+    placed = rows.join(parts, key == F.col("node"), "left").select(F.coalesce("component", key).alias("component"), "place", "_id", "_name")
+
+    def take(found):
+        taken = set()
+        for row in found:
+            own = {x for x in (row["_id"], row["_name"]) if x is not None}
+            if not own & taken:
+                taken |= own
+                yield {"place": row["place"]}
+
+    won = in_order(placed, "component", ["place"], take, f"place {dict(batch.dtypes)['place']}")
+    return batch.join(won, "place", "left_semi")
 
 
 def split_budget(points: DataFrame, budget: int, override: int = 0) -> DataFrame:

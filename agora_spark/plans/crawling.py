@@ -133,7 +133,7 @@ def archive_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.join(counts("category", "uncategorised", "by_category"), "venue").join(counts("authorship", "unknown", "by_authorship"), "venue")
 
 
-BATCH = "batch AS (SELECT k AS place, CASE WHEN k % 10 <> 0 THEN 'i' || (k * 7 % 83) ELSE '' END AS venue_id, CASE WHEN k % 9 <> 0 THEN 'n' || (k * 5 % 61) END AS name FROM venue WHERE k < 200)"
+BATCH = "batch AS (SELECT k AS place, CASE WHEN k % 10 <> 0 THEN 'i' || (k * 7 % (n * 2 // 5)) ELSE '' END AS venue_id, CASE WHEN k % 9 <> 0 THEN 'n' || (k * 5 % (n // 3)) END AS name FROM venue, (SELECT count(*) AS n FROM part))"
 
 
 @query("WITH RECURSIVE " + S.SQL["venue"] + f", {BATCH}" + """, known AS (SELECT row_number() OVER (ORDER BY place) AS r, place, nullif(venue_id, '') AS i, nullif(name, '') AS n FROM batch WHERE coalesce(venue_id, '') <> '' OR coalesce(name, '') <> ''),
@@ -143,7 +143,8 @@ SELECT place, venue_id, name FROM batch WHERE list_contains((SELECT won FROM wal
 def discovered_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rows of a search's answer are new, in their order."""
     k = F.col("k")
-    batch = S.venue(spark, sf_dir).where("k < 200").select(k.alias("place"), F.when(k % 10 != 0, F.concat(F.lit("i"), k * 7 % 83)).otherwise("").alias("venue_id"), F.when(k % 9 != 0, F.concat(F.lit("n"), k * 5 % 61)).alias("name"))
+    rows = S.venue(spark, sf_dir).crossJoin(F.broadcast(S.read(spark, sf_dir, "part").agg(F.count("*").alias("n"))))  # one more row
+    batch = rows.select(k.alias("place"), F.when(k % 10 != 0, F.concat(F.lit("i"), k * 7 % F.floor(F.col("n") * 2 / 5))).otherwise("").alias("venue_id"), F.when(k % 9 != 0, F.concat(F.lit("n"), k * 5 % F.floor(F.col("n") / 3))).alias("name"))
     return P.discovered(batch)
 
 
