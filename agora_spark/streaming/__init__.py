@@ -25,7 +25,7 @@ def write_lake(envelopes: DataFrame, path: str, checkpoint: str, every: str = "9
     return writer.trigger(**({"availableNow": True} if at_once else {"processingTime": every})).start()
 
 
-def _snapshots(spark: SparkSession, path: str) -> list[int]:
+def snapshots(spark: SparkSession, path: str) -> list[int]:
     """The numbers of the snapshots under a path that were written whole, in order."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -38,7 +38,7 @@ def _snapshots(spark: SparkSession, path: str) -> list[int]:
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest snapshot of upsert_latest()."""
-    found = _snapshots(spark, path)
+    found = snapshots(spark, path)
     return spark.read.parquet(f"{path}/{found[-1]}") if found else None
 
 
@@ -52,7 +52,7 @@ def upsert_latest(path: str, keys: list[str], version: str):
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [n for n in _snapshots(spark, path) if n < number]
+        before = [n for n in snapshots(spark, path) if n < number]
         base = spark.read.parquet(f"{path}/{before[-1]}") if before else batch.limit(0)
         keyed_latest(base, batch, keys, version).write.mode("overwrite").parquet(f"{path}/{number}")
 
