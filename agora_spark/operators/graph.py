@@ -17,17 +17,22 @@ _own: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
 
 
+def root(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir; only in local mode, where it is unset, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="agora-graph-"))
+    return _own[0]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder that all executors share, which cuts its lineage. It goes when drop() is given it, or when the process ends."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="agora-graph-"))
-        root = _own[0]
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/graph-{uuid.uuid4().hex}"
     _made.append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

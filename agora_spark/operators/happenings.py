@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora_spark.functions.dates import micros
-from agora_spark.functions.sets import band, in_window
+from agora_spark.functions.sets import in_window
 from agora_spark.functions.text import distinctive_tokens, normalize_title
 
 def source_key(title, starts_at):
@@ -28,12 +28,17 @@ def candidate_pairs(events: DataFrame, hours: int = 8) -> DataFrame:
     return a.join(b, ["venue", "bucket"]).where((F.col("event_id") < F.col("other_event_id")) & in_window(F.col("starts_at"), F.col("other_starts_at"), hours)).drop("bucket")
 
 
-def judged_pairs(events: DataFrame, generic: list[str], stop: list[str], hours: int = 8) -> DataFrame:
-    """(venue, event_id, other_event_id, band) of pairs that are not refused."""
+def worded(events: DataFrame, generic: list[str], stop: list[str]) -> DataFrame:
+    """(event_id, venue, starts_at, words) with the distinctive words of the titles."""
     none = F.lit(None).cast("string")
-    tokens = events.withColumn("words", distinctive_tokens(F.col("title"), none, F.array(*map(F.lit, generic)), F.array(*map(F.lit, stop))))
-    pairs = candidate_pairs(tokens.select("event_id", "venue", "starts_at", "words"), hours)
-    return pairs.select("venue", "event_id", "other_event_id", band(F.col("words"), F.col("other_words")).alias("band")).where("band <> 'refuse'")
+    return events.select("event_id", "venue", "starts_at", distinctive_tokens(F.col("title"), none, F.array(*map(F.lit, generic)), F.array(*map(F.lit, stop))).alias("words"))
+
+
+def judged_pairs(events: DataFrame, generic: list[str], stop: list[str], hours: int = 8) -> DataFrame:
+    """(venue, event_id, other_event_id, band) of a venue's pairs of one local day or within hours that are not refused, the smaller id first."""
+    from agora_spark.operators.runs import token_pairs
+
+    return token_pairs(worded(events, generic, stop), hours)
 
 
 def with_sources(events: DataFrame, sources: DataFrame) -> DataFrame:

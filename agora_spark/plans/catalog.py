@@ -280,8 +280,8 @@ def canonical_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS = f", words AS MATERIALIZED (SELECT event_id, venue, starts_at, timezone('America/Recife', timezone('UTC', starts_at)) AS local, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^0-9a-z]+'), lambda t: t <> '' AND NOT list_contains([{_list(GENERIC + STOP)}], t) AND len(t) >= 2)) AS w FROM item WHERE starts_at IS NOT NULL)"
-JUDGED = """, judged AS (SELECT * FROM (SELECT a.venue, a.event_id, b.event_id AS other_event_id, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 'refuse' WHEN list_has_all(a.w, b.w) OR list_has_all(b.w, a.w) THEN 'auto' WHEN list_has_any(a.w, b.w) THEN 'suggest' ELSE 'refuse' END AS band
-  FROM words a JOIN words b ON a.venue = b.venue AND a.event_id < b.event_id AND (a.local::DATE = b.local::DATE OR abs(epoch(a.starts_at) - epoch(b.starts_at)) <= 8 * 3600)) WHERE band <> 'refuse')"""
+JUDGED = """, tok AS (SELECT *, unnest(w) AS t FROM words), judged AS MATERIALIZED (SELECT a.venue, a.event_id, b.event_id AS other_event_id, CASE WHEN list_has_all(a.w, b.w) OR list_has_all(b.w, a.w) THEN 'auto' ELSE 'suggest' END AS band
+  FROM tok a JOIN tok b ON a.venue = b.venue AND a.t = b.t AND a.event_id < b.event_id AND (a.local::DATE = b.local::DATE OR abs(epoch(a.starts_at) - epoch(b.starts_at)) <= 8 * 3600) WHERE a.t = list_min(list_intersect(a.w, b.w)))"""
 
 
 @query(S.sql("item") + WORDS + JUDGED + " SELECT venue, event_id, other_event_id, band FROM judged")

@@ -163,21 +163,13 @@ def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read(spark, sf_dir, "nation").select(k.alias("run"), rules.budget_left(F.lit(50), F.lit(5), k * 3).alias("budget"), rules.run_status(r == 4, k % 3, F.when(r > 0, r % 2)).alias("status"), (k * F.lit(0.004)).alias("cost"))
 
 
-@query(S.sql("announcement") + "SELECT post, count(*) AS items, count_if(status = 'confirmed') + count_if(status <> 'confirmed' AND venue IS NULL) + count_if(status <> 'confirmed' AND venue IS NOT NULL) = count(*) AS balanced FROM announcement GROUP BY 1")
-def balance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch's buckets must sum up to its input."""
-    bucket = F.when(F.col("status") == "confirmed", "kept").when(F.col("venue").isNull(), "open").otherwise("linked")
-    n = S.announcement(spark, sf_dir).withColumn("b", bucket).groupBy("post").agg(F.count("*").alias("items"), *(F.count_if(F.col("b") == b).alias(b) for b in ("kept", "open", "linked")))
-    return n.select("post", "items", (F.col("kept") + F.col("open") + F.col("linked") == F.col("items")).alias("balanced"))
-
-
-@query(S.sql("review") + f""", r AS (SELECT venue_id, review_id, review_id % 5 AS author, published, CASE WHEN review_id % 23 = 0 THEN ' ' ELSE left(text, 20) END AS text, review_id % 3 = 0 AS fresh FROM review),
+@query(S.sql("review") + f""", r AS (SELECT venue_id, review_id, review_id % 5 AS author, published, CASE WHEN review_id % 23 = 0 THEN ' ' ELSE text END AS text, review_id % 3 = 0 AS fresh FROM review),
 ok AS (SELECT *, row_number() OVER (PARTITION BY venue_id, author, published, text ORDER BY fresh, review_id) AS copy FROM r WHERE trim(coalesce(text, '')) <> '' AND (published IS NULL OR TIMESTAMP '{S.AS_OF}' - published <= INTERVAL 300 DAY)),
 n AS (SELECT *, row_number() OVER (PARTITION BY venue_id ORDER BY published DESC NULLS LAST, fresh, review_id) AS place, count(*) OVER (PARTITION BY venue_id) AS n FROM ok WHERE copy = 1)
 SELECT venue_id, count(*) AS kept, min(published) AS oldest, max(published) AS newest, max(n) > 6 AS truncated FROM n WHERE place <= 6 GROUP BY 1""")
 def review_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored and new reviews together, within a window, once each, the newest of them."""
-    rows = S.review(spark, sf_dir).select("venue_id", "review_id", (F.col("review_id") % 5).alias("author"), "published", F.when(F.col("review_id") % 23 == 0, " ").otherwise(F.left("text", F.lit(20))).alias("text"))
+    rows = S.review(spark, sf_dir).select("venue_id", "review_id", (F.col("review_id") % 5).alias("author"), "published", F.when(F.col("review_id") % 23 == 0, " ").otherwise(F.col("text")).alias("text"))
     return P.review_corpus(rows.where("review_id % 3 <> 0"), rows.where("review_id % 3 = 0"), _now(), 300, 6)
 
 
@@ -309,21 +301,21 @@ def spelled_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read(spark, sf_dir, "part").select("p_partkey", rules.canonical_spelling(raw, ["Economy", "Promo"]).alias("category"), rules.post_kind(said).alias("kind"), photo.alias("photo_id"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'bar.' || p_partkey WHEN 3 THEN 'venue_' || p_partkey END AS handle, CASE p_partkey % 6 WHEN 1 THEN 'link_shim' WHEN 2 THEN 'non_profile_path' WHEN 4 THEN 'empty' WHEN 5 THEN 'not_instagram' END AS rejected FROM part""")
+# URLs of a scheme, a host, a path and a tail.
+_SCHEMES, _HOSTS, _TAILS = ("https://", "http://", "", "HTTPS://www."), ("instagram.com", "Instagram.com", "www.instagram.com", "l.instagram.com", "example.org"), ("", "/", "/?igshid=1", "#a", "/reels/", "?hl=pt")
+URLS = "urls AS (SELECT p_partkey, ['https://', 'http://', '', 'HTTPS://www.'][p_partkey % 4 + 1] || ['instagram.com', 'Instagram.com', 'www.instagram.com', 'l.instagram.com', 'example.org'][p_partkey // 4 % 5 + 1] || '/' || CASE WHEN p_partkey % 7 = 0 THEN 'p' WHEN p_partkey % 11 = 0 THEN '' ELSE replace(upper(p_name), ' ', '_') || '.' || p_partkey END || ['', '/', '/?igshid=1', '#a', '/reels/', '?hl=pt'][p_partkey // 20 % 6 + 1] AS url FROM part)"
+
+
+@query(f"WITH {URLS}, parts AS (SELECT p_partkey, regexp_replace(lower(regexp_extract(u, '//([^/?#:]*)', 1)), '^www\\.', '') AS host, regexp_extract(u, '//[^/?#]*/+([^/?#]+)', 1) AS first FROM (SELECT p_partkey, CASE WHEN contains(url, '//') THEN url ELSE 'https://' || url END AS u FROM urls)), j AS (SELECT *, CASE WHEN host = 'l.instagram.com' THEN 'link_shim' WHEN NOT contains(host, 'instagram.com') THEN 'not_instagram' WHEN first = '' THEN 'empty' WHEN lower(first) IN ('p', 'reels') THEN 'non_profile_path' END AS rejected FROM parts) SELECT p_partkey, CASE WHEN rejected IS NULL THEN lower(first) END AS handle, rejected FROM j")
 def profile_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Handles out of URLs, or why there is none."""
     k = F.col("p_partkey")
-    url = F.when(k % 6 == 0, F.concat(F.lit("https://www.instagram.com/Bar."), k, F.lit("/?igshid=1"))).when(k % 6 == 1, "https://l.instagram.com/x").when(k % 6 == 2, "instagram.com/p/abc").when(k % 6 == 3, F.concat(F.lit(" instagram.com/venue_"), k, F.lit("#a"))).when(k % 6 == 4, "https://instagram.com/").otherwise("https://example.org/me")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    path = F.when(k % 7 == 0, "p").when(k % 11 == 0, "").otherwise(F.concat(F.replace(F.upper("p_name"), F.lit(" "), F.lit("_")), F.lit("."), k))
+    url = F.concat(pick(_SCHEMES, k % 4), pick(_HOSTS, F.floor(k / 4) % 5), F.lit("/"), path, pick(_TAILS, F.floor(k / 20) % 6))
     return S.read(spark, sf_dir, "part").withColumn("h", rules.handle_of(url)).select("p_partkey", "h.handle", "h.rejected")
 
 
-@query("WITH rule(name, config) AS (VALUES ('google', '[\"brand#9\", \"brand#10\"]'), ('crowd', '[\"ECONOMY\"]'), ('broken', '{oops'), ('hard', '[\"anvil\", \"gear\"]')) SELECT name, unnest(from_json(config, '[\"VARCHAR\"]')) AS word FROM rule WHERE json_valid(config) UNION ALL SELECT 'broken', 'default'")
-def json_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule lists out of JSON, a row for each word; what cannot be read counts as the default."""
-    rows = spark.createDataFrame([("google", '["brand#9", "brand#10"]'), ("crowd", '["ECONOMY"]'), ("broken", "{oops"), ("hard", '["anvil", "gear"]')], "name string, config string")
-    return rows.select("name", F.explode(F.coalesce(F.from_json("config", "array<string>"), F.array(F.lit("default")))).alias("word"))
-
-
 @query("SELECT p_brand AS kind, count(DISTINCT p_type) AS words, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS blob FROM part GROUP BY 1")
 def rule_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule rows put together to one blob a kind."""

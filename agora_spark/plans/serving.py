@@ -47,15 +47,6 @@ def selected_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row(asked, "ids", 2, F.count("venue_id"), F.count_if(F.col("venue_id").isNull())).unionByName(row(places.within(v, *S.HERE, 5), "radius", 10)).unionByName(row(v.where("lifecycle = 'active'"), "all", 50))
 
 
-@query("WITH base(kind, label) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in GOOGLE_MAP.items()) + "), over(kind, label) AS (VALUES ('brand#1', 'PUB'), ('brand#7', 'CLUB'), ('brand#8', NULL), (NULL, 'X')) SELECT coalesce(o.kind, b.kind) AS kind, coalesce(o.label, b.label) AS label FROM base b FULL JOIN (SELECT * FROM over WHERE kind IS NOT NULL AND label IS NOT NULL) o ON o.kind = b.kind".replace("over(kind", "own(kind").replace("FROM over", "FROM own"))
-def category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default categories with the operator's laid over; malformed entries are left out."""
-    base = spark.createDataFrame(list(GOOGLE_MAP.items()), "kind string, label string").withColumn("version", F.lit(0))
-    own = spark.createDataFrame([("brand#1", "PUB"), ("brand#7", "CLUB"), ("brand#8", None), (None, "X")], "kind string, label string")
-    own = own.where("kind IS NOT NULL AND label IS NOT NULL").withColumn("version", F.lit(1))
-    return places.keyed_latest(base, own, ["kind"], "version").select("kind", "label")
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey, 'run=' || strftime(l_shipdate, '%Y-%m-%d') AS prefix, CASE WHEN l_partkey % 3 <> 0 THEN CASE WHEN l_partkey % 2 = 0 THEN 'venue' ELSE 'promoter' END END AS kind, CASE WHEN l_partkey % 3 <> 0 THEN CASE WHEN l_partkey % 2 = 0 THEN 'v' || l_partkey ELSE 'h.' || l_suppkey END END AS value FROM lineitem")
 def run_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run, the kind of owner and the owner that a storage key names."""

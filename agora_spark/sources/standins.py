@@ -52,10 +52,11 @@ def post_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
     orders = _numbered(spark, sf_dir, "orders").withColumn("p_partkey", F.col("o_orderkey") % F.col("n_parts"))
     k = F.col("o_orderkey")
+    many = F.greatest(F.lit(40), F.floor(F.col("n_parts") / 50))  # venues
     title = F.concat("p_name", F.when(k % 5 == 0, " Show").otherwise(""), F.when(k % 7 == 0, " Live Band").otherwise(""))
     return orders.join(part, "p_partkey").select(
-        k.alias("event_id"), (F.col("o_custkey") % 40).alias("venue"), F.when(k % 13 != 0, F.col("o_orderdate") + F.make_dt_interval(hours=(k % 24).cast("int"))).alias("starts_at"), title.alias("title"), "p_name",
-        F.concat(F.lit("h"), F.col("o_custkey") % 20).alias("handle"), F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "pending").otherwise("rejected").alias("status"), F.when(k % 9 != 0, F.col("o_custkey") % 40).alias("linked_venue"),
+        k.alias("event_id"), (F.col("o_custkey") % many).alias("venue"), F.when(k % 13 != 0, F.col("o_orderdate") + F.make_dt_interval(hours=(k % 24).cast("int"))).alias("starts_at"), title.alias("title"), "p_name",
+        F.concat(F.lit("h"), F.col("o_custkey") % 20).alias("handle"), F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "pending").otherwise("rejected").alias("status"), F.when(k % 9 != 0, F.col("o_custkey") % many).alias("linked_venue"),
     )
 
 
@@ -88,10 +89,11 @@ def announcement(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     word = F.when(k % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    rows = read(spark, sf_dir, "orders").withColumn("p_partkey", k % 30).join(part, "p_partkey")
+    rows = _numbered(spark, sf_dir, "orders").withColumn("p_partkey", k % F.col("n_parts")).join(part, "p_partkey")
+    account = F.col("o_custkey") % F.greatest(F.lit(4), F.floor(F.col("n_parts") / 200))
     strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     return rows.select(
-        k.alias("event_id"), F.floor(k / 20).cast("long").alias("post"), F.when(k % 9 != 0, F.col("o_custkey") % 4).alias("venue"), F.when(k % 17 != 0, F.concat(F.lit("h"), F.col("o_custkey") % 4)).alias("handle"),
+        k.alias("event_id"), F.floor(k / 20).cast("long").alias("post"), F.when(k % 9 != 0, account).alias("venue"), F.when(k % 17 != 0, F.concat(F.lit("h"), account)).alias("handle"),
         F.when(k % 13 != 0, F.lit("2024-03-01").cast("timestamp_ntz") + F.make_dt_interval(days=(k % 7).cast("int"), hours=(k % 3 * 7).cast("int"))).alias("starts_at"), word.alias("title"),
         F.when((F.col("o_orderstatus") == "F") & (k % 4 == 0), "confirmed").otherwise("pending").alias("status"), F.when(k % 3 == 1, F.concat(F.lit("R$ "), k % 5)).when(k % 3 == 2, "R$ 20").alias("price"),
         F.when(k % 4 == 0, "").when(k % 4 > 1, F.concat(F.lit("Sala "), k % 2)).alias("place"), F.col("o_orderdate").alias("last_seen"),
@@ -102,13 +104,13 @@ def announcement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same tables for DuckDB.
 SQL = {
-    "announcement": """announcement AS (SELECT o_orderkey AS event_id, o_orderkey // 20 AS post, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey % 4 END AS venue, CASE WHEN o_orderkey % 17 <> 0 THEN 'h' || (o_custkey % 4) END AS handle,
+    "announcement": """announcement AS (SELECT o_orderkey AS event_id, o_orderkey // 20 AS post, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey % accounts END AS venue, CASE WHEN o_orderkey % 17 <> 0 THEN 'h' || (o_custkey % accounts) END AS handle,
   CASE WHEN o_orderkey % 13 <> 0 THEN TIMESTAMP '2024-03-01' + to_days((o_orderkey % 7)::INT) + to_hours((o_orderkey % 3 * 7)::INT) END AS starts_at, CASE WHEN o_orderkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS title,
   CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 = 0 THEN 'confirmed' ELSE 'pending' END AS status, CASE o_orderkey % 3 WHEN 1 THEN 'R$ ' || (o_orderkey % 5) WHEN 2 THEN 'R$ 20' END AS price,
   CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'Sala ' || (o_orderkey % 2) END AS place, o_orderdate AS last_seen,
   ['unresolved_venue', 'date_range; unresolved_venue', NULL, 'low_confidence', 'date_range; low_confidence'][o_orderkey % 5 + 1] AS reason,
   CASE o_orderkey % 6 WHEN 0 THEN ['price'] WHEN 2 THEN ['title', 'place'] WHEN 3 THEN ['venue'] WHEN 4 THEN []::VARCHAR[] END AS edited, CASE WHEN o_orderkey % 10 = 0 THEN 'menu' ELSE 'event' END AS kind
-  FROM orders JOIN part ON p_partkey = o_orderkey % 30)""",
+  FROM orders, (SELECT count(*) AS parts, greatest(4, count(*) // 200) AS accounts FROM part) JOIN part ON p_partkey = o_orderkey % parts)""",
     "venue": f"""venue AS (SELECT p_partkey AS k, 'v' || p_partkey AS venue_id, CASE WHEN p_partkey % 97 = 0 THEN '  ' ELSE p_name END AS name, upper(p_type) AS btype,
   CASE WHEN p_partkey % 7 <> 0 THEN lower(p_brand) END AS gtype, CASE WHEN p_partkey % 17 <> 0 THEN {HERE[0]}::DOUBLE + ((p_partkey * 37) % 1000 - 500) / 2000.0::DOUBLE END AS lat,
   CASE WHEN p_partkey % 17 <> 0 THEN {HERE[1]}::DOUBLE + ((p_partkey * 91) % 1000 - 500) / 2000.0::DOUBLE END AS lng, p_size % 6 AS priority, CASE WHEN p_partkey % 19 = 0 THEN 'deprecated' ELSE 'active' END AS lifecycle,
@@ -117,9 +119,9 @@ SQL = {
   CASE p_partkey % 7 WHEN 1 THEN 'PRICE_LEVEL_INEXPENSIVE' WHEN 2 THEN 'PRICE_LEVEL_EXPENSIVE' WHEN 3 THEN 'PRICE_LEVEL_FREE' END AS price_label, (p_partkey % 6)::INT AS crowd_price FROM part)""",
     "rating": "rating AS (SELECT 'v' || l_partkey AS venue_id, round(avg(l_quantity), 4) AS rating, count(*) AS reviews FROM lineitem GROUP BY 1)",
     "live": f"live AS (SELECT 'v' || p_partkey AS venue_id, ((p_partkey * 31) % 101)::INT AS busyness, CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE TIMESTAMP '{AS_OF}' - to_minutes((p_partkey % 30)::INT) END AS made FROM part WHERE p_partkey % 3 <> 0)",
-    "item": """item AS (SELECT o_orderkey AS event_id, o_custkey % 40 AS venue, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate + to_hours((o_orderkey % 24)::INT) END AS starts_at,
+    "item": """item AS (SELECT o_orderkey AS event_id, o_custkey % (SELECT greatest(40, count(*) // 50) FROM part) AS venue, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate + to_hours((o_orderkey % 24)::INT) END AS starts_at,
   p_name || CASE WHEN o_orderkey % 5 = 0 THEN ' Show' ELSE '' END || CASE WHEN o_orderkey % 7 = 0 THEN ' Live Band' ELSE '' END AS title, p_name, 'h' || (o_custkey % 20) AS handle,
-  CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey % 40 END AS linked_venue
+  CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey % (SELECT greatest(40, count(*) // 50) FROM part) END AS linked_venue
   FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part))""",
     "source": "source AS (SELECT l_orderkey AS event_id, l_orderkey * 100 + l_linenumber AS source_id, l_shipdate AS seen_at, CASE WHEN l_returnflag = 'R' THEN 'promoter' ELSE 'venue' END AS kind, 'h' || l_suppkey AS handle, l_partkey AS part, l_linenumber AS line, l_quantity::INT AS n_images FROM lineitem)",
     "caption": """caption AS (SELECT event_id, venue, handle, starts_at, 'Hoje ' || title || coalesce(' dia ' || strftime(starts_at, '%d/%m'), '') || CASE WHEN event_id % 4 = 0 THEN ' sexta 22h' ELSE '' END
