@@ -128,6 +128,20 @@ def fetch_since(newest: Column, now: Column, days: int) -> Column:
     return F.greatest(F.timestamp_micros(micros(now) - days * DAY), newest.cast("timestamp"))
 
 
+def tier_candidates(profiles: DataFrame, tiers: list[str], most: int) -> DataFrame:
+    """(venue_id, place) of the first `most` venues (the run's size) of some tiers, in order of their ids."""
+    chosen = profiles.where(F.col("tier").isin(tiers)).select("venue_id").distinct().orderBy("venue_id").limit(most)
+    return chosen.withColumn("place", F.row_number().over(Window.orderBy("venue_id")))  # no more rows than a run takes
+
+
+def all_labels(profile: Column, categories: list[str]) -> Column:
+    """map<category, labels> of a profile's JSON; a category that is missing or has no labels has an empty list."""
+    kind = "struct<" + ", ".join(f"`{c}`: struct<labels: array<string>>" for c in categories) + ">"
+    read = F.from_json(profile, kind)
+    none = F.array().cast("array<string>")
+    return F.create_map(*(x for c in categories for x in (F.lit(c), F.coalesce(read[c]["labels"], none))))
+
+
 def target_venues(venues: DataFrame, profiles: DataFrame, evidence: DataFrame, allowed: list[str], labels: list[str], least: int, cap: int) -> DataFrame:
     """(venue_id, reason, matches) of the venues to look at for events.
 

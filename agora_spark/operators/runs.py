@@ -28,8 +28,8 @@ def running_sum(df: DataFrame, value: str, *order: Column) -> DataFrame:
     return own.join(before, "_part").withColumns({"place": F.col("_place") + F.col("_rows"), "so_far": F.col("_sum") + F.col("_before")}).select(*df.columns, "place", "so_far")
 
 
-def archive_run(venues: DataFrame, done: DataFrame, budget: float, unit_price: float, rate: float, bytes_each: int = 300_000) -> DataFrame:
-    """(venue_id, place, units, cost, spent, bytes, ends_after) of the venues that a run takes before its budget is used up.
+def archive_run(venues: DataFrame, done: DataFrame, budget: Column | float, unit_price: float, rate: float, bytes_each: int = 300_000) -> DataFrame:
+    """(venue_id, place, units, cost, spent, bytes, ends_after) of the venues that a run takes before its budget (a number or a column of venues) is used up.
 
     venues: (venue_id, priority, photos), of which those in done (venue_id) need none. They come by
     priority, then id. A venue costs a request and one for each photo; the first that the budget does
@@ -105,6 +105,27 @@ def token_pairs(tokens: DataFrame, hours: int = 8) -> DataFrame:
     return near.select("venue", "event_id", "other_event_id", band(F.col("words"), F.col("other_words")).alias("band")).where("band <> 'refuse'")
 
 
+def raised_pairs(tokens: DataFrame, lineups: DataFrame, threshold: int = 2, hours: int = 8) -> DataFrame:
+    """(venue, event_id, other_event_id, band, reasons, shared): token_pairs(), and pairs that share a line-up.
+
+    lineups: (event_id, name). At least `threshold` shared names make a pair auto, whatever its titles;
+    an event without a line-up says nothing. reasons: lineup, title, or both, comma-joined.
+    """
+    bucket = F.floor(micros(F.col("starts_at")) / (12 * HOUR))
+    reach = -(-max(hours, 24) // 12)
+    at = tokens.where("starts_at IS NOT NULL").select("event_id", "venue", "starts_at").withColumn("_bucket", bucket)
+    a = at.join(lineups.where("name <> ''").select("event_id", "name").distinct(), "event_id")
+    b = a.select("venue", "name", F.col("event_id").alias("other_event_id"), F.col("starts_at").alias("other_starts_at"), F.explode(F.sequence(F.col("_bucket") - reach, F.col("_bucket") + reach)).alias("_bucket"))
+    met = a.join(b, ["venue", "_bucket", "name"]).where(F.col("event_id") < F.col("other_event_id"))
+    apart = F.abs(micros(F.col("starts_at")) - micros(F.col("other_starts_at"))) <= hours * HOUR
+    near = met.where(apart | (local_day(F.col("starts_at")) == local_day(F.col("other_starts_at"))))
+    shared = near.groupBy("venue", "event_id", "other_event_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= threshold)
+    both = token_pairs(tokens, hours).join(shared, ["venue", "event_id", "other_event_id"], "full")
+    lineup, title = F.col("shared").isNotNull(), F.coalesce(F.col("band") == "auto", F.lit(False))
+    reasons = F.concat_ws(",", F.when(lineup, "lineup"), F.when(title | ~lineup, "title"))
+    return both.select("venue", "event_id", "other_event_id", F.when(lineup | title, "auto").otherwise("suggest").alias("band"), reasons.alias("reasons"), F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
 LEDGER = "chunk long, selected long, written long, run long"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora_spark.functions import told
@@ -42,9 +42,10 @@ def dedup_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARCHIVE = "eligible AS (SELECT venue_id, k, priority, (k * 7 % 9)::INT AS photos FROM venue WHERE lifecycle = 'active' AND gtype IS NOT NULL), waiting AS (SELECT * FROM eligible WHERE k % 4 <> 0), summed AS (SELECT venue_id, row_number() OVER w AS place, photos + 1 AS units, sum(photos + 1) OVER w AS so_far FROM waiting WINDOW w AS (ORDER BY priority, venue_id ROWS UNBOUNDED PRECEDING)), budget AS (SELECT count(*) * 0.01 AS most FROM part)"
 
 
-def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, float]:
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
     venues = S.venue(spark, sf_dir).where("lifecycle = 'active' AND gtype IS NOT NULL").select("venue_id", "k", "priority", (F.col("k") * 7 % 9).cast("int").alias("photos"))
-    return venues.drop("k"), venues.where("k % 4 = 0"), S.read(spark, sf_dir, "part").count() * 0.01  # the budget grows with the catalog
+    budget = S.read(spark, sf_dir, "part").agg((F.count("*") * 0.01).alias("budget"))  # it grows with the catalog
+    return venues.drop("k").crossJoin(F.broadcast(budget)), venues.where("k % 4 = 0"), F.col("budget")
 
 
 @query(S.sql("venue") + f", {ARCHIVE} SELECT venue_id, place, units, round(units * 0.007, 6) AS cost, round(so_far * 0.007, 6) AS spent, units * 300000 AS bytes, round(so_far / 5, 3) AS ends_after FROM summed, budget WHERE round(so_far * 0.007, 6) <= most")

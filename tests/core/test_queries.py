@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from agora_spark.plans import catalog, crawling, dating, linking, merging, projecting, running, serving, upkeep  # noqa: F401  they add their queries to the catalog
+from agora_spark.plans import catalog, crawling, dating, linking, lookups, merging, projecting, running, serving, upkeep  # noqa: F401  they add their queries to the catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
