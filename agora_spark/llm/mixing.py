@@ -113,7 +113,7 @@ def mix(docs: DataFrame, targets: Targets | None = None, fraction: float = 0.5,
 
 
 def oracle(targets: Targets | None = None, fraction: float = 0.5, seed: int = 7, rounds: int = 12) -> str:
-    """DuckDB SQL for mix() over documents, without the copies."""
+    """DuckDB SQL for mix() over documents."""
     dims = (targets or Targets()).dimensions()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     level = {name: "CASE " + " ".join(f"WHEN {value} = {quote(x)} THEN {quote(x)}" for x in levels[:-1]) + " ELSE 'other' END" for (name, levels, _), value in zip(dims, ("source", "lang", "topic_value"))}
@@ -133,10 +133,11 @@ def oracle(targets: Targets | None = None, fraction: float = 0.5, seed: int = 7,
             parts.append(f"w{k} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, n, CASE WHEN m > 0 THEN f * (share / m) ELSE f END AS f FROM (SELECT *, sum(n * f) OVER (PARTITION BY {name}) AS m FROM w{k - 1}) w JOIN t_{name} USING ({name}))")
     parts += [
         f"o AS (SELECT *, row_number() OVER (ORDER BY f DESC, n) AS k, coalesce(sum(n) OVER (ORDER BY f DESC, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sure, sum(n * f) OVER (ORDER BY f DESC, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w{k})",
-        f"z AS (SELECT coalesce((SELECT ((SELECT sum(n) FROM w0) * {fraction} - sure) / rest FROM o WHERE rest > 0 AND f * ((SELECT sum(n) FROM w0) * {fraction} - sure) / rest <= 1 ORDER BY k LIMIT 1), 1e18) AS scale)",
+        f"z AS (SELECT coalesce((SELECT ((SELECT sum(n) FROM w0) * {fraction} - sure) / rest FROM o WHERE rest > 0 AND f * ((SELECT sum(n) FROM w0) * {fraction} - sure) / rest <= 1 ORDER BY k LIMIT 1), 1e18) AS scale, (SELECT CASE WHEN sum(n * f) > 0 THEN sum(n) * {fraction} / sum(n * f) ELSE 0 END FROM w{k}) AS share)",
     ]
     return f"""WITH {', '.join(parts)},
-r AS (SELECT doc_id, n_tokens, d.source AS source_level, d.lang AS lang_level, d.topic, coalesce(f, 1.0) AS weight, coalesce(round(least(1.0, f * greatest((SELECT scale FROM z), 0.0)), 9), 1.0) AS probability
+r AS (SELECT doc_id, n_tokens, d.source AS source_level, d.lang AS lang_level, d.topic, coalesce(f, 1.0) AS weight, coalesce(round(least(1.0, f * greatest((SELECT scale FROM z), 0.0)), 9), 1.0) AS probability, round(f * (SELECT share FROM z), 9) AS expected,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}'), 1, 8))::BIGINT / 4294967296.0 AS drawn
   FROM d LEFT JOIN w{k} w ON d.source = w.source AND d.lang = w.lang AND d.topic = w.topic)
 SELECT doc_id, n_tokens, source_level, lang_level, topic, round(weight, 6) AS weight, round(probability, 6) AS probability,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}'), 1, 8))::BIGINT / 4294967296.0 < probability AS kept FROM r"""
+  drawn < probability AS kept, CASE WHEN n_tokens > 0 THEN floor(expected)::BIGINT + (drawn < expected - floor(expected))::BIGINT ELSE (drawn < probability)::BIGINT END AS copies FROM r"""

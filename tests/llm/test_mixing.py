@@ -20,7 +20,7 @@ def test_query_equals_sql(spark):
     assert len(rows) == len(want)
     for r in rows:
         w = want[r.doc_id]
-        assert (r.n_tokens, r.source_level, r.lang_level, r.topic, r.kept) == (w[1], w[2], w[3], w[4], w[7])
+        assert (r.n_tokens, r.source_level, r.lang_level, r.topic, r.kept, r.copies) == (w[1], w[2], w[3], w[4], w[7], w[8])
         assert math.isclose(r.weight, w[5], abs_tol=2e-6) and math.isclose(r.probability, w[6], abs_tol=2e-6)
     assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
 
