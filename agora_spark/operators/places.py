@@ -108,6 +108,20 @@ def keyed_latest(base: DataFrame, delta: DataFrame, keys: list[str], version: st
     return best.select(*(F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in base.columns))
 
 
+def upsert_given(base: DataFrame, delta: DataFrame, keys: list[str], always: list[str], promoted: dict[str, Column]) -> DataFrame:
+    """Upsert of which a row may give only some columns: delta has an array `given` of the promoted columns that it sets.
+
+    The columns in always come from delta; a promoted one that is given does, too, null or not; one that
+    is not keeps its stored value, or gets its default in a new row. Each key is once in either table.
+    """
+    old = base.select(*keys, F.struct(*always, *promoted).alias("_b"))
+    new = delta.select(*keys, F.struct(*always, *promoted, "given").alias("_d"))
+    both = old.join(new, keys, "full")
+    there, told = F.col("_b").isNotNull(), F.col("_d").isNotNull()
+    kept = {c: F.when(told & F.array_contains("_d.given", c), F.col(f"_d.{c}")).when(there, F.col(f"_b.{c}")).otherwise(default) for c, default in promoted.items()}
+    return both.select(*keys, *(F.when(told, F.col(f"_d.{c}")).otherwise(F.col(f"_b.{c}")).alias(c) for c in always), *(v.alias(c) for c, v in kept.items()))
+
+
 def first_n_by(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     """The first n rows of each key in an order that has no ties."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora_spark.operators import happenings, posts
+from agora_spark.operators import happenings, places, posts
 from agora_spark.operators import resolution as R
 from agora_spark.operators import runs
 from agora_spark.plans.catalog import GENERIC, JUDGED, STOP, WORDS, _km, query
+from agora_spark.sources import lake
 from agora_spark.sources import standins as S
 
 
@@ -72,3 +73,39 @@ def review_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = S.review(spark, sf_dir).groupBy("venue_id").agg(F.max("published").alias("newest"))
     since = posts.fetch_since(F.col("newest"), F.lit(S.AS_OF).cast("timestamp"), 180)
     return S.venue(spark, sf_dir).select("venue_id").join(newest, "venue_id", "left").select("venue_id", F.date_format(since, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("since"))
+
+
+@query(S.sql("venue") + """, base AS (SELECT venue_id, unnest(range(3)) AS day, k FROM venue WHERE k % 4 <> 0), b AS (SELECT venue_id, day, 'p' || k AS payload, 't' || (k % 5) AS kind, k % 2 = 0 AS locked FROM base),
+d AS (SELECT venue_id, day, 'n' || k AS payload, CASE WHEN k % 5 <> 0 THEN 'u' || (k % 7) END AS kind, k % 3 = 0 AS locked, k FROM (SELECT venue_id, k, unnest(range(1, 4)) AS day FROM venue WHERE k % 3 <> 0))
+SELECT coalesce(d.venue_id, b.venue_id) AS venue_id, coalesce(d.day, b.day)::INT AS day, coalesce(d.payload, b.payload) AS payload, CASE WHEN d.k % 2 = 0 THEN d.kind ELSE b.kind END AS kind, CASE WHEN d.k % 4 < 2 THEN d.locked WHEN b.venue_id IS NOT NULL THEN b.locked ELSE false END AS locked FROM b FULL JOIN d ON b.venue_id = d.venue_id AND b.day = d.day""")
+def enrichment_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-07 and SNK-08: rows of a composite key; what a caller does not give of the promoted columns stays, or is the default."""
+    k, v = F.col("k"), S.venue(spark, sf_dir)
+    days = lambda a, b: v.select("venue_id", "k", F.explode(F.sequence(F.lit(a), F.lit(b))).alias("day"))
+    base = days(0, 2).where("k % 4 <> 0").select("venue_id", "day", F.concat(F.lit("p"), k).alias("payload"), F.concat(F.lit("t"), k % 5).alias("kind"), (k % 2 == 0).alias("locked"))
+    given = F.array_compact(F.array(F.when(k % 2 == 0, "kind"), F.when(k % 4 < 2, "locked")))
+    delta = days(1, 3).where("k % 3 <> 0").select("venue_id", "day", F.concat(F.lit("n"), k).alias("payload"), F.when(k % 5 != 0, F.concat(F.lit("u"), k % 7)).alias("kind"), (k % 3 == 0).alias("locked"), given.alias("given"))
+    return places.upsert_given(base, delta, ["venue_id", "day"], ["payload"], {"kind": F.lit(None).cast("string"), "locked": F.lit(False)})
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ingested_at_utc, strftime(ts - INTERVAL 3 HOUR, '%Y-%m-%d') AS recife_date, hour(ts - INTERVAL 3 HOUR)::INT AS recife_hour, CASE WHEN event_id % 5 = 0 THEN 'error' ELSE 'success' END AS outcome, CASE WHEN event_id % 5 = 0 THEN 500 ELSE 200 END AS http_status, 'v' || user_id AS venue_id, CASE WHEN event_id % 2 = 0 THEN '***REDACTED***' ELSE 'u' || user_id END AS who, event_id::VARCHAR AS record_id, CASE WHEN event_id % 5 = 0 THEN 'timeout' END AS error FROM events""")
+def lake_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-02: the fields of a record that depend on the event."""
+    k = F.col("event_id")
+    failed = k % 5 == 0
+    params = F.create_map(F.lit("token"), F.lit("x"), F.lit("who"), F.when(k % 2 == 0, "pub_0123456789abcdef0").otherwise(F.concat(F.lit("u"), "user_id")))
+    rows = lake.record(S.read(spark, sf_dir, "events"), "events", "app", F.col("props"), F.col("ts"), params, k.cast("string"), outcome=F.when(failed, "error").otherwise("success"), http_status=F.when(failed, 500).otherwise(200), venue_id=F.concat(F.lit("v"), "user_id"), error=F.when(failed, "timeout"))
+    return rows.select("ingested_at_utc", "recife_date", "recife_hour", "outcome", "http_status", "venue_id", F.col("request")["who"].alias("who"), "record_id", "error")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN event_id % 3 // 2 + 1 END::INT AS schema_version, CASE WHEN event_id % 97 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 97 <> 0 AND event_id % 89 <> 0 THEN round(value, 6) END AS amount, CASE WHEN event_id % 97 <> 0 THEN (event_id % 7)::VARCHAR END AS extra, CASE WHEN event_id % 97 = 0 THEN 'line' WHEN event_id % 89 = 0 THEN 'amount' END AS bad FROM events""")
+def lake_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of two versions read as one: the older ones have all in their payload, newer ones have columns promoted; bad ones are kept and named."""
+    k, amount = F.col("event_id"), F.when(F.col("event_id") % 89 == 0, "much").otherwise(F.col("value").cast("string"))
+    extra = (k % 7).cast("string").alias("extra")
+    old = F.struct(F.lit(1).alias("schema_version"), F.struct(F.col("event_type").alias("type"), amount.alias("amount"), extra).alias("payload"))
+    new = F.struct(F.lit(2).alias("schema_version"), F.col("event_type").alias("kind"), amount.alias("amount"), F.struct(extra).alias("payload"))
+    line = F.when(k % 3 == 2, F.to_json(new)).otherwise(F.to_json(old))
+    lines = S.read(spark, sf_dir, "events").select("event_id", F.when(k % 97 == 0, F.left(line, F.char_length(line) - 3)).otherwise(line).alias("value"))
+    rows = lake.promoted(lines, {"kind": "string", "amount": "double"}, {"kind": "type"})
+    return rows.select("event_id", "schema_version", "kind", F.round("amount", 6).alias("amount"), F.col("rest")["extra"].alias("extra"), F.array_join("bad", ",").alias("bad"))
