@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora_spark.functions.text import fold_text, mentions, names_match, normalize_handle, normalize_title
+from agora_spark.operators.graph import cut
 from agora_spark.operators.places import near_pairs
 
 #: Fixed value: what a mention in a text looks like; no word character or dot stands before it.
@@ -118,3 +119,39 @@ def handle_confidence(provenance: Column, exists: Column, similarity: Column, ac
     score = F.least(F.lit(1.0), provenance + F.when(exists == "present", bonus).otherwise(0.0) + weight * similarity)
     bar = F.when(exists.isin("present", "absent"), accept).otherwise(max(0.0, accept - bonus))
     return F.struct(F.round(score, 6).alias("confidence"), bar.alias("threshold"), (F.round(score, 6) >= bar).alias("accepted"))
+
+
+def cascade(ids: DataFrame, tiers: list[DataFrame], verdicts: DataFrame, accept: float = 0.75, judge_floor: float = 0.45, low: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """((venue_id, handle, tier, confidence, status), (tier, asked, candidates, judged, settled)): handles of venues, tier after tier in order of cost.
+
+    Each tier (venue_id, place, handle, provenance, exists, similarity) is read only for venues that the
+    tiers before have left open, and goes through its candidates in order until one reaches its bar;
+    profiles known not to exist do not count. A candidate between judge_floor and its bar takes the
+    verdict on it (venue_id, handle, match, confidence, mode), if there is one: text-only verdicts count
+    0.8 at most, and one against it leaves 0.4 at most. The best so far (ties: the earlier) settles a
+    venue if it reaches its bar; at the end it is found, of low_confidence, or not_found.
+    """
+    open_, best, told, counts = ids.select("venue_id").distinct(), None, None, None
+    judged_of = verdicts.select("venue_id", "handle", "match", F.col("confidence").alias("_said"), "mode")
+    for number, tier in enumerate(tiers):
+        rows = tier.join(open_, "venue_id", "left_semi").where("exists <> 'absent'").withColumn("_c", handle_confidence(F.col("provenance"), F.col("exists"), F.col("similarity"), accept))
+        met = rows.join(judged_of, ["venue_id", "handle"], "left")
+        doubtful = (F.col("_c.confidence") >= judge_floor) & ~F.col("_c.accepted") & F.col("match").isNotNull()
+        ruled = F.when(F.col("match"), F.col("_said")).otherwise(F.least(F.col("_c.confidence"), F.lit(0.4)))
+        ruled = F.when(F.col("mode") == "text_only", F.least(ruled, F.lit(0.8))).otherwise(ruled)
+        scored = met.select("venue_id", "place", "handle", F.when(doubtful, F.round(ruled, 6)).otherwise(F.col("_c.confidence")).alias("confidence"), F.col("_c.threshold").alias("bar"), doubtful.alias("judged"))
+        stops = scored.groupBy("venue_id").agg(F.min(F.when(F.col("confidence") >= F.col("bar"), F.col("place"))).alias("_stop"))
+        seen = cut(scored.join(stops, "venue_id").where("_stop IS NULL OR place <= _stop"))
+        mine = seen.groupBy("venue_id").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), F.lit(number).alias("tier"), "place", "handle", "bar")).alias("m"))
+        both = mine if best is None else best.unionByName(mine).groupBy("venue_id").agg(F.min("m").alias("m"))
+        both = cut(both)
+        settled = cut(both.where(-F.col("m.minus") >= F.col("m.bar")))
+        one = open_.agg(F.count("*").alias("asked")).crossJoin(seen.agg(F.count("*").alias("candidates"), F.count_if("judged").alias("judged"))).crossJoin(settled.agg(F.count("*").alias("settled")))  # one row each
+        counts = one.withColumn("tier", F.lit(number)) if counts is None else counts.unionByName(one.withColumn("tier", F.lit(number)))
+        told = settled if told is None else told.unionByName(settled)
+        open_, best = cut(open_.join(settled.select("venue_id"), "venue_id", "left_anti")), both.join(settled.select("venue_id"), "venue_id", "left_anti")
+    left = told if best is None else told.unionByName(best)
+    known = left.select("venue_id", F.col("m.handle").alias("handle"), F.col("m.tier").alias("tier"), (-F.col("m.minus")).alias("confidence"), F.col("m.bar").alias("_bar"))
+    every = ids.select("venue_id").distinct().join(known, "venue_id", "left")
+    status = F.when(F.col("confidence") >= F.col("_bar"), "found").when(F.col("confidence") >= low, "low_confidence").otherwise("not_found")
+    return every.select("venue_id", "handle", "tier", "confidence", status.alias("status")), counts.select("tier", "asked", "candidates", "judged", "settled")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agora_spark.functions import dates, rules, text
@@ -204,9 +204,11 @@ def profile_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(S.sql("venue", "rating") + f", q AS (SELECT greatest(70 - 15 - (SELECT count(*) FROM region), 0) AS k) SELECT venue_id, priority, reviews, rating FROM venue LEFT JOIN rating USING (venue_id) WHERE lifecycle = 'active' AND venue_source <> 'google_only' {TOP.replace('LIMIT 40', 'LIMIT (SELECT k FROM q)')}")
 def refresh_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many of the most urgent venues as the quota leaves after the reserve and what is used."""
-    used = S.read(spark, sf_dir, "region").count()
+    left = S.read(spark, sf_dir, "region").agg(F.greatest(F.lit(70 - 15) - F.count("*"), F.lit(0)).alias("left"))
     rows = S.venue(spark, sf_dir).where("lifecycle = 'active' AND venue_source <> 'google_only'")
-    return _top(rows.join(S.rating(spark, sf_dir), "venue_id", "left"), max(70 - 15 - used, 0))
+    top = _top(rows.join(S.rating(spark, sf_dir), "venue_id", "left"), 70 - 15)  # no more than that can be left
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy("priority", F.desc_nulls_last("reviews"), F.desc_nulls_last("rating"), "venue_id")))
+    return placed.crossJoin(F.broadcast(left)).where("place <= left").select(*top.columns)
 
 
 @query(S.sql("venue", "rating") + f", {DECIDED} SELECT venue_id, priority, reviews, rating FROM decided LEFT JOIN rating USING (venue_id) WHERE lifecycle = 'active' AND (why IS NULL OR sure = 'low') AND {INSIDE} AND category <> 'RESTAURANT' {TOP}")

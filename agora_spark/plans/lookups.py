@@ -109,3 +109,39 @@ def lake_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = S.read(spark, sf_dir, "events").select("event_id", F.when(k % 97 == 0, F.left(line, F.char_length(line) - 3)).otherwise(line).alias("value"))
     rows = lake.promoted(lines, {"kind": "string", "amount": "double"}, {"kind": "type"})
     return rows.select("event_id", "schema_version", "kind", F.round("amount", 6).alias("amount"), F.col("rest")["extra"].alias("extra"), F.array_join("bad", ",").alias("bad"))
+
+
+TIER_SQL = """cand AS (SELECT venue_id, k, t, p AS place, 'h' || t || p || '_' || (k % 50) AS handle, [0.75, 0.4, 0.2][t + 1]::DOUBLE AS provenance, ['present', 'unknown', 'absent', 'present'][(k + 2 * t + p) % 4 + 1] AS found, ((k * 13 + t * 7 + p * 29) % 101) / 100.0::DOUBLE AS sim FROM venue, range(3) a(t), range(2) b(p) WHERE (k + t + p) % 5 <> 0),
+plain AS (SELECT *, round(least(1.0, provenance + CASE WHEN found = 'present' THEN 0.15 ELSE 0 END + 0.4 * sim), 6) AS raw, CASE WHEN found = 'unknown' THEN 0.6 ELSE 0.75 END AS bar FROM cand WHERE found <> 'absent'),
+scored AS (SELECT *, raw >= 0.45 AND raw < bar AND k % 3 <> 0 AS judged, CASE WHEN raw >= 0.45 AND raw < bar AND k % 3 <> 0 THEN round(least(CASE WHEN k % 2 = 0 THEN 0.5 + (k % 50) / 100.0 ELSE least(raw, 0.4) END, CASE WHEN k % 4 < 2 THEN 0.8 ELSE 1.0 END), 6) ELSE raw END::DOUBLE AS confidence FROM plain),
+seen AS (SELECT * FROM (SELECT *, min(place) FILTER (confidence >= bar) OVER (PARTITION BY venue_id, t) AS stop FROM scored) WHERE stop IS NULL OR place <= stop),
+tier_best AS (SELECT venue_id, t, min(struct_pack(m := -confidence, t := t, p := place, h := handle, b := bar)) AS m FROM seen GROUP BY ALL),
+run AS (SELECT venue_id, t, min(m) OVER (PARTITION BY venue_id ORDER BY t) AS m FROM tier_best), stops AS (SELECT venue_id, min(t) AS stop FROM run WHERE -m.m >= m.b GROUP BY 1),
+last AS (SELECT r.venue_id, arg_max(m, r.t) AS m FROM run r LEFT JOIN stops s USING (venue_id) WHERE stop IS NULL OR r.t <= stop GROUP BY 1)"""
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k, venues = F.col("k"), S.venue(spark, sf_dir).select("venue_id", "k")
+    tiers = []
+    for t, provenance in enumerate((0.75, 0.4, 0.2)):
+        p = F.col("place")
+        rows = venues.withColumn("place", F.explode(F.array(F.lit(0), F.lit(1)))).where((k + t + p) % 5 != 0)
+        found = F.get(F.array(*map(F.lit, ("present", "unknown", "absent", "present"))), ((k + 2 * t + p) % 4).cast("int"))
+        tiers.append(rows.select("venue_id", "place", F.concat(F.lit(f"h{t}"), p, F.lit("_"), k % 50).alias("handle"), F.lit(provenance).alias("provenance"), found.alias("exists"), ((k * 13 + t * 7 + p * 29) % 101 / 100).alias("similarity")))
+    said = None
+    for tier in tiers:
+        rows = tier.join(venues, "venue_id").where("k % 3 <> 0").select("venue_id", "handle", (k % 2 == 0).alias("match"), (0.5 + k % 50 / 100).alias("confidence"), F.when(k % 4 < 2, "text_only").otherwise("multimodal").alias("mode"))
+        said = rows if said is None else said.unionByName(rows)
+    return R.cascade(venues, tiers, said)
+
+
+@query(S.sql("venue") + f", {TIER_SQL} SELECT venue_id, m.h AS handle, m.t::INT AS tier, -m.m AS confidence, CASE WHEN -m.m >= m.b THEN 'found' WHEN -m.m >= 0.5 THEN 'low_confidence' ELSE 'not_found' END AS status FROM venue LEFT JOIN last USING (venue_id)")
+def judged_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CMP-02 with its judge: tiers of candidates in order of cost, each only for venues that are still open."""
+    return _cascade(spark, sf_dir)[0]
+
+
+@query(S.sql("venue") + f", {TIER_SQL} SELECT t::INT AS tier, (SELECT count(*) FROM venue LEFT JOIN stops USING (venue_id) WHERE stop IS NULL OR stop >= t) AS asked, (SELECT count(*) FROM seen LEFT JOIN stops USING (venue_id) WHERE seen.t = a.t AND (stops.stop IS NULL OR stops.stop >= a.t)) AS candidates, (SELECT count(*) FROM seen LEFT JOIN stops USING (venue_id) WHERE judged AND seen.t = a.t AND (stops.stop IS NULL OR stops.stop >= a.t)) AS judged, (SELECT count(*) FROM stops WHERE stop = a.t) AS settled FROM range(3) a(t)")
+def cascade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many venues each tier was asked for, how many candidates it brought and had judged, and how many it settled."""
+    return _cascade(spark, sf_dir)[1]
