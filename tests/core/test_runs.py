@@ -73,3 +73,17 @@ def test_a_chunk_that_does_not_add_up_fails(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(runs, "todo", lambda d, f: real(d, f).withColumn("chunk", F.when(F.rand() < 2, F.monotonically_increasing_id() * 0 + F.when(F.spark_partition_id() < 0, 0).otherwise(F.unix_micros(F.current_timestamp())))))
     with pytest.raises(PySparkException, match="does not add up"):  # each reading gives other chunks
         runs.repair(f"file://{tmp_path}/repair", decided)
+
+
+def test_the_cascade_asks_a_tier_only_for_what_is_open(spark):
+    from agora_spark.operators import resolution
+
+    tier = "venue_id string, place int, handle string, provenance double, exists string, similarity double"
+    first = spark.createDataFrame([("a", 0, "a1", 0.75, "present", 0.5), ("a", 1, "a2", 0.75, "present", 0.9), ("b", 0, "b1", 0.4, "present", 0.0), ("c", 0, "c1", 0.9, "absent", 1.0), ("d", 0, "d1", 0.4, "present", 0.2)], tier)
+    second = spark.createDataFrame([("a", 0, "a9", 0.9, "present", 1.0), ("b", 0, "b2", 0.4, "unknown", 0.5), ("d", 0, "d2", 0.2, "present", 0.0)], tier)
+    verdicts = spark.createDataFrame([("d", "d1", True, 0.95, "text_only"), ("b", "b1", False, 0.9, "multimodal")], "venue_id string, handle string, match boolean, confidence double, mode string")
+    ids = spark.createDataFrame([(v,) for v in "abce"] + [("d",)], "venue_id string")
+    found, counts = resolution.cascade(ids, [first, second], verdicts)
+    got = {r.venue_id: (r.handle, r.tier, r.confidence, r.status) for r in found.collect()}
+    assert got == {"a": ("a1", 0, 1.0, "found"), "b": ("b2", 1, 0.6, "found"), "c": (None, None, None, "not_found"), "d": ("d1", 0, 0.8, "found"), "e": (None, None, None, "not_found")}
+    assert sorted(map(tuple, counts.collect())) == [(0, 5, 3, 2, 2), (1, 3, 1, 0, 1)]
