@@ -18,6 +18,7 @@ empty tables. Columns other than id and text are passed through under their name
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ ODD = 0x9E3779B97F4A7C15
 
 
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    """A line in lower case with single blanks; most lines have no others, which costs less to see than to mend."""
+    low = line.lower()
+    return low if "  " not in line and line.isprintable() and line[:1] != " " and line[-1:] != " " else " ".join(low.split())
 
 
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,9 +47,11 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = h[: len(h) - width] * np.uint64(power) + h[width:] if len(h) > width else h[:0]
         width, power = 2 * width, power * power % (1 << 64)
     count = np.maximum(length - SHINGLE + 1, 1)
-    begin = np.cumsum(length) - length
-    at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    out = h[np.minimum(at, len(h) - 1)] if len(h) else np.zeros(len(at), np.uint64)
+    kind = np.int32 if len(points) < 1 << 30 else np.int64
+    skipped = np.cumsum(length) - length - (np.cumsum(count) - count)
+    at = np.repeat(skipped.astype(kind), count)
+    at += np.arange(len(at), dtype=kind)
+    out = h.take(at, mode="clip") if len(h) else np.zeros(len(at), np.uint64)
     short = np.flatnonzero(length < SHINGLE)
     if len(short):
         out[(np.cumsum(count) - count)[short]] = [digest(lines[k].encode("utf-8", "surrogatepass")) for k in short.tolist()]
@@ -62,24 +67,30 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
+@lru_cache
+def _factors(seed: int) -> np.ndarray:
+    """For each row of each band an odd factor, which puts hashes in another order."""
+    return np.random.default_rng(seed).integers(0, 1 << 32, (BANDS, ROWS), np.uint32) | np.uint32(1)
+
+
 def signatures(lines: list[str], seed: int = 5) -> np.ndarray:
     """(lines, BANDS): the bands' hashes."""
     h, count = shingles(lines)
     first = np.cumsum(count) - count
     low = (h >> np.uint64(32)).astype(np.uint32)
-    rng = np.random.default_rng(seed)
+    turned = np.empty_like(low)
     out = np.empty((len(lines), BANDS), np.uint64)
-    for band in range(BANDS):
+    for band, factors in enumerate(_factors(seed)):
         key = np.full(len(lines), band + 1, np.uint64)
-        for _ in range(ROWS):
-            a, b = rng.integers(0, 1 << 32, 2, np.uint32)
-            key = _mix(key * np.uint64(ODD) + np.minimum.reduceat(low * (a | np.uint32(1)) ^ b, first))
-        out[:, band] = key
+        for factor in factors:
+            np.multiply(low, factor, out=turned)
+            key = key * np.uint64(ODD) + np.minimum.reduceat(turned, first)
+        out[:, band] = _mix(key)
     return out
 
 
-def _pack(items: list, most: int = 1 << 18) -> Iterator[list]:
-    """Runs of (node, line) of about `most` characters."""
+def _pack(items: list, most: int = 1 << 17) -> Iterator[list]:
+    """Runs of (node, line) of about `most` characters, whose hashes fit in a core's cache."""
     held, size = [], 0
     for item in items:
         held.append(item)
@@ -106,7 +117,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
                 for doc, key, t in zip(*(c.to_pylist() for c in batch.slice(a, 500).columns)):
                     before = len(places)
                     for k, raw in enumerate(t.split("\n")):
-                        if line := " ".join(raw.lower().split()):
+                        if line := normal(raw):
                             node, data = known.get(line), None
                             if node is None:
                                 node, data = digest(line.encode("utf-8", "surrogatepass")), line

@@ -135,11 +135,12 @@ def _runs(batches: Iterator[pa.RecordBatch], decode: Decode, pivot_decode: Decod
         p, kind = (batch.column(k).to_pylist() for k in range(2))
         u, c, cp = (batch.column(k).to_numpy() for k in (2, 3, 4))
         data, at = batch.column(5), 0
-        lone = np.flatnonzero(np.array(kind))
-        sets = dict(zip(lone.tolist(), decode(data.take(pa.array(lone))) if len(lone) else ()))
+        sets: dict[int, np.ndarray] = {}
+        for places, read in ((np.flatnonzero(np.array(kind)), decode), (np.flatnonzero(np.array(kind) == 0), pivot_decode)):
+            sets.update(zip(places.tolist(), read(data.take(pa.array(places))) if len(places) else ()))
         while at < len(p):
             if kind[at] == 0:
-                (pivot,), streams, first = pivot_decode(data.slice(at, 1)), int(cp[at]), True
+                pivot, streams, first = sets[at], int(cp[at]), True
                 at += 1
                 continue
             end = at
