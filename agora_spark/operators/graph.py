@@ -40,6 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """cut(), for a table that grows with the input: joins shuffle it. By its size as packed on disk it would be broadcast, many times larger, through the driver."""
+    written = cut(df)
+    out = written.hint("merge")
+    out._agora_path = written._agora_path
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of cut() that nothing will read again."""
     for df in tables:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from agora_spark.operators import happenings
 from agora_spark.operators import merging as M
-from agora_spark.operators.graph import cut, drop
+from agora_spark.operators.graph import drop, held
 from agora_spark.streaming import snapshots
 
 EVENT = "event_id long, post long, venue long, handle string, starts_at timestamp_ntz, title string, status string, price string, place string, last_seen timestamp_ntz, reason string, edited array<string>, kind string"
@@ -38,17 +38,17 @@ def reconciled(events: DataFrame, prepared: DataFrame) -> tuple[DataFrame, DataF
     """
     key = M.source_key(F.col("title"), F.col("starts_at"))
     told = prepared.select("post").distinct()
-    of_posts = events.join(told, "post", "left_semi")
-    outcome = cut(M.reconcile(of_posts, prepared))
+    of_posts = events.join(told, "post", "left_semi").hint("merge")
+    outcome = held(M.reconcile(of_posts, prepared))
     old = of_posts.withColumn("_key", key).select("post", "_key", "event_id").join(outcome.select("event_id", "outcome"), "event_id")
     new = prepared.withColumn("_key", key)
     first = new.groupBy("post", "_key").agg(F.min("event_id").alias("_new"))
     kept = old.where("outcome = 'updated'").join(first, ["post", "_key"]).select("event_id", "_new")
-    lone = first.join(old.select("post", "_key"), ["post", "_key"], "left_anti")
+    lone = first.join(old.select("post", "_key"), ["post", "_key"], "left_anti").hint("merge")
     paired = old.where("outcome = 'paired'").select("event_id", "post").join(lone, "post").select("event_id", "_new")
     matched = kept.unionByName(paired)
     readings = new.select(F.col("event_id").alias("_new"), F.col("last_seen").alias("new_seen"), *(F.col(c).alias(f"new_{c}") for c in READ))
-    both = cut(events.join(matched, "event_id").join(readings, "_new"))
+    both = held(events.join(matched, "event_id").join(readings, "_new"))
     guarded = M.is_protected(F.col("status"))
     sure = both.where(guarded).select("event_id", "edited", *(F.col(c).alias(f"old_{c}") for c in READ), *(f"new_{c}" for c in READ))
     allowed = M.protected_fields(sure.withColumn("edited", F.coalesce("edited", F.lit(READ))), READ)
@@ -58,7 +58,7 @@ def reconciled(events: DataFrame, prepared: DataFrame) -> tuple[DataFrame, DataF
     made = outcome.where("outcome = 'inserted'").select("event_id").join(prepared, "event_id").withColumn("status", F.lit("pending")).withColumn("edited", F.lit(None).cast("array<string>")).select(*COLUMNS)
     dropped = outcome.where("outcome = 'superseded'").select("event_id", F.col("successor").alias("into"), F.lit("superseded").alias("how"))
     rest = events.join(dropped.select("event_id").unionByName(matched.select("event_id")), "event_id", "left_anti").select(*COLUMNS)
-    after = cut(rest.unionByName(changed[0]).unionByName(changed[1]).unionByName(made))
+    after = held(rest.unionByName(changed[0]).unionByName(changed[1]).unionByName(made))
     return after, dropped, matched.select("event_id").unionByName(made.select("event_id"))
 
 
@@ -68,34 +68,34 @@ def collapsed(events: DataFrame, touched: DataFrame, kind: str) -> tuple[DataFra
     keys = DISH if dish else SHOW
     rows = M.identified(events.where("kind = 'menu'" if dish else "kind <> 'menu' OR kind IS NULL"), *(["venue"] if dish else ["venue", "day"]))
     groups = rows.join(touched, "event_id", "left_semi").select(*keys).distinct()
-    rows = rows.join(groups, keys, "left_semi")
-    merged = cut(M.merged_fields(rows, keys, FIELDS).select("canonical", *FIELDS, "reason"))
+    rows = rows.join(groups, keys, "left_semi").hint("merge")
+    merged = held(M.merged_fields(rows, keys, FIELDS).select("canonical", *FIELDS, "reason"))
     heads = M.canonical_of(rows, keys).where("n > 1 AND canonical IS NOT NULL")
-    gone = cut(rows.join(heads, keys).where("event_id <> canonical").select("event_id", F.col("canonical").alias("into"), F.lit("identity").alias("how")))
+    gone = held(rows.join(heads, keys).where("event_id <> canonical").select("event_id", F.col("canonical").alias("into"), F.lit("identity").alias("how")))
     seen = gone.join(events.select("event_id", "last_seen"), "event_id").groupBy(F.col("into").alias("canonical")).agg(F.max("last_seen").alias("seen"))
     head = events.drop(*FIELDS, "reason").join(merged.join(seen, "canonical"), F.col("event_id") == F.col("canonical")).withColumn("last_seen", F.greatest("last_seen", "seen")).select(*COLUMNS)
     rest = events.join(gone.select("event_id").unionByName(merged.select(F.col("canonical").alias("event_id"))), "event_id", "left_anti")
-    return cut(rest.unionByName(head)), gone
+    return held(rest.unionByName(head)), gone
 
 
 def absorbed(events: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, gone) once rows without a venue have gone into the row of their account, day and title; that row takes over their reasons."""
     keys = ["handle", "day", "named"]
     groups = M.identified(events, "handle", "day").join(touched, "event_id", "left_semi").select(*keys).distinct()
-    near = M.identified(events, "handle", "day").join(groups, keys, "left_semi").select(*COLUMNS)
-    found = cut(M.absorbed_by_handle(near))
+    near = M.identified(events, "handle", "day").join(groups, keys, "left_semi").select(*COLUMNS).hint("merge")
+    found = held(M.absorbed_by_handle(near))
     reason = found.groupBy(F.col("into").alias("event_id")).agg(F.max_by("reason", "event_id").alias("_reason"), F.lit(True).alias("_head"))
     after = events.join(found.select("event_id"), "event_id", "left_anti").join(reason, "event_id", "left").withColumn("reason", F.when(F.col("_head"), F.col("_reason")).otherwise(F.col("reason"))).select(*COLUMNS)
-    return cut(after), found.select("event_id", "into", F.lit("handle").alias("how"))
+    return held(after), found.select("event_id", "into", F.lit("handle").alias("how"))
 
 
 def alike(events: DataFrame, touched: DataFrame, pending: DataFrame, generic: list[str], stop: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, gone, suggestions) once the events of touched venues are compared by titles: sure pairs' components go into one row, others wait for a person."""
     venues = events.join(touched, "event_id", "left_semi").where("venue IS NOT NULL").select("venue").distinct()
-    near = events.where("kind <> 'menu' OR kind IS NULL").join(venues, "venue", "left_semi")
-    pairs = cut(happenings.judged_pairs(near.select("event_id", "venue", "starts_at", "title"), generic, stop))
-    gone = cut(M.absorbed_components(pairs.where("band = 'auto'").select("event_id", "other_event_id"), near).withColumn("how", F.lit("title")))
-    after = cut(events.join(gone, "event_id", "left_anti"))
+    near = events.where("kind <> 'menu' OR kind IS NULL").join(venues, "venue", "left_semi").hint("merge")
+    pairs = held(happenings.judged_pairs(near.select("event_id", "venue", "starts_at", "title"), generic, stop))
+    gone = held(M.absorbed_components(pairs.where("band = 'auto'").select("event_id", "other_event_id"), near).withColumn("how", F.lit("title")))
+    after = held(events.join(gone, "event_id", "left_anti"))
     there = lambda c: after.select(F.col("event_id").alias(c))
     open_ = pairs.where("band = 'suggest'").select(F.col("event_id").alias("a"), F.col("other_event_id").alias("b")).join(there("a"), "a", "left_semi").join(there("b"), "b", "left_semi")
     added = M.new_suggestions(open_, pending.select(F.col("low").alias("a"), F.col("high").alias("b")))
@@ -109,9 +109,9 @@ def step(events: DataFrame, pending: DataFrame, prepared: DataFrame, generic: li
     prepared: the columns of EVENT but status and edited, with the id that a new event is to have. Only
     groups and venues that the batch touches are compared. A confirmed row never goes.
     """
-    prepared = cut(prepared)
+    events, pending, prepared = events.hint("merge"), pending.hint("merge"), held(prepared)  # they grow: none is broadcast
     one, superseded, ids = reconciled(events, prepared)
-    touched = cut(ids.distinct())
+    touched = held(ids.distinct())
     two, dishes = collapsed(one, touched, "menu")
     three, shows = collapsed(two, touched, "event")
     four, handles = absorbed(three, touched)

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from agora_spark.operators import graph
 from agora_spark.streaming import lifecycle as L
 
 GENERIC, STOP = ["show", "live"], ["de", "do"]
@@ -109,3 +110,17 @@ def test_as_a_stream(spark, tmp_path):
     two = L.step(one.events, one.pending, prepared(spark, some_posts(2, 20, 2000)), GENERIC, STOP)
     assert sorted(map(str, L.read(spark, path, "events", L.EVENT).collect())) == sorted(map(str, two.events.collect()))
     assert L.read(spark, path, "events", L.EVENT).select(F.count("*")).first()[0] > 10
+
+
+def test_no_table_of_a_batch_is_broadcast(spark, monkeypatch):
+    plans, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    monkeypatch.setattr(L.M, "absorbed_components", lambda pairs, rows: pairs.select("event_id", F.col("other_event_id").alias("into")))
+    old = [row(k, k, f"Samba {k}", 1 + k % 3, price="1") for k in range(1, 30)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 200_000)  # above any table here, below the estimate of a join of two
+    try:
+        s = L.step(events(spark, old), spark.createDataFrame([(1, 4)], L.PAIR), prepared(spark, [row(100 + k, k, "Samba", 1 + k % 3) for k in range(1, 30)]), GENERIC, STOP)
+        plans += [df._jdf.queryExecution().executedPlan().toString() for df in (s.events, s.gone, s.pending)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
