@@ -83,11 +83,14 @@ def stored_duplicates(found: DataFrame, stored: DataFrame, metres: float = 50) -
 
 
 def geo_lookups(asked: DataFrame, venues: DataFrame, metres: float = 150) -> DataFrame:
-    """(request, venue_id): the nearest active venue within reach of a request (request, name, lat, lng) whose folded name equals the asked one, holds it, or stands in it, however short (ties: the smaller id)."""
+    """(request, venue_id): the nearest active venue within reach of a request (request, name, lat, lng) whose folded name equals the asked one, holds it, or stands in it, however short (ties: the smaller id). Requests for one name at one point are one, and so are venues, by their smallest id."""
+    spot = ["lat", "lng", "folded"]
     a = asked.select("request", "lat", "lng", fold_text(F.col("name")).alias("folded"))
     b = venues.where("lifecycle = 'active'").select("venue_id", "lat", "lng", fold_text(F.col("name")).alias("folded")).where("folded <> ''")
-    near = near_pairs(a, b, metres / 1000).where(F.contains("other_folded", F.col("folded")) | F.contains("folded", F.col("other_folded")))
-    return near.groupBy("request").agg(F.min(F.struct(F.round("km_away", 9).alias("km"), "other_venue_id")).alias("m")).select("request", F.col("m.other_venue_id").alias("venue_id"))
+    b = b.groupBy(*spot).agg(F.min("venue_id").alias("venue_id"))
+    near = near_pairs(a.select(*spot).distinct(), b, metres / 1000).where(F.contains("other_folded", F.col("folded")) | F.contains("folded", F.col("other_folded")))
+    best = near.groupBy(*spot).agg(F.min(F.struct(F.round("km_away", 9).alias("km"), "other_venue_id")).alias("m"))
+    return a.join(best.hint("merge"), spot).groupBy("request").agg(F.min("m").alias("m")).select("request", F.col("m.other_venue_id").alias("venue_id"))
 
 
 def inventory_matches(wanted: DataFrame, inventory: DataFrame) -> DataFrame:
