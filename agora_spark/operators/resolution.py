@@ -97,15 +97,19 @@ def inventory_matches(wanted: DataFrame, inventory: DataFrame) -> DataFrame:
     """(name, id): of the inventory rows (id, title) whose folded title equals or holds a wanted name, or is held by it, the one that is equal, then shares most words, then comes first.
 
     What is within another begins with three characters that the other holds, so rows meet on those.
+    Each folded name is compared once, and so is each folded title, by its first row.
     """
     keyed = lambda rows, c: rows.withColumn("_f", fold_text(F.col(c))).where("_f <> ''").withColumn("_w", F.array_distinct(F.split("_f", " ")))
-    a, b = keyed(wanted.select("name").distinct(), "name").select("name", F.col("_f").alias("fa"), F.col("_w").alias("wa")), keyed(inventory, "title").select("id", F.col("_f").alias("fb"), F.col("_w").alias("wb"))
+    names = keyed(wanted.select("name").distinct(), "name").select("name", F.col("_f").alias("fa"), F.col("_w").alias("wa"))
+    a = names.select("fa", "wa").distinct()
+    b = keyed(inventory, "title").groupBy(F.col("_f").alias("fb"), F.col("_w").alias("wb")).agg(F.min("id").alias("id"))
     held = lambda f: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(f)), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(F.col(f), i, n))))))
-    inside = a.withColumn("t", F.left("fa", F.lit(3))).join(b.withColumn("t", held("fb")), "t").where(F.contains("fb", F.col("fa")))
-    around = a.withColumn("t", held("fa")).join(b.withColumn("t", F.left("fb", F.lit(3))), "t").where(F.contains("fa", F.col("fb")))
+    inside = a.withColumn("t", F.left("fa", F.lit(3))).join(b.withColumn("t", held("fb")).hint("merge"), "t").where(F.contains("fb", F.col("fa")))
+    around = a.withColumn("t", held("fa")).join(b.withColumn("t", F.left("fb", F.lit(3))).hint("merge"), "t").where(F.contains("fa", F.col("fb")))
     hit = inside.unionByName(around)
     rank = F.struct((F.col("fa") != F.col("fb")).alias("unequal"), (-F.size(F.array_intersect("wa", "wb"))).alias("fewer"), "id")
-    return hit.groupBy("name").agg(F.min(rank).alias("m")).select("name", F.col("m.id").alias("id"))
+    best = hit.groupBy("fa").agg(F.min(rank).alias("m"))
+    return names.join(best.hint("merge"), "fa").select("name", F.col("m.id").alias("id"))
 
 
 def first_matching(candidates: DataFrame, most: int = 5) -> DataFrame:
