@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agora_spark.functions.text import fold_text, mentions, names_match, normalize_handle, normalize_title
 from agora_spark.operators.graph import cut
-from agora_spark.operators.places import near_pairs
+from agora_spark.operators.places import first_n_by, near_pairs
 
 #: Fixed value: what a mention in a text looks like; no word character or dot stands before it.
 MENTION = r"(?U)(?<![\w.])@([A-Za-z0-9_.]{1,30})"
@@ -75,11 +75,19 @@ def resolve(events: DataFrame, venues: DataFrame, index: DataFrame, tag_scores:
 
 
 def stored_duplicates(found: DataFrame, stored: DataFrame, metres: float = 50) -> DataFrame:
-    """(venue_id, duplicate_of): of the stored venues within reach whose folded name matches and whose id is another, the nearest (ties: the smaller id)."""
-    a = found.select("venue_id", "lat", "lng", fold_text(F.col("name")).alias("folded"))
-    b = stored.select("venue_id", "lat", "lng", fold_text(F.col("name")).alias("folded"))
-    pairs = near_pairs(a, b, metres / 1000).where((F.col("venue_id") != F.col("other_venue_id")) & names_match(F.col("folded"), F.col("other_folded")))
-    return pairs.groupBy("venue_id").agg(F.min(F.struct(F.round("km_away", 9).alias("km"), "other_venue_id")).alias("m")).select("venue_id", F.col("m.other_venue_id").alias("duplicate_of"))
+    """(venue_id, duplicate_of): of the stored venues within reach whose folded name matches and whose id is another, the nearest (ties: the smaller id).
+
+    Of the venues of one name at one point the two smallest ids count, and of what is found for such a
+    spot the two best: one of two is not the venue itself.
+    """
+    spot = ["lat", "lng", "folded"]
+    a, b = (x.select("venue_id", "lat", "lng", fold_text(F.col("name")).alias("folded")).where("folded <> ''") for x in (found, stored))
+    few = first_n_by(b.distinct(), spot, 2, F.col("venue_id"))
+    pairs = near_pairs(a.select(*spot).distinct(), few, metres / 1000).where(names_match(F.col("folded"), F.col("other_folded")))
+    near = pairs.groupBy(*spot, "other_venue_id").agg(F.min(F.round("km_away", 9)).alias("km"))
+    best = first_n_by(near, spot, 2, F.col("km"), F.col("other_venue_id"))
+    met = a.join(best.hint("merge"), spot).where(F.col("venue_id") != F.col("other_venue_id"))
+    return met.groupBy("venue_id").agg(F.min(F.struct("km", "other_venue_id")).alias("m")).select("venue_id", F.col("m.other_venue_id").alias("duplicate_of"))
 
 
 def geo_lookups(asked: DataFrame, venues: DataFrame, metres: float = 150) -> DataFrame:
