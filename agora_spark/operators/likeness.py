@@ -180,21 +180,31 @@ def ranked_links(mentions: DataFrame, places: DataFrame, floor: float = 0.55, ma
     linked: the first is at least `floor` good, and ahead of the second by `margin` or alone; no more
     than two matter to that. Texts with an @handle have no candidates.
 
-    Mentions without a point meet two places of a name at most. Those with one meet all places of the
-    names that are best for their text, of which two are kept on each side of the exchange.
+    Each text is ranked once, or once for each of its points; each event then takes over the two places
+    of its text and point. Without a point, two places of a name are enough; with one, the two nearest
+    of the name, for which places of one name at one point are two at most.
     """
     heard = mentions.where("text IS NOT NULL").where(~F.col("text").rlike(HANDLE))
     best = best_names(heard, places).select("text", "name", "exact")
     first = first_n_by(places.select("place", "name").distinct(), ["name"], 2, F.col("place")).withColumn("km", F.lit(None).cast("double"))
     pointed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    plain = heard.where(~pointed).select("event_id", "text").join(best, "text").join(first, "name")
+    heard = heard.select("event_id", "text", *(F.when(pointed, F.col(c)).alias(c) for c in ("lat", "lng")))
+    asked = heard.select("text", "lat", "lng").distinct().join(best.hint("merge"), "text")
+    plain = asked.where("lat IS NULL").join(first, "name")
     away = haversine_km(F.col("lat"), F.col("lng"), F.col("place_lat"), F.col("place_lng"))
-    there = places.select("place", "name", F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng"))
-    tagged = heard.where(pointed).select("event_id", "text", "lat", "lng").join(best, "text").join(there, "name").withColumn("km", F.round(away, 9))
-    both = plain.select("event_id", "place", "exact", "km").unionByName(tagged.select("event_id", "place", "exact", "km"))
+    there = places.select("place", "name", F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng")).distinct()
+    there = first_n_by(there, ["name", "place_lat", "place_lng"], 2, F.col("place"))
+    wanted = asked.where("lat IS NOT NULL").select("name", "lat", "lng").distinct()
+    near = wanted.join(there.hint("merge"), "name").select("name", "lat", "lng", "place", F.round(away, 9).alias("km"))
+    nearest = first_n_by(near, ["name", "lat", "lng"], 2, F.asc_nulls_last("km"), F.asc("place"))
+    tagged = asked.join(nearest.hint("merge"), ["name", "lat", "lng"])
+    key, columns = ["text", "lat", "lng"], ["text", "lat", "lng", "place", "exact", "km"]
+    both = plain.select(*columns).unionByName(tagged.select(*columns))
     order = [F.desc("exact"), F.asc_nulls_last("km"), F.asc("place")]
-    top = first_n_by(both, ["event_id"], 2, *order).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("exact")).alias("minus"), F.col("km").isNull().alias("far"), "km", "place"))).alias("p"))
+    top = first_n_by(both, key, 2, *order).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.col("exact")).alias("minus"), F.col("km").isNull().alias("far"), "km", "place"))).alias("p"))
     score = lambda k: F.round(-F.get("p", F.lit(k))["minus"], 4)
     sure = (score(0) >= floor) & (score(1).isNull() | (score(0) - score(1) >= margin))
+    top = top.select("p", *(F.col(c).alias(f"_{c}") for c in key)).hint("merge")
+    top = heard.join(top, (F.col("text") == F.col("_text")) & F.col("lat").eqNullSafe(F.col("_lat")) & F.col("lng").eqNullSafe(F.col("_lng")))
     out = top.select("event_id", sure.alias("sure"), F.posexplode("p").alias("at", "c"))
     return out.select("event_id", F.col("c.place").alias("place"), F.round(-F.col("c.minus"), 4).alias("score"), (F.col("at") + 1).alias("rank"), (F.col("sure") & (F.col("at") == 0)).alias("linked"))
