@@ -184,7 +184,7 @@ def ranked_links(mentions: DataFrame, places: DataFrame, floor: float = 0.55, ma
     of its text and point. Without a point, two places of a name are enough; with one, the two nearest
     of the name, for which places of one name at one point are two at most.
     """
-    heard = mentions.where("text IS NOT NULL").where(~F.col("text").rlike(HANDLE))
+    heard = mentions.where("text IS NOT NULL").where(~(F.contains("text", F.lit("@")) & F.col("text").rlike(HANDLE)))
     best = best_names(heard, places).select("text", "name", "exact")
     first = first_n_by(places.select("place", "name").distinct(), ["name"], 2, F.col("place")).withColumn("km", F.lit(None).cast("double"))
     pointed = F.col("lat").isNotNull() & F.col("lng").isNotNull()

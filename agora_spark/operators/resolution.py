@@ -13,11 +13,13 @@ from agora_spark.operators.places import first_n_by, near_pairs
 MENTION = r"(?U)(?<![\w.])@([A-Za-z0-9_.]{1,30})"
 #: The rungs of the ladder, best first, and how each links.
 RUNGS = ("handle_mention", "location_tag", "neighbourhood_match", "name_match", "caption_handle_mention")
+_UNKNOWN, _ITSELF = 5, 6  # beside the rungs: a mention that is not known, the event itself
 
 
 def without_handles(text: Column) -> Column:
     """A text without its mentions, blanks squeezed; null if no letter is left."""
-    rest = F.trim(F.regexp_replace(F.regexp_replace(text, MENTION, ""), r"\s+", " "))
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, MENTION, "")).otherwise(text)
+    rest = F.trim(F.regexp_replace(bare, r"\s+", " "))
     return F.when(rest.rlike(r"\p{L}"), rest)
 
 
@@ -50,26 +52,29 @@ def resolve(events: DataFrame, venues: DataFrame, index: DataFrame, tag_scores:
     5: the only known venue that the caption mentions. Else unresolved: because the event's own text names
     a handle that is not known, or the caption several venues, or nothing does; or queued, if the best
     name is good enough but not ahead.
+
+    All that speaks for an event is dealt by event once, and placed within its rung; an event without
+    anything is a row of its own.
     """
-    own, caption = heard(events, "location_text", index), heard(events, "caption", index)
-    best = lambda rows, order: rows.groupBy("event_id").agg(F.min_by("venue_id", order).alias("venue_id"))
-    known = best(own.where("venue_id IS NOT NULL"), F.col("place")).withColumn("score", F.lit(1.0))
-    order = F.struct(-F.col("score"), "venue_id")
-    tag = tag_scores.groupBy("event_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "venue_id")).alias("b")).select("event_id", F.col("b.venue_id").alias("venue_id"), (-F.col("b.minus")).alias("score")).where(F.col("score") >= tag_floor)
-    branch = neighbours(events, venues).groupBy("event_id").agg(F.count("*").alias("n"), F.min("venue_id").alias("venue_id")).where("n = 1").select("event_id", "venue_id", F.lit(1.0).alias("score"))
-    ranked = name_scores.where("score > 0").withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy(order))).where("r <= 2")
-    top = ranked.groupBy("event_id").agg(F.max(F.when(F.col("r") == 1, F.col("venue_id"))).alias("venue_id"), F.max(F.when(F.col("r") == 1, F.round("score", 4))).alias("score"), F.max(F.when(F.col("r") == 2, F.round("score", 4))).alias("next"))
-    named = top.where((F.col("score") >= floor) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin))).select("event_id", "venue_id", "score")
-    told = caption.where("venue_id IS NOT NULL").groupBy("event_id").agg(F.count_distinct("venue_id").alias("n_told"), F.min("venue_id").alias("venue_id"))
-    single = told.where("n_told = 1").select("event_id", "venue_id", F.lit(1.0).alias("score"))
-    rungs = None
-    for k, rows in enumerate((known, tag, branch, named, single)):
-        rung = rows.select("event_id", F.struct(F.lit(k).alias("rung"), F.col("venue_id").alias("venue_id"), F.round("score", 4).alias("score")).alias("c"))
-        rungs = rung if rungs is None else rungs.unionByName(rung)
-    won = rungs.groupBy("event_id").agg(F.min("c").alias("c"))
-    unknown = own.where("venue_id IS NULL").select("event_id").distinct().withColumn("unknown", F.lit(True))
-    out = events.select("event_id").join(won, "event_id", "left").join(unknown, "event_id", "left").join(told.select("event_id", "n_told"), "event_id", "left").join(top.select("event_id", F.col("score").alias("best")), "event_id", "left")
-    method = F.when(F.col("c").isNotNull(), F.get(F.lit(list(RUNGS)), F.col("c.rung"))).when(F.col("unknown"), "venue_not_in_catalog").when(F.col("n_told") > 1, "ambiguous_caption")
+    told = events.select("event_id", "handle", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("location_text").alias("text")), F.struct(F.lit(4).alias("kind"), F.col("caption").alias("text")))).alias("t")).select(F.struct("event_id", "t.kind").alias("event_id"), "handle", "t.text")
+    said = heard(told, "text", index).select("event_id.event_id", F.when((F.col("event_id.kind") == 0) & F.col("venue_id").isNull(), _UNKNOWN).otherwise(F.col("event_id.kind")).alias("kind"), F.col("place").cast("double").alias("at"), "venue_id").where(f"venue_id IS NOT NULL OR kind = {_UNKNOWN}")
+    alike = lambda rows, kind: rows.select("event_id", F.lit(kind).alias("kind"), (-F.col("score")).alias("at"), "venue_id")
+    alone = lambda rows, kind: rows.select("event_id", F.lit(kind).alias("kind"), F.lit(0.0).alias("at"), "venue_id")
+    clues = said.unionByName(alike(tag_scores.where(F.col("score") >= tag_floor), 1)).unionByName(alone(neighbours(events, venues), 2)).unionByName(alike(name_scores.where("score > 0"), 3))
+    clues = clues.unionByName(alone(events.select("event_id", F.lit(None).cast("string").alias("venue_id")), _ITSELF)).repartition("event_id")
+    placed = clues.withColumn("r", F.row_number().over(Window.partitionBy("event_id", "kind").orderBy("at", "venue_id")))
+    of = lambda kind, r=1: (F.col("kind") == kind) & (F.col("r") == r)
+    score = lambda kind, r=1: F.max(F.when(of(kind, r), -F.col("at")))
+    one = placed.groupBy("event_id").agg(
+        *(F.max(F.when(of(k), F.col("venue_id"))).alias(f"v{k}") for k in range(5)), score(1).alias("tag"), F.count_if(F.col("kind") == 2).alias("branches"), score(3).alias("raw"), score(3, 2).alias("raw_next"),
+        F.min(F.when(F.col("kind") == 4, F.col("venue_id"))).alias("low"), F.max(F.when(F.col("kind") == 4, F.col("venue_id"))).alias("high"), F.max(F.col("kind") == _UNKNOWN).alias("unknown"),
+    )
+    best, after = F.round("raw", 4), F.round("raw_next", 4)
+    holds = (F.col("v0").isNotNull(), F.col("v1").isNotNull(), F.col("branches") == 1, (best >= floor) & (after.isNull() | (best - after >= margin)), F.col("low") == F.col("high"))
+    scores = (F.lit(1.0), F.round("tag", 4), F.lit(1.0), best, F.lit(1.0))
+    won = F.coalesce(*(F.when(fits, F.struct(F.lit(k).alias("rung"), F.col("low" if k == 4 else f"v{k}").alias("venue_id"), scores[k].alias("score"))) for k, fits in enumerate(holds)))
+    out = one.select("event_id", won.alias("c"), "unknown", (F.col("low") < F.col("high")).alias("several"), best.alias("best"))
+    method = F.when(F.col("c").isNotNull(), F.get(F.lit(list(RUNGS)), F.col("c.rung"))).when(F.col("unknown"), "venue_not_in_catalog").when(F.col("several"), "ambiguous_caption")
     queued = method.isNull() & (F.col("best") >= floor)
     return out.select("event_id", F.when(F.col("c").isNotNull(), "auto").when(queued, "queued").otherwise("unresolved").alias("resolution"), F.col("c.venue_id").alias("venue_id"), method.alias("method"), F.col("c.score").alias("score"))
 

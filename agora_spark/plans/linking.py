@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agora_spark.operators import likeness
 from agora_spark.operators import resolution as R
+from agora_spark.operators.graph import cut
 from agora_spark.operators.likeness import CORE_LETTERS, COVERED, GENERIC_NAME_WORDS, HELD, LOCALITIES
 from agora_spark.plans.catalog import _km, query
 from agora_spark.sources import standins as S
@@ -62,11 +63,13 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(k.alias("event_id"), F.concat(F.lit("h"), c).alias("handle"), text.alias("location_text"), F.when(k % 7 == 0, F.col("p_name")).alias("tag"), caption.alias("caption"))
 
 
-def _scored(events: DataFrame, column: str, venues: DataFrame) -> DataFrame:
-    """(event_id, venue_id, score) of the two venues whose names are most like an event's text (ties: the smaller id)."""
-    said = events.select("event_id", F.col(column).alias("text"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
+def _scored(events: DataFrame, columns: list[str], venues: DataFrame) -> list[DataFrame]:
+    """For each of the columns, (event_id, venue_id, score) of the two venues whose names are most like an event's text there (ties: the smaller id). Each text is ranked once, in whichever column."""
+    each = events.select(F.explode(F.array(*(F.struct(F.struct("event_id", F.lit(k).alias("of")).alias("event_id"), F.col(c).alias("text")) for k, c in enumerate(columns)))).alias("e")).select("e.*")
+    said = each.where("text IS NOT NULL").select("event_id", "text", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
     places = venues.select(F.col("venue_id").alias("place"), "name", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
-    return likeness.ranked_links(said, places).select("event_id", F.col("place").alias("venue_id"), "score")
+    found = likeness.ranked_links(said, places)
+    return [found.where(F.col("event_id.of") == k).select("event_id.event_id", F.col("place").alias("venue_id"), "score") for k in range(len(columns))]
 
 
 LINKS = """, place AS (SELECT k, venue_id AS place, CASE WHEN k % 2 = 0 THEN 'Bar ' || name ELSE name END AS name, lat, lng FROM venue), heard AS (SELECT event_id, CASE WHEN event_id % 8 = 0 THEN '@' || title ELSE title END AS text, CASE WHEN event_id % 7 = 0 THEN -8.05 + (event_id % 100) / 500.0 END::DOUBLE AS lat, CASE WHEN event_id % 7 = 0 THEN -34.9 + (event_id % 90) / 500.0 END::DOUBLE AS lng FROM item)"""
@@ -130,10 +133,10 @@ SELECT t.event_id, CASE WHEN w.rung IS NOT NULL THEN 'auto' WHEN NOT unknown AND
   CASE WHEN w.rung IS NOT NULL THEN [{', '.join(f"'{x}'" for x in R.RUNGS)}][w.rung + 1] WHEN unknown THEN 'venue_not_in_catalog' WHEN n > 1 THEN 'ambiguous_caption' END AS method, w.score
 FROM (SELECT told.event_id, EXISTS (SELECT 1 FROM heard h WHERE h.event_id = told.event_id AND src = 1 AND h.venue_id IS NULL) AS unknown FROM told) t LEFT JOIN won w USING (event_id) LEFT JOIN told5 USING (event_id) LEFT JOIN (SELECT event_id, score AS best FROM ranked WHERE r = 1) USING (event_id)""")
 def venue_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole ladder over all events and venues."""
-    events, spots = _told(spark, sf_dir), _spots(spark, sf_dir)
-    names = _scored(events.withColumn("clean", R.without_handles(F.col("location_text"))), "clean", spots)
-    return R.resolve(events, spots, _index(spots), _scored(events, "tag", spots), names)
+    """The whole ladder over all events and venues. The events are written once, for every rung reads them."""
+    spots = _spots(spark, sf_dir)
+    events = cut(_told(spark, sf_dir).withColumn("clean", R.without_handles(F.col("location_text"))))
+    return R.resolve(events, spots, _index(spots), *_scored(events, ["tag", "clean"], spots))
 
 
 NEAR = "(trim(a.name) = trim(b.name) AND trim(a.name) <> '' OR least(length(trim(a.name)), length(trim(b.name))) >= 5 AND (contains(trim(a.name), trim(b.name)) OR contains(trim(b.name), trim(a.name))))"

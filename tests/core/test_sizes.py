@@ -78,3 +78,15 @@ def test_f10_f12_equal_events_are_judged_once_and_meet_earlier_ones(spark):
     lined = spark.createDataFrame([(k, n) for k in (0, 30) for n in ("a", "b")], "event_id long, name string")
     raised = runs.raised_pairs(tokens, lined).where("shared > 0")
     assert [(r.event_id, r.other_event_id, r.reasons, r.shared) for r in raised.collect()] == [(0, 30, "lineup,title", 2)]
+
+
+def test_f11_the_ladder_reads_its_events_once_and_deals_by_event_once(spark, sf_dir):
+    from agora_spark.plans import linking
+
+    text = plan(linking.venue_ladder(spark, sf_dir))
+    assert "o_orderkey" not in text
+    events = spark.createDataFrame([(1, "h", "no @a", "@b")], "event_id long, handle string, location_text string, caption string")
+    scores = spark.createDataFrame([], "event_id long, venue_id string, score double")
+    venues = spark.createDataFrame([("v1", "h", "Rua A")], "venue_id string, handle string, address string")
+    index = spark.createDataFrame([("a", "v1")], "handle string, venue_id string")
+    assert plan(R.resolve(events, venues, index, scores, scores)).count("hashpartitioning(event_id") == 1
