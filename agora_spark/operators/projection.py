@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agora_spark.operators.posts import remaining_ttl
@@ -75,6 +75,29 @@ def changes(before: DataFrame, after: DataFrame, known: DataFrame) -> DataFrame:
     return feed.where("op <> 'delete'").unionByName(gone.select(*feed.columns))
 
 
+def cycle(before: DataFrame, was_servable: DataFrame, after: DataFrame, servable: DataFrame, known: DataFrame) -> DataFrame:
+    """changes() from the model of one cycle's entries() and servable ids (venue_id) to that of the next one's.
+
+    No model is made first: entries, ids and known venues travel together and are dealt by venue once,
+    and payloads are compared where they meet.
+    """
+    was, now, row = 0, 1, 2
+    marks = [(was_servable, was), (servable, now), (known, row)]
+    every = before.select(*KEY, "updated_at", "payload", F.lit(was).alias("_of"))
+    every = every.unionByName(after.select(*KEY, "updated_at", "payload", F.lit(now).alias("_of")))
+    for ids, mark in marks:
+        every = every.unionByName(ids.select("venue_id", F.lit(mark).alias("_mark")), allowMissingColumns=True)
+    newest = lambda of: F.max(F.when(F.col("_of") == of, F.struct("updated_at", "payload")))
+    met = every.repartition("venue_id").groupBy(*KEY).agg(newest(was).alias("_was"), newest(now).alias("_now"), *(F.max(F.col("_mark") == m).alias(f"_m{m}") for _, m in marks))
+    here = {f"_m{m}": F.coalesce(F.max(f"_m{m}").over(Window.partitionBy("venue_id")), F.lit(False)) for _, m in marks}
+    both = met.withColumns(here).where("family IS NOT NULL")
+    old, new = F.col("_was").isNotNull() & F.col("_m0"), F.col("_now").isNotNull() & F.col("_m1")
+    payload = lambda c: F.coalesce(F.col(f"{c}.payload"), F.lit(""))
+    op = F.when(new & ~old, "insert").when(old & ~new & F.col("_m2"), "delete").when(old & new & (payload("_was") != payload("_now")), "update")
+    digest = F.sha2(payload("_now"), 256)
+    return both.select(*KEY, op.alias("op"), *(F.when(new, c).alias(name) for c, name in ((F.col("_now.payload"), "payload"), (digest, "digest")))).where("op IS NOT NULL")
+
+
 def applied(before: DataFrame, feed: DataFrame) -> DataFrame:
     """A read model after a feed of changes()."""
     kept = before.join(feed.select(*KEY), KEY, "left_anti")

@@ -75,11 +75,14 @@ SELECT coalesce(a.venue_id, b.venue_id) AS venue_id, coalesce(a.family, b.family
 FROM after a FULL JOIN before b ON a.venue_id = b.venue_id AND a.family = b.family AND a.day = b.day WHERE (b.venue_id IS NULL OR a.venue_id IS NULL OR coalesce(a.payload, '') <> coalesce(b.payload, '')) AND (a.venue_id IS NOT NULL OR b.venue_id IN (SELECT venue_id FROM venue))""")
 def projection_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changes in the read model from one cycle to the next; entries of venues without a row are left alone."""
-    before = P.read_model(*_model(spark, sf_dir, True))
-    old, _ = _model(spark, sf_dir, True)
-    some = E.servable(S.venue(spark, sf_dir), RULES, _good(), CIRCLES).where("k % 50 = 1").select("venue_id")
-    orphans = P.read_model(old, some).withColumn("venue_id", F.concat(F.lit("gone"), "venue_id"))
-    return P.changes(before.unionByName(orphans), P.read_model(*_model(spark, sf_dir)), S.venue(spark, sf_dir)).select(*P.KEY, "op", "payload")
+    old, now = (P.entries(_tables(spark, sf_dir, was), F.lit(S.AS_OF).cast("timestamp"), TTL) for was in (True, False))
+    venue, served = S.venue(spark, sf_dir), E.servable(S.venue(spark, sf_dir), RULES, _good(), CIRCLES).select("venue_id", "k")
+    gone = F.concat(F.lit("gone"), "venue_id")  # these have no row
+    k = F.substring("venue_id", 2, 20).cast("long")
+    names = lambda k, itself: F.explode(F.filter(F.array(F.when(itself, F.col("venue_id")), F.when(k % 50 == 1, gone)), lambda x: x.isNotNull()))
+    old = old.withColumn("venue_id", names(k, F.lit(True)))
+    was = served.select(names(F.col("k"), F.col("k") % 11 != 0).alias("venue_id"))
+    return P.cycle(old, was, now, served.where("k % 10 <> 0"), venue).select(*P.KEY, "op", "payload")
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -90,3 +90,20 @@ def test_f11_the_ladder_reads_its_events_once_and_deals_by_event_once(spark, sf_
     venues = spark.createDataFrame([("v1", "h", "Rua A")], "venue_id string, handle string, address string")
     index = spark.createDataFrame([("a", "v1")], "handle string, venue_id string")
     assert plan(R.resolve(events, venues, index, scores, scores)).count("hashpartitioning(event_id") == 1
+
+
+def test_f13_a_cycle_deals_by_venue_once(spark, sf_dir):
+    from agora_spark.operators import projection as P
+    from agora_spark.plans import projecting
+
+    at = dt.datetime(2024, 1, 1)
+    rows = lambda *r: spark.createDataFrame([(v, f, -1, p, None, at) for v, f, p in r], "venue_id string, family string, day int, payload string, ttl long, updated_at timestamp")
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "venue_id string")
+    before, was = rows(("a", "x", "1"), ("a", "y", None), ("b", "x", "1"), ("c", "x", "1"), ("d", "x", "1"), ("d", "x", "0")), ids("a", "b", "c", "d")
+    after, now, known = rows(("a", "x", "2"), ("a", "y", ""), ("a", "z", None), ("b", "x", "1"), ("d", "x", "1"), ("e", "x", "1"), ("f", "x", "1")), ids("a", "d", "f"), ids("a", "b", "d")
+    got = P.cycle(before, was, after, now, known)
+    assert sorted((r.venue_id, r.family, r.op, r.payload) for r in got.collect()) == [("a", "x", "update", "2"), ("a", "z", "insert", None), ("b", "x", "delete", None), ("f", "x", "insert", "1")]
+    want = P.changes(P.read_model(before, was), P.read_model(after, now), known)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    text = plan(projecting.projection_feed(spark, sf_dir))
+    assert text.count("REPARTITION_BY_COL") == 1 and "hashpartitioning(venue_id#" in text and "FullOuter" not in text
