@@ -107,3 +107,12 @@ def test_f13_a_cycle_deals_by_venue_once(spark, sf_dir):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
     text = plan(projecting.projection_feed(spark, sf_dir))
     assert text.count("REPARTITION_BY_COL") == 1 and "hashpartitioning(venue_id#" in text and "FullOuter" not in text
+
+
+def test_f14_few_texts_are_unpacked_at_once():
+    import pyarrow as pa
+
+    from agora_spark.functions import text
+
+    texts = pa.array(["\u0130", None, "", "\ufb01"] * 50)
+    assert text._by_slices(texts, text._fold, 7).to_pylist() == ["i", None, "", "fi"] * 50 and len(text._by_slices(texts[:0], text._fold)) == 0
