@@ -38,7 +38,7 @@ def deprecation_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.sql("source") + "SELECT event_id, source_id, seen_at, kind FROM source QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seen_at DESC, source_id DESC) = 1")
 def primary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest source of each event, in one aggregate that combines before the shuffle."""
+    """The newest source of each event (ties, which the SQL leaves open: the larger kind), in one aggregate that combines before the shuffle."""
     best = S.post_source(spark, sf_dir).groupBy("event_id").agg(F.max(F.struct("seen_at", "source_id", "kind")).alias("s"))
     return best.select("event_id", "s.source_id", "s.seen_at", "s.kind")
 
